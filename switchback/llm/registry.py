@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, token_counts, token_output, toxicity
+from . import decontam, mixing, near_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op2_token_output": token_output.op2_token_output,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_decontamination": decontam.op4_decontamination,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_mixing": mixing.op10_mixing,
