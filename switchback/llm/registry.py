@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, near_dedup, token_counts, token_output, toxicity
+from . import decontam, language_id, media, mixing, near_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_token_output": token_output.op2_token_output,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_media": media.op6_media,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
