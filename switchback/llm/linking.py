@@ -48,7 +48,7 @@ def _leaders(keys: np.ndarray, sigs: np.ndarray, need: int):
     return order[a], order[b], order[np.array(chosen)]
 
 
-def _pairs_of_blocks(need: int, width: int):
+def _pairs_of_blocks(need: int, width: int, dtype=np.uint32):
     """mapInArrow over rows (bucket, salt, key, sig) sorted by bucket and salt: links and leaders."""
 
     def emit(bucket, key, sig, cuts):
@@ -96,7 +96,7 @@ def _pairs_of_blocks(need: int, width: int):
         for b in batches:
             if b.num_rows == 0:
                 continue
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, width)
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype).reshape(-1, width)
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sig))
             out, rest = work(held, False)
             held = [rest]
@@ -108,7 +108,7 @@ def _pairs_of_blocks(need: int, width: int):
     return run
 
 
-def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int, width: int, tag: str) -> DataFrame:
+def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int, width: int, dtype, tag: str) -> DataFrame:
     """Distinct links (key, other) with key > other from members (bucket, key); sigs has (key, sig)."""
     links = None
     step = 0
@@ -118,7 +118,7 @@ def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int,
             "bucket", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(0)).cast("long").alias("salt"), "key", "sig", "n")
         big = blocks.where(F.col("n") > BLOCK).select("bucket").distinct()
         rows = blocks.drop("n").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
-        made = ws.write(rows.mapInArrow(_pairs_of_blocks(need, width), "bucket long, key long, other long"), f"{tag}-made-{step}")
+        made = ws.write(rows.mapInArrow(_pairs_of_blocks(need, width, dtype), "bucket long, key long, other long"), f"{tag}-made-{step}")
         new = made.where("key <> other").select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("other"))
         links = new if links is None else links.unionByName(new)
         big = ws.write(big, f"{tag}-big-{step}")
@@ -131,14 +131,54 @@ def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int,
         last = before
 
 
-def find_links(ws: Workspace, bands: DataFrame, sigs: DataFrame, need: int, width: int, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Verified links (key, other). bands: (bucket, key); verify(links, tag) adds boolean `same`."""
-    multi = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = ws.write(bands.join(multi, "bucket"), "members-0")
+BITS = 23
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """2**BITS bits of a long column's low bits: a filter of fixed size that passes all its values."""
+    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+    words = df.select(low.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    for r in words.collect():  # at most 2**(BITS - 6) rows
+        out[r.w] = r.m & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    b = values.astype(np.int64) & ((1 << BITS) - 1)
+    return (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def band_rows(sigs: DataFrame, band_keys: Callable, width: int, dtype, bits: np.ndarray | None = None) -> DataFrame:
+    """(bucket, key) rows of the signatures; with a bitmap, only buckets that it passes."""
+    shared = sigs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            bands = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype).reshape(-1, width))
+            key = np.repeat(b.column(0).to_numpy(), bands.shape[1])
+            bucket = bands.ravel()
+            if shared.value is not None:
+                keep = in_bitmap(shared.value, bucket)
+                bucket, key = bucket[keep], key[keep]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "key": pa.array(key)})
+
+    return sigs.select("key", "sig").mapInArrow(run, "bucket long, key long")
+
+
+def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Verified links (key, other) of signatures (key, sig); verify(links, tag) adds boolean `same`.
+
+    Buckets are counted first; only members of buckets with two or more are dealt out.
+    """
+    multi = ws.write(band_rows(sigs, band_keys, width, dtype).select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "multi")
+    members = ws.write(band_rows(sigs, band_keys, width, dtype, bitmap(multi, "bucket")).join(multi, "bucket"), "members-0")
     tried = good = None
     turn = 0
     while True:
-        links = bucket_links(ws, members, sigs, need, width, f"t{turn}")
+        links = bucket_links(ws, members, sigs, need, width, dtype, f"t{turn}")
         if tried is not None:
             links = links.join(tried.select("key", "other"), ["key", "other"], "left_anti")
         done = ws.write(verify(ws.write(links, f"links-{turn}"), f"v{turn}"), f"done-{turn}")
@@ -180,14 +220,14 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-def verify_links(ws: Workspace, links: DataFrame, texts: DataFrame, compare: Callable, tag: str) -> DataFrame:
-    """(key, other, same) for links (key, other); texts has (key, text) and may repeat keys.
+def verify_links(ws: Workspace, links: DataFrame, texts: Callable, compare: Callable, tag: str) -> DataFrame:
+    """(key, other, same) for links (key, other); texts(bitmap) gives (key, text) and may repeat keys.
 
     compare(column of texts) returns a function (i, j) -> bool over the texts' indexes.
     Only texts that occur in a link are moved; a text met again in a batch is prepared once.
     """
-    need = links.select(F.explode(F.array("key", "other")).alias("key")).distinct()
-    cand = ws.write(texts.join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), f"{tag}-texts")
+    need = ws.write(links.select(F.explode(F.array("key", "other")).alias("key")).distinct(), f"{tag}-need")
+    cand = ws.write(texts(bitmap(need, "key")).join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), f"{tag}-texts")
     rows = links.join(cand.select(F.col("key").alias("other"), F.col("text").alias("b")), "other").join(cand.select("key", F.col("text").alias("a")), "key").select("key", "other", "a", "b")
 
     def run(batches):
