@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, line_dedup, media, mixing, near_dedup, token_counts, token_output, toxicity
+from . import decontam, language_id, licences, line_dedup, media, mixing, near_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_media": media.op6_media,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_licences": licences.op9_licences,
     "op10_mixing": mixing.op10_mixing,
 }
 
