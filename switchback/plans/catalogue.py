@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+from .dialect import Duck, Spark
+from .fixtures import with_views
+from .relational import RELATIONAL
+
 FLAGSHIP = "altitude_time"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def _run(text):
+    return lambda spark, sf_dir: spark.sql(with_views(Spark(sf_dir), text(Spark(sf_dir))))
+
+
+QUERIES: dict = {name: _run(text) for name, text in RELATIONAL.items()}
+ORACLES: dict[str, str] = {name: with_views(Duck(), text(Duck())) for name, text in RELATIONAL.items()}
