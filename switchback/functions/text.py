@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations that a search expands.
 ABBREVIATIONS = {
@@ -110,10 +112,14 @@ def token_prefix_match(text, query: str) -> Column:
     words = F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+")
     out = F.lit(True)
     for w in query.lower().split():
-        out = out & F.exists(words, lambda t, w=w: F.startswith(t, F.lit(w)))
+        out = out & F.exists(words, _starts(w))
     return out
 
 
+def _starts(word: str):
+    return lambda t: F.startswith(t, F.lit(word))
+
+
 def stable_id(prefix: str, *parts, length: int = 16) -> Column:
     """Deterministic id from parts by SHA-1."""
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *[_c(p).cast("string") for p in parts])), 1, length))
@@ -124,7 +130,7 @@ def road_reference(kind, number) -> Column:
     return F.concat_ws(" ", F.when(_c(kind) == "forest", "FR").when(_c(kind) == "blm", "BLM").otherwise("Rd"), F.regexp_replace(F.trim(_c(number)), r"^0+(?=\d)", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_polyline6(line: pd.Series) -> pd.Series:
     """Encoded polyline at 1e-6 of arrays of (lat, lng) structs: bit shifts have no built-in form over a running difference."""
 
@@ -146,12 +152,12 @@ def encode_polyline6(line: pd.Series) -> pd.Series:
     return line.map(one)
 
 
-@F.pandas_udf("array<struct<lat:double,lng:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())])))
 def decode_polyline6(text: pd.Series) -> pd.Series:
     def one(s):
         if s is None:
             return None
-        at, vals, last, out = 0, [0, 0], 0, []
+        at, vals, out = 0, [0, 0], []
         while at < len(s):
             for k in (0, 1):
                 shift = value = 0
@@ -164,20 +170,19 @@ def decode_polyline6(text: pd.Series) -> pd.Series:
                         break
                 vals[k] += ~(value >> 1) if value & 1 else value >> 1
             out.append({"lat": vals[0] / 1e6, "lng": vals[1] / 1e6})
-        del last
         return out
 
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def elevation_token(z: pd.Series) -> pd.Series:
     """Shortest decimal text without exponent or trailing zeros."""
 
     def one(x):
         if x is None or x != x or x in (float("inf"), float("-inf")):
             return None
-        t = format(x, "f") if abs(x) < 1e15 and float(format(x, "f")) == x else format(__import__("decimal").Decimal(repr(x)), "f")
+        t = format(x, "f") if abs(x) < 1e15 and float(format(x, "f")) == x else format(Decimal(repr(float(x))), "f")
         t = t.rstrip("0").rstrip(".") if "." in t else t
         return "0" if t in ("-0", "") else t
 

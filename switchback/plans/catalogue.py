@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .composed import COMPOSED, COMPOSED_SQL
 from .dialect import Duck, Spark
 from .fixtures import with_views
 from .relational import RELATIONAL
@@ -13,5 +14,5 @@ def _run(text):
     return lambda spark, sf_dir: spark.sql(with_views(Spark(sf_dir), text(Spark(sf_dir))))
 
 
-QUERIES: dict = {name: _run(text) for name, text in RELATIONAL.items()}
-ORACLES: dict[str, str] = {name: with_views(Duck(), text(Duck())) for name, text in RELATIONAL.items()}
+QUERIES: dict = {name: _run(text) for name, text in RELATIONAL.items()} | COMPOSED
+ORACLES: dict[str, str] = {name: with_views(Duck(), text(Duck())) for name, text in RELATIONAL.items()} | COMPOSED_SQL
