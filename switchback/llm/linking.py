@@ -2,10 +2,9 @@
 
 Steps, all distributed:
 1. `bucket_links`: items that share a band key are grouped; within blocks of at most
-   BLOCK items a leader is chosen among items that no earlier leader resembles, and
-   every item is linked to every leader it resembles by its signature. An item makes
-   one link per similar leader, so links grow with the items and not with a group's
-   square. A bucket larger than a block is dealt over several blocks by salt, and the
+   BLOCK items a leader is chosen among items that no earlier leader resembles. Of the
+   estimated similarities of items with leaders the maximum spanning forest is linked,
+   so a block makes fewer links than it has items. A bucket larger than a block is dealt over several blocks by salt, and the
    leaders of the blocks meet again in further rounds until one block is left.
 2. the caller verifies links exactly;
 3. items of a bucket whose links all failed go through step 1 once more among
@@ -28,26 +27,49 @@ BLOCK = 2048
 
 
 def _leaders(keys: np.ndarray, sigs: np.ndarray, need: int):
-    """Greedy leaders in key order: (item, leader) index pairs and the leaders' indexes."""
+    """Greedy leaders in key order: linked (item, leader) index pairs and the leaders' indexes."""
     order = np.argsort(keys, kind="stable")
     s = sigs[order]
     free = np.ones(len(s), bool)
-    items, leaders, chosen = [], [], []
+    items, leaders, likes, chosen = [], [], [], []
     for i in range(len(s)):
         if not free[i]:
             continue
         free[i] = False
         chosen.append(i)
-        like = np.count_nonzero(s == s[i], axis=1) >= need
-        like[chosen] = False  # leaders don't resemble each other
-        at = np.flatnonzero(like)
+        like = np.count_nonzero(s == s[i], axis=1)
+        like[chosen] = 0  # leaders don't resemble each other
+        at = np.flatnonzero(like >= need)
         free[at] = False
         items.append(at)
         leaders.append(np.full(len(at), i))
-    a, b = np.concatenate(items), np.concatenate(leaders)
+        likes.append(like[at])
+    a, b, n = np.concatenate(items), np.concatenate(leaders), np.concatenate(likes)
+    if len(chosen) > 1 and len(a):
+        keep = _forest(a, b, np.argsort(-n, kind="stable"), len(s))
+        a, b = a[keep], b[keep]
     return order[a], order[b], order[np.array(chosen)]
 
 
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> list[int]:
+    """Edges, taken in order, that join two trees."""
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    keep = []
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            up[x] = y
+            keep.append(k)
+    return keep
+
+
 def _pairs_of_blocks(need: int, width: int, dtype=np.uint32):
     """mapInArrow over rows (bucket, salt, key, sig) sorted by bucket and salt: links and leaders."""
 
