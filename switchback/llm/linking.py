@@ -7,8 +7,9 @@ Steps, all distributed:
    so a block makes fewer links than it has items. A bucket larger than a block is dealt over several blocks by salt, and the
    leaders of the blocks meet again in further rounds until one block is left.
 2. the caller verifies links exactly;
-3. items of a bucket whose links all failed go through step 1 once more among
-   themselves (`find_links` repeats until no bucket has two of them or none links);
+3. items whose links all failed are compared with every item of their buckets: their
+   likest ones are linked and verified, four times as many each turn, until an item has
+   a link that holds or nothing is left to try (`find_links`);
 4. `components`: smallest-label propagation with pointer jumping over verified links.
 """
 
@@ -70,87 +71,120 @@ def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> list[int
     return keep
 
 
-def _pairs_of_blocks(need: int, width: int, dtype=np.uint32):
-    """mapInArrow over rows (bucket, salt, key, sig) sorted by bucket and salt: links and leaders."""
+def _by_block(work: Callable, width: int, dtype):
+    """mapInArrow over rows (bucket, salt, key, sig, lost) sorted by bucket and salt.
 
-    def emit(bucket, key, sig, cuts):
-        a, b, lead_b, lead_k = [], [], [], []
-        size = np.diff(cuts)
-        two = np.flatnonzero(size == 2)  # most buckets hold two items
-        if len(two):
-            x, y = cuts[two], cuts[two] + 1
-            same = np.count_nonzero(sig[x] == sig[y], axis=1) >= need
-            lo, hi = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
-            a.append(hi[same])
-            b.append(lo[same])
-        for g in np.flatnonzero(size > 2):
-            s = slice(cuts[g], cuts[g + 1])
-            k = key[s]
-            i, l, c = _leaders(k, sig[s], need)
-            a.append(k[i])
-            b.append(k[l])
-            lead_k.append(k[c])
-            lead_b.append(np.full(len(c), bucket[cuts[g]]))
-        cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-        a, b, lead_k, lead_b = cat(a), cat(b), cat(lead_k), cat(lead_b)
-        n, m = len(a), len(lead_k)
-        return pa.RecordBatch.from_pydict({
-            "bucket": pa.array(np.append(np.zeros(n, np.int64), lead_b)),
-            "key": pa.array(np.append(a, lead_k)),
-            "other": pa.array(np.append(b, lead_k)),
-        })
+    work(bucket, key, sig, lost, cuts) is called with whole blocks; only the last, open one is held.
+    """
 
     def run(batches):
         held: list[tuple] = []
 
-        def work(parts, last):
-            bucket, salt, key, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        def ready(parts, last):
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            bucket, salt, key, sig, lost = cols
             new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])) + 1
             cuts = np.concatenate([[0], new, [len(bucket)]])
+            rest = None
             if not last:
-                tail = slice(cuts[-2], None)
-                rest = (bucket[tail], salt[tail], key[tail], sig[tail])
+                rest = tuple(c[cuts[-2] :] for c in cols)
                 cuts = cuts[:-1]
-            else:
-                rest = None
-            return (emit(bucket, key, sig, cuts) if len(cuts) > 1 else None), rest
+            return (work(bucket, key, sig, lost, cuts) if len(cuts) > 1 else None), rest
 
         for b in batches:
             if b.num_rows == 0:
                 continue
             sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype).reshape(-1, width)
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sig))
-            out, rest = work(held, False)
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sig, b.column(4).to_numpy(zero_copy_only=False).astype(bool)))
+            out, rest = ready(held, False)
             held = [rest]
             if out is not None:
                 yield out
         if held:
-            yield work(held, True)[0]
+            yield ready(held, True)[0]
 
     return run
 
 
+def _cat(parts: list) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _leader_links(need: int):
+    """Links of blocks to leaders; rows with key = other name a bucket's leaders."""
+
+    def work(bucket, key, sig, lost, cuts):
+        a, b, lead_b, lead_k = [], [], [], []
+        size = np.diff(cuts)
+        two = cuts[:-1][size == 2]  # most buckets hold two items
+        if len(two):
+            same = np.count_nonzero(sig[two] == sig[two + 1], axis=1) >= need
+            a.append(np.maximum(key[two], key[two + 1])[same])
+            b.append(np.minimum(key[two], key[two + 1])[same])
+        for g in np.flatnonzero(size > 2):
+            s = slice(cuts[g], cuts[g + 1])
+            k = key[s]
+            i, l, c = _leaders(k, sig[s], need)
+            a.append(k[i])
+            b.append(k[l])
+            lead_k.append(k[c])
+            lead_b.append(np.full(len(c), bucket[cuts[g]]))
+        a, b, lead_k, lead_b = _cat(a), _cat(b), _cat(lead_k), _cat(lead_b)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(np.zeros(len(a), np.int64), lead_b)), "key": pa.array(np.append(a, lead_k)), "other": pa.array(np.append(b, lead_k))})
+
+    return work
+
+
+def _retry_links(need: int, most: int):
+    """For every lost item of a block, its `most` likest items there."""
+
+    def work(bucket, key, sig, lost, cuts):
+        a, b = [], []
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = np.flatnonzero(lost[x:y])
+            for part in np.array_split(own, -(-len(own) // 64)) if len(own) and y - x > 1 else ():
+                like = np.count_nonzero(sig[x:y][None] == sig[x + part][:, None], axis=2)
+                like[key[x:y][None] == key[x + part][:, None]] = 0
+                order = np.argsort(-like, axis=1, kind="stable")[:, :most]
+                row, col = np.nonzero(np.take_along_axis(like, order, 1) >= need)
+                a.append(key[x + part[row]])
+                b.append(key[x + order[row, col]])
+        a, b = _cat(a), _cat(b)
+        return pa.RecordBatch.from_pydict({"key": pa.array(np.maximum(a, b)), "other": pa.array(np.minimum(a, b))})
+
+    return work
+
+
+def retry_links(members: DataFrame, lost: DataFrame, sigs: DataFrame, need: int, width: int, dtype, most: int) -> DataFrame:
+    """Links of lost items to the `most` likest members of each bucket and block, whatever those are linked to."""
+    flagged = members.join(lost.select("key", F.lit(True).alias("lost")), "key", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    hit = flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("lost").alias("any")).where("any and n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    salts = F.when(F.col("lost"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), blocks)))
+    rows = flagged.join(hit, "bucket").join(sigs, "key").select("bucket", F.explode(salts).alias("salt"), "key", "sig", "lost")
+    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(_by_block(_retry_links(need, most), width, dtype), "key long, other long").distinct()
+
+
 def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int, width: int, dtype, tag: str) -> DataFrame:
     """Distinct links (key, other) with key > other from members (bucket, key); sigs has (key, sig)."""
     links = None
-    step = 0
+    step, last = 0, None
     while True:
-        counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        blocks = members.join(counts, "bucket").join(sigs, "key").select(
-            "bucket", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(0)).cast("long").alias("salt"), "key", "sig", "n")
-        big = blocks.where(F.col("n") > BLOCK).select("bucket").distinct()
-        rows = blocks.drop("n").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
-        made = ws.write(rows.mapInArrow(_pairs_of_blocks(need, width, dtype), "bucket long, key long, other long"), f"{tag}-made-{step}")
+        counts = ws.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{tag}-counts-{step}")
+        salt = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(0)).cast("long")
+        rows = members.join(counts, "bucket").join(sigs, "key").select("bucket", salt.alias("salt"), "key", "sig", F.lit(False).alias("lost"))
+        rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
+        made = ws.write(rows.mapInArrow(_by_block(_leader_links(need), width, dtype), "bucket long, key long, other long"), f"{tag}-made-{step}")
         new = made.where("key <> other").select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("other"))
         links = new if links is None else links.unionByName(new)
-        big = ws.write(big, f"{tag}-big-{step}")
+        big = counts.where(F.col("n") > BLOCK).select("bucket")
         if big.isEmpty():
             return links.distinct()
         members = ws.write(made.where("key = other").select("bucket", "key").join(big, "bucket"), f"{tag}-members-{step}")
-        before, step = members.count(), step + 1
-        if step > 1 and before >= last:  # no block found a pair: the leaders are unlike each other as far as blocks show
+        now, step = members.count(), step + 1
+        if last is not None and now >= last:  # leaders of all blocks are unlike each other
             return links.distinct()
-        last = before
+        last = now
 
 
 BITS = 23
@@ -197,26 +231,21 @@ def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, w
     """
     multi = ws.write(band_rows(sigs, band_keys, width, dtype).select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "multi")
     members = ws.write(band_rows(sigs, band_keys, width, dtype, bitmap(multi, "bucket")).join(multi, "bucket"), "members-0")
-    tried = good = None
-    turn = 0
+    done = ws.write(verify(ws.write(bucket_links(ws, members, sigs, need, width, dtype, "t"), "links-0"), "v0"), "done-0")
+    tried, turn = done, 0
     while True:
-        links = bucket_links(ws, members, sigs, need, width, dtype, f"t{turn}")
-        if tried is not None:
-            links = links.join(tried.select("key", "other"), ["key", "other"], "left_anti")
-        done = ws.write(verify(ws.write(links, f"links-{turn}"), f"v{turn}"), f"done-{turn}")
-        ws.drop(f"links-{turn}")
-        tried = done if tried is None else tried.unionByName(done)
-        ok = done.where("same").select("key", "other")
-        good = ok if good is None else good.unionByName(ok)
-        # items with links of which none held go on, among themselves
+        # items none of whose links held try the likest items of their buckets, more of them each turn, until all are tried
         ends = tried.select(F.explode(F.array("key", "other")).alias("key"), "same").groupBy("key").agg(F.max("same").alias("any"))
-        lost = ends.where("not any").select("key")
+        lost = ws.write(ends.where("not any").select("key"), f"lost-{turn}")
+        if lost.isEmpty():
+            break
+        links = retry_links(members, lost, sigs, need, width, dtype, 8 * 4**turn).join(tried.select("key", "other"), ["key", "other"], "left_anti")
         turn += 1
-        rest = members.join(lost, "key", "left_semi")
-        again = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        members = ws.write(rest.join(again, "bucket").select("bucket", "key"), f"members-{turn}")
-        if done.isEmpty() or members.isEmpty():
-            return good
+        links = ws.write(links, f"links-{turn}")
+        if links.isEmpty():
+            break
+        tried = tried.unionByName(ws.write(verify(links, f"v{turn}"), f"done-{turn}"))
+    return tried.where("same").select("key", "other")
 
 
 def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
@@ -225,7 +254,7 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
     Alternates large-star and small-star; each round is written to the shared folder.
     """
     edges = ws.write(links.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).where("u <> v").distinct(), f"{tag}-0")
-    step = 0
+    step, seen = 0, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -233,13 +262,12 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         step += 1
-        new = ws.write(small, f"{tag}-{step}")
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        ws.drop(f"{tag}-{step - 1}") if step > 1 else None
-        edges = new
-        if same == old:
+        edges = ws.write(small, f"{tag}-{step}")
+        ws.drop(f"{tag}-{step - 1}")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+        seen = now
 
 
 def verify_links(ws: Workspace, links: DataFrame, texts: Callable, compare: Callable, tag: str) -> DataFrame:
