@@ -36,12 +36,12 @@ RANK = 192
 OVERSAMPLE = 16
 WIDTHS = (16, 32, 64)
 STRIDE = 8
-COSINE = 0.4
-SLACK = 0.8
+COSINE = 0.5
 AROUND = 32
 LCS_ALL, LCS_CONTENT, LCS_FEW = 0.5, 0.5, 0.8
 ANSWER = 0.5
 CONTENT_SHARE = 0.05  # words in more documents than this are not content
+COMMON = 0.15  # factor of their weight
 _M = np.uint64(FEATURES - 1)
 
 
@@ -240,14 +240,14 @@ def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, s
         at, col = maybe[hit], col[hit]
         mass = np.concatenate([[0], np.cumsum(sq[at])])
         lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
-        keep = np.flatnonzero((mass[hi] - mass[lo] >= (SLACK * COSINE) ** 2 * norm2) & (hi - lo >= 2) & (norm2 > 0))
+        keep = np.flatnonzero((mass[hi] - mass[lo] >= COSINE**2 * norm2) & (hi - lo >= 2) & (norm2 > 0))
         if not len(keep):
             continue
-        for part in np.array_split(keep, -(-len(keep) // 4096)):
-            a, b = lo[part].min(), hi[part].max()
-            run = np.zeros((b - a + 1, v.shape[1]), np.float32)
-            np.cumsum(v[col[a:b]], axis=0, out=run[1:])
-            cos = (run[hi[part] - a] - run[lo[part] - a]) @ u.T / np.sqrt(norm2[part])[:, None].astype(np.float32)
+        for part in np.array_split(keep, -(-len(keep) // 1024)):
+            n = hi[part] - lo[part]
+            rows = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            z = np.add.reduceat(v[col[rows]], np.cumsum(n) - n, axis=0)
+            cos = z @ u.T / np.sqrt(norm2[part])[:, None].astype(np.float32)
             x, y = np.nonzero(cos >= COSINE)
             for k in np.argsort(-cos[x, y], kind="stable").tolist():
                 d, p = int(doc[part[x[k]]]), block[y[k]]
@@ -260,6 +260,17 @@ def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, s
     return found
 
 
+def content_weight(n: int) -> float:
+    """Least weight of a content word."""
+    return float(np.log((1 + n) / (1 + CONTENT_SHARE * n)))
+
+
+def word_weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency by hashed word, much less for words that are not content."""
+    idf = np.log((1 + n) / (1 + df)).clip(0)
+    return np.where(idf >= content_weight(n), idf, COMMON * idf)
+
+
 def build(docs: DataFrame, benchmark: DataFrame):
     """Indexes, one a pass over the documents."""
     spark = docs.sparkSession
@@ -267,8 +278,8 @@ def build(docs: DataFrame, benchmark: DataFrame):
     if not items:
         return []
     df, n = document_frequencies(docs)
-    idf = np.log((1 + n) / (1 + df)).clip(0)
-    todo = passages(items, idf, float(np.log((1 + n) / (1 + CONTENT_SHARE * n))) if n else 0.0)
+    idf = word_weights(df, n)
+    todo = passages(items, idf, content_weight(n))
     blocks = []
     for k in range(0, len(todo), BLOCK_ITEMS):
         part = todo[k : k + BLOCK_ITEMS]
