@@ -196,7 +196,7 @@ def places_near_route_lines(spark, sf):
 @plan()
 def line_near_line(spark, sf):
     a = _route_lines(spark, sf)
-    return spatial.lines_near_lines(a.where("route_id % 2 = 0"), a.where("route_id % 2 = 1").withColumnRenamed("route_id", "other_id"), "route_id", "other_id", 3000.0, max_lat=50)
+    return spatial.lines_near_lines(a.where("route_id % 2 = 0"), a.where("route_id % 2 = 1").withColumnRenamed("route_id", "other_id"), "route_id", "other_id", 12000.0, max_lat=50)
 
 
 @plan(f"""WITH r AS (SELECT id AS ref_id, CASE WHEN id % 10 = 0 THEN id END AS ref_ext, name AS ref_name, lat + 1e-3 AS ref_lat, lng AS ref_lng FROM destinations WHERE id % 4 = 0), c AS (SELECT id, id AS ext, name, lat, lng FROM destinations WHERE id % 3 = 0),
@@ -411,3 +411,49 @@ def stream_daily_windows(spark, sf):
     w = ingest.windowed(ingest.read_points(spark, f"{root}/in", e.schema))
     w.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(w.schema).parquet(f"{root}/out").select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# routes and areas
+
+
+def _made_routes(spark, sf):
+    """Routes of two segments, the second stored backwards; every seventh has its segments swapped."""
+    r = table(spark, sf, "routes").select("id", "lat", "lng")
+    v = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda k: F.struct((F.col("lng") + k * 0.001).alias("lng"), F.col("lat").alias("lat"), (k * 10.0).alias("z")))
+    gains = {"gain": F.lit(40.0), "loss": F.lit(0.0)}
+    rt = r.select(F.col("id").alias("route_id"), v(0, 4).alias("path"), F.lit("point_to_point").alias("shape")).withColumns(gains)
+    one = r.select((F.col("id") * 2).alias("segment_id"), v(0, 2).alias("path"), F.lit(20.0).alias("gain"), F.lit(0.0).alias("loss"))
+    two = r.select((F.col("id") * 2 + 1).alias("segment_id"), F.reverse(v(2, 4)).alias("path"), F.lit(0.0).alias("gain"), F.lit(20.0).alias("loss"))
+    swap = (F.col("id") % 7 == 0).cast("int")
+    bridge = r.select(F.col("id").alias("route_id"), (F.col("id") * 2).alias("segment_id"), swap.alias("ordinal"), F.lit("forward").alias("direction")).unionByName(r.select(F.col("id").alias("route_id"), (F.col("id") * 2 + 1).alias("segment_id"), (1 - swap).alias("ordinal"), F.lit("reverse").alias("direction")))
+    places = r.select(F.col("id").alias("destination_id"), "lat", (F.col("lng") + 0.004).alias("lng"), F.array(F.when(F.col("id") % 5 == 0, "lake").otherwise("summit")).alias("features"))
+    contacts = r.select(F.col("id").alias("route_id"), F.col("id").alias("destination_id"), F.lit(0).alias("ordinal"))
+    return rt, one.unionByName(two), bridge, contacts, places
+
+
+@plan("SELECT id AS route_id, id % 7 <> 0 AS connected, id % 5 <> 0 AS has_summit, id % 7 <> 0 AND id % 5 <> 0 AS passes FROM routes")
+def route_publish_checks(spark, sf):
+    from switchback.operators import routes
+
+    return routes.publish_checks(*_made_routes(spark, sf)).select("route_id", "connected", "has_summit", "passes")
+
+
+@plan("SELECT id AS route_id, k AS run, 'existing' AS kind, id * 2 + k AS segment_id, CASE WHEN k = 0 THEN 'forward' ELSE 'reverse' END AS direction FROM routes, range(0, 2) t(k)")
+def route_decomposition(spark, sf):
+    from switchback.operators import routes
+
+    rt, segments, bridge, *_ = _made_routes(spark, sf)
+    return routes.decompose(rt, segments, bridge.select("route_id", "segment_id")).select("route_id", "run", "kind", "segment_id", "direction")
+
+
+@plan("SELECT n_nationkey AS area_id, 1000 + n_nationkey AS parent_id FROM nation WHERE n_nationkey % 2 = 0")
+def parent_areas(spark, sf):
+    """Each even area lies in a park that is a little larger; odd ones in one that is too small."""
+    from switchback.operators import areas
+
+    p = lambda x, y: F.struct(F.col(x).alias("lng"), F.col(y).alias("lat"))
+    rings = F.array(F.array(p("west", "south"), p("east", "south"), p("east", "north"), p("west", "north")))
+    a = table(spark, sf, "areas").select(F.col("id").alias("area_id"), "south", "north", (F.col("west") + F.col("id") * 3).alias("west"), (F.col("east") + F.col("id") * 3).alias("east"))
+    pad = F.when(F.col("area_id") % 2 == 0, 0.01).otherwise(-0.1)
+    parks = a.select((F.col("area_id") + 1000).alias("area_id"), (F.col("south") - pad).alias("south"), (F.col("north") + pad).alias("north"), (F.col("west") - pad).alias("west"), (F.col("east") + pad).alias("east"))
+    return areas.parents(a.withColumn("rings", rings), parks.withColumn("rings", rings)).select("area_id", "parent_id")

@@ -118,3 +118,10 @@ def test_merges(spark):
 def test_altitude_time_interpolates(spark):
     p = spark.createDataFrame([(1, 0, 0, 3900.0), (1, 60, 0, 4100.0), (1, 120, 1, 4200.0), (1, 5000, 1, 4200.0)], "session_id int, time int, segment_number int, elevation double")
     assert tracks.altitude_time(p, {"x": 4000.0}).first().x == 30.0
+
+
+def test_lines_near_lines(spark):
+    rows = [(1, [(-119.0, 45.0), (-118.9, 45.0)]), (2, [(-118.95, 45.003), (-118.95, 45.1)]), (3, [(-118.0, 45.0), (-117.9, 45.0)])]
+    t = spark.createDataFrame(rows, "id long, path array<struct<lng:double,lat:double>>")
+    got = spatial.lines_near_lines(t.where("id = 1"), t.where("id > 1").withColumnRenamed("id", "other"), "id", "other", 500.0)
+    assert [r.other for r in got.collect()] == [2]
