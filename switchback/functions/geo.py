@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Radii and the metres within which a kind of place counts as reached.
 EARTH_M = 6_371_000.0
 EARTH_MEAN_M = 6_371_008.8
 DEGREE_M = 111_320.0

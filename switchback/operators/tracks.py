@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from switchback.functions import elevation, geo
 
+# Spacing, radii, shares and gaps of the pair model.
 SAMPLE_M = 25.0
 CHECKPOINT_M = 200.0
 CROSSING_M = 60.0
