@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .store import small_batches
 
 FEATURES = 1 << 18
 DF_BLOCK = 1 << 10
@@ -243,7 +244,7 @@ def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, s
         keep = np.flatnonzero((mass[hi] - mass[lo] >= COSINE**2 * norm2) & (hi - lo >= 2) & (norm2 > 0))
         if not len(keep):
             continue
-        for part in np.array_split(keep, -(-len(keep) // 1024)):
+        for part in np.array_split(keep, -(-len(keep) // 256)):
             n = hi[part] - lo[part]
             rows = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             z = np.add.reduceat(v[col[rows]], np.cumsum(n) - n, axis=0)
@@ -274,6 +275,7 @@ def word_weights(df: np.ndarray, n: int) -> np.ndarray:
 def build(docs: DataFrame, benchmark: DataFrame):
     """Indexes, one a pass over the documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()]
     if not items:
         return []
@@ -298,6 +300,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at, last = out.columns.index("text"), len(out.columns) - 1
 
         def run(batches, shared=shared, at=at, last=last):
+            tc.claim({})
             for b in batches:
                 items = b.column(last).to_pylist()
                 for i, _, data, off in tc.chunks(b.column(at)):

@@ -26,6 +26,19 @@ _pows: dict[str, np.ndarray] = {}
 _tables: dict[str, np.ndarray] = {}
 
 
+_caches: list[dict] = []
+
+
+def claim(own: dict) -> None:
+    """Make `own` the only operator cache that this worker keeps: workers serve one operator after another."""
+    if not any(c is own for c in _caches):
+        _caches[:] = [c for c in _caches if c] + [own]
+    for c in _caches:
+        if c is not own and c:
+            c.clear()
+            pa.default_memory_pool().release_unused()
+
+
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .store import small_batches
 
 FREQUENT = 1 << 16
 SEED_TEXTS = 1000  # texts from which the broadcast table is filled; it changes speed only
@@ -132,11 +133,13 @@ def frequent_table(texts: list[str], model: str) -> tuple[np.ndarray, np.ndarray
 def count_tokens(docs: DataFrame, text: str = "text", model: str | None = None, out: str = "n_tokens") -> DataFrame:
     """`docs` with the token count of a text column as long column `out`; null texts count 0."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = model or default_model()
     seed = [r[0] for r in docs.select(F.col(text)).where(F.col(text).isNotNull()).limit(SEED_TEXTS).collect()]
     table = spark.sparkContext.broadcast(frequent_table(seed, model))
 
     def run(batches):
+        tc.claim(_workers)
         if model not in _workers:
             memo = tc.Memo()
             memo.put(*(x.astype(t) for x, t in zip(table.value, (np.uint64, np.int64), strict=True)))

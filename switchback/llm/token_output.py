@@ -30,7 +30,7 @@ from .store import Workspace, open_fs
 
 END_ID = 1
 ROW_GROUP_DOCS = 1024
-ARENA = 1 << 24  # cached ids of a worker; a full arena is emptied
+ARENA = 1 << 23  # cached ids of a worker; a full arena is emptied
 _workers: dict[str, Encoder] = {}
 
 _LETTER = np.zeros(256, bool)
@@ -158,6 +158,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    tc.claim(_workers)
     if path not in _workers:
         _workers[path] = Encoder(path)
     return _workers[path]

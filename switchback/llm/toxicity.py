@@ -112,7 +112,7 @@ class Lexicon:
         self.exact = {w: (r, 0.0) for r, ws in ((R, REPORTS), (N, NEGATIONS), (G, TARGETS), (T, THREATS)) for w in ws}
         self.exact |= {w: (I, SEED_WEIGHT) for w in INSULTS}
         self.stems = stems
-        self.memo = tc.Memo()
+        self.memo = tc.Memo(20)
 
     def role(self, word: str) -> tuple[int, float]:
         learned = max([self.stems.get(word + "$", 0.0), *(self.stems.get(word[:k], 0.0) for k in PREFIXES if k <= len(word))])
@@ -313,6 +313,7 @@ def _features(df: DataFrame, stems: dict[str, float]) -> DataFrame:
     key = hash(tuple(sorted(stems.items())))
 
     def run(batches):
+        tc.claim(_lexicons)
         if key not in _lexicons:
             _lexicons.clear()
             _lexicons[key] = Lexicon(shared.value)
@@ -349,6 +350,7 @@ def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        tc.claim(_lexicons)
         if key not in _lexicons:
             _lexicons.clear()
             _lexicons[key] = Lexicon(shared.value)
