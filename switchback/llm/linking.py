@@ -7,9 +7,10 @@ Steps, all distributed:
    so a block makes fewer links than it has items. A bucket larger than a block is dealt over several blocks by salt, and the
    leaders of the blocks meet again in further rounds until one block is left.
 2. the caller verifies links exactly;
-3. items whose links all failed are compared with every item of their buckets: their
-   likest ones are linked and verified, four times as many each turn, until an item has
-   a link that holds or nothing is left to try (`find_links`);
+3. items whose links all failed are linked, in each of their buckets, to the RETRY items
+   most like them by signature, whatever those are linked to, and verified
+   (`find_links`). A partner that is none of these, in no bucket, is missed: trying all
+   would be every pair of a group of unlike near-misses;
 4. `components`: smallest-label propagation with pointer jumping over verified links.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 BLOCK = 2048
+RETRY = 4  # likest items of each of its buckets' blocks that an item without a link tries
 
 
 def _leaders(keys: np.ndarray, sigs: np.ndarray, need: int):
@@ -195,8 +197,8 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     low = F.col(column).bitwiseAND((1 << BITS) - 1)
     words = df.select(low.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in words.collect():  # at most 2**(BITS - 6) rows
-        out[r.w] = r.m & 0xFFFFFFFFFFFFFFFF
+    got = words.toArrow()  # at most 2**(BITS - 6) rows
+    out[got.column("w").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
     return out
 
 
@@ -232,19 +234,13 @@ def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, w
     multi = ws.write(band_rows(sigs, band_keys, width, dtype).select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "multi")
     members = ws.write(band_rows(sigs, band_keys, width, dtype, bitmap(multi, "bucket")).join(multi, "bucket"), "members-0")
     done = ws.write(verify(ws.write(bucket_links(ws, members, sigs, need, width, dtype, "t"), "links-0"), "v0"), "done-0")
-    tried, turn = done, 0
-    while True:
-        # items none of whose links held try the likest items of their buckets, more of them each turn, until all are tried
-        ends = tried.select(F.explode(F.array("key", "other")).alias("key"), "same").groupBy("key").agg(F.max("same").alias("any"))
-        lost = ws.write(ends.where("not any").select("key"), f"lost-{turn}")
-        if lost.isEmpty():
-            break
-        links = retry_links(members, lost, sigs, need, width, dtype, 8 * 4**turn).join(tried.select("key", "other"), ["key", "other"], "left_anti")
-        turn += 1
-        links = ws.write(links, f"links-{turn}")
-        if links.isEmpty():
-            break
-        tried = tried.unionByName(ws.write(verify(links, f"v{turn}"), f"done-{turn}"))
+    # items none of whose links held try the likest items of all their buckets
+    ends = done.select(F.explode(F.array("key", "other")).alias("key"), "same").groupBy("key").agg(F.max("same").alias("any"))
+    lost = ws.write(ends.where("not any").select("key"), "lost")
+    if lost.isEmpty():
+        return done.where("same").select("key", "other")
+    more = ws.write(retry_links(members, lost, sigs, need, width, dtype, RETRY).join(done.select("key", "other"), ["key", "other"], "left_anti"), "links-1")
+    tried = done.unionByName(ws.write(verify(more, "v1"), "done-1"))
     return tried.where("same").select("key", "other")
 
 
