@@ -145,10 +145,10 @@ def jaccard(col):
         for k in range(j - i):
             sets[i + k] = np.unique(h[cut[k] : cut[k + 1]])
 
-    def same(i, j):
-        a, b = sets[i], sets[j]
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= SIMILARITY * (len(a) + len(b) - both)
+    def same(i, js):
+        a, others = sets[i], [sets[j] for j in js]
+        both = np.bincount(linking.matches(a, others)[0], minlength=len(others))
+        return both >= SIMILARITY * (len(a) + np.array([len(b) for b in others]) - both)
 
     return same
 
@@ -158,10 +158,7 @@ def removed_lines(texts: DataFrame, ws: Workspace) -> DataFrame:
     seen = ws.write(occurrences(texts), "occurrences")
     sigs = ws.write(signatures(texts).dropDuplicates(["key"]), "sigs")
 
-    def verify(links, tag):
-        return linking.verify_links(ws, links, lambda bits: passing_lines(texts, bits), jaccard, tag)
-
-    links = linking.find_links(ws, sigs, band_keys, NEED, SAMPLES, np.uint16, verify)
+    links = linking.find_links(ws, sigs, band_keys, NEED, SAMPLES, np.uint16, lambda bits: passing_lines(texts, bits), jaccard)
     roots = linking.components(ws, links)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "line")
     first = seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(roots, "key", "left").where("n > 1 or root is not null")

@@ -4,13 +4,16 @@ Steps, all distributed:
 1. `bucket_links`: items that share a band key are grouped; within blocks of at most
    BLOCK items a leader is chosen among items that no earlier leader resembles. Of the
    estimated similarities of items with leaders the maximum spanning forest is linked,
-   so a block makes fewer links than it has items. A bucket larger than a block is dealt over several blocks by salt, and the
-   leaders of the blocks meet again in further rounds until one block is left.
-2. the caller verifies links exactly;
-3. items whose links all failed are linked, in each of their buckets, to the RETRY items
-   most like them by signature, whatever those are linked to, and verified
-   (`find_links`). A partner that is none of these, in no bucket, is missed: trying all
-   would be every pair of a group of unlike near-misses;
+   so a block makes fewer links than it has items. A bucket larger than a block is dealt
+   over several blocks by salt, and the leaders of the blocks meet again in further
+   rounds until one block is left or a round merges nothing;
+2. the links are verified exactly (`verify_links`), and those that hold make components;
+3. what steps 1 and 2 left out is made up for by `cross_links`: in every bucket that
+   several components share, all pairs of items of different components whose estimate
+   passes are verified exactly, unless a link of the same task joined the two before. A
+   large bucket is cut into cells and every two cells meet in a task of at most about
+   BLOCK items. Pairs are tried inside tasks; only links that hold leave them, fewer than
+   the items of the task. A pair in several buckets is tried in the first of its bands;
 4. `components`: smallest-label propagation with pointer jumping over verified links.
 """
 
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 BLOCK = 2048
-RETRY = 4  # likest items of each of its buckets' blocks that an item without a link tries
+PART = 1 << 22  # characters of text prepared at once for exact checks inside a task
+ASK = 64  # pairs of an item verified at once
 
 
 def _leaders(keys: np.ndarray, sigs: np.ndarray, need: int):
@@ -74,9 +78,9 @@ def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> list[int
 
 
 def _by_block(work: Callable, width: int, dtype):
-    """mapInArrow over rows (bucket, salt, key, sig, lost) sorted by bucket and salt.
+    """mapInArrow over rows (bucket, salt, key, sig, *more) sorted by bucket and salt.
 
-    work(bucket, key, sig, lost, cuts) is called with whole blocks; only the last, open one is held.
+    work(bucket, salt, key, sig, *more, cuts) is called with whole blocks; only the last, open one is held.
     """
 
     def run(batches):
@@ -84,20 +88,20 @@ def _by_block(work: Callable, width: int, dtype):
 
         def ready(parts, last):
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            bucket, salt, key, sig, lost = cols
+            bucket, salt = cols[:2]
             new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])) + 1
             cuts = np.concatenate([[0], new, [len(bucket)]])
             rest = None
             if not last:
                 rest = tuple(c[cuts[-2] :] for c in cols)
                 cuts = cuts[:-1]
-            return (work(bucket, key, sig, lost, cuts) if len(cuts) > 1 else None), rest
+            return (work(*cols, cuts) if len(cuts) > 1 else None), rest
 
         for b in batches:
             if b.num_rows == 0:
                 continue
             sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype).reshape(-1, width)
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sig, b.column(4).to_numpy(zero_copy_only=False).astype(bool)))
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sig, *(c.to_numpy(zero_copy_only=False) for c in b.columns[4:])))
             out, rest = ready(held, False)
             held = [rest]
             if out is not None:
@@ -115,7 +119,7 @@ def _cat(parts: list) -> np.ndarray:
 def _leader_links(need: int):
     """Links of blocks to leaders; rows with key = other name a bucket's leaders."""
 
-    def work(bucket, key, sig, lost, cuts):
+    def work(bucket, salt, key, sig, cuts):
         a, b, lead_b, lead_k = [], [], [], []
         size = np.diff(cuts)
         two = cuts[:-1][size == 2]  # most buckets hold two items
@@ -137,34 +141,103 @@ def _leader_links(need: int):
     return work
 
 
-def _retry_links(need: int, most: int):
-    """For every lost item of a block, its `most` likest items there."""
+def _cross_pairs(bucket, sig: np.ndarray, root: np.ndarray, side: np.ndarray, need: int, band_keys: Callable):
+    """(item, earlier items) of a task that differ in root, resemble each other and share no earlier band."""
+    bands = band_keys(sig)
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    apart = bool((side != side[0]).any())  # items of one cell meet in the task that holds this cell only
+    for i in range(1, len(root)):
+        ok = root[:i] != root[i]
+        if apart:
+            ok &= side[:i] != side[i]
+        j = np.flatnonzero(ok)
+        j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= need]
+        if band and len(j):
+            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+        if len(j):
+            yield i, j
+
+
+def _cross_ends(need: int, band_keys: Callable):
+    """Rows of the items that have a pair to verify in their task."""
+
+    def work(bucket, salt, key, sig, root, side, cuts):
+        at = []
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            end = np.zeros(y - x, bool)
+            for i, j in _cross_pairs(bucket[x], sig[x:y], root[x:y], side[x:y], need, band_keys):
+                end[i] = True
+                end[j] = True
+            at.append(x + np.flatnonzero(end))
+        at = _cat(at)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "salt": pa.array(salt[at]), "key": pa.array(key[at]), "sig": pa.array([r.tobytes() for r in sig[at]], pa.binary()), "root": pa.array(root[at]), "side": pa.array(side[at])})
+
+    return work
 
-    def work(bucket, key, sig, lost, cuts):
+
+def _cross_links(need: int, band_keys: Callable, compare: Callable):
+    """Links that hold between items of different roots of a task, none that earlier ones imply."""
+
+    def work(bucket, salt, key, sig, root, side, text, cuts):
         a, b = [], []
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = np.flatnonzero(lost[x:y])
-            for part in np.array_split(own, -(-len(own) // 64)) if len(own) and y - x > 1 else ():
-                like = np.count_nonzero(sig[x:y][None] == sig[x + part][:, None], axis=2)
-                like[key[x:y][None] == key[x + part][:, None]] = 0
-                order = np.argsort(-like, axis=1, kind="stable")[:, :most]
-                row, col = np.nonzero(np.take_along_axis(like, order, 1) >= need)
-                a.append(key[x + part[row]])
-                b.append(key[x + order[row, col]])
-        a, b = _cat(a), _cat(b)
+            k, comp = key[x:y], root[x:y].copy()
+            pairs = list(_cross_pairs(bucket[x], sig[x:y], root[x:y], side[x:y], need, band_keys))
+            part = np.cumsum([len(t) for t in text[x:y]]) // PART
+            for p in np.unique(part).tolist():
+                for q in np.unique(part[part <= p]).tolist():
+                    own = np.flatnonzero((part == p) | (part == q))
+                    same = compare(pa.array(text[x + own], pa.string()))
+                    for i, j in pairs:
+                        if part[i] != p:
+                            continue
+                        j = j[part[j] == q]
+                        while len(j := j[comp[j] != comp[i]]):
+                            ask, j = j[:ASK], j[ASK:]
+                            for o in ask[same(int(np.searchsorted(own, i)), np.searchsorted(own, ask))].tolist():
+                                if comp[o] != comp[i]:
+                                    a.append(k[i])
+                                    b.append(k[o])
+                                    comp[comp == comp[o]] = comp[i]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.RecordBatch.from_pydict({"key": pa.array(np.maximum(a, b)), "other": pa.array(np.minimum(a, b))})
 
     return work
 
 
-def retry_links(members: DataFrame, lost: DataFrame, sigs: DataFrame, need: int, width: int, dtype, most: int) -> DataFrame:
-    """Links of lost items to the `most` likest members of each bucket and block, whatever those are linked to."""
-    flagged = members.join(lost.select("key", F.lit(True).alias("lost")), "key", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
-    hit = flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("lost").alias("any")).where("any and n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    salts = F.when(F.col("lost"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), blocks)))
-    rows = flagged.join(hit, "bucket").join(sigs, "key").select("bucket", F.explode(salts).alias("salt"), "key", "sig", "lost")
-    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(_by_block(_retry_links(need, most), width, dtype), "key long, other long").distinct()
+def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, texts: Callable, compare: Callable, known: DataFrame) -> DataFrame | None:
+    """Verified links between members of different roots in all buckets; known has (key, text) of some items.
+
+    Buckets of two were settled by their link. The largest root of a large bucket has cells
+    of its own, which needn't meet one another: its items are copied to few tasks.
+    """
+    labelled = ws.write(members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "labelled")
+    shares = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = shares.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top")).where("n > 2 and roots > 1")
+    half = BLOCK // 2
+    big = F.col("n") > BLOCK
+    mixed = mixed.select("bucket", F.col("top.root").alias("top"), F.when(big, F.ceil((F.col("n") - F.col("top.c")) / half)).otherwise(1).alias("rest_cells"), F.when(big, F.ceil(F.col("top.c") / half)).otherwise(0).alias("top_cells"))
+    is_top = (F.col("root") == F.col("top")) & (F.col("top_cells") > 0)
+    side = F.when(is_top, F.col("rest_cells") + F.pmod(F.xxhash64("key"), "top_cells")).otherwise(F.pmod(F.xxhash64("key"), "rest_cells"))
+    cells = F.col("rest_cells") + F.col("top_cells")
+    meets = F.sequence(F.lit(0).cast("long"), F.when(is_top, F.col("rest_cells")).otherwise(cells) - 1)
+    rows = labelled.join(mixed, "bucket").withColumn("side", side.cast("long")).withColumn("cells", cells)
+    rows = rows.select("bucket", "key", "root", "side", F.explode(F.transform(meets, lambda c: F.least(c, "side") * F.col("cells") + F.greatest(c, "side"))).alias("salt"))
+    rows = rows.join(sigs, "key").select("bucket", F.col("salt").cast("long").alias("salt"), "key", "sig", "root", "side")
+
+    def dealt(df):
+        return df.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
+
+    schema = "bucket long, salt long, key long, sig binary, root long, side long"
+    ends = ws.write(dealt(rows).mapInArrow(_by_block(_cross_ends(need, band_keys), width, dtype), schema), "cross-ends")
+    if ends.isEmpty():
+        return None
+    wanted = ws.write(ends.select("key").distinct(), "cross-need")
+    have = known.join(wanted, "key", "left_semi").select("key", "text")
+    lack = ws.write(wanted.join(known.select("key"), "key", "left_anti"), "cross-lack")
+    if not lack.isEmpty():
+        have = have.unionByName(needed_texts(ws, lack, texts, "cross-texts"))
+    return ws.write(dealt(ends.join(have, "key").select("bucket", "salt", "key", "sig", "root", "side", "text")).mapInArrow(_by_block(_cross_links(need, band_keys, compare), width, dtype), "key long, other long"), "cross-links")
 
 
 def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int, width: int, dtype, tag: str) -> DataFrame:
@@ -174,7 +247,7 @@ def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int,
     while True:
         counts = ws.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{tag}-counts-{step}")
         salt = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(0)).cast("long")
-        rows = members.join(counts, "bucket").join(sigs, "key").select("bucket", salt.alias("salt"), "key", "sig", F.lit(False).alias("lost"))
+        rows = members.join(counts, "bucket").join(sigs, "key").select("bucket", salt.alias("salt"), "key", "sig")
         rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
         made = ws.write(rows.mapInArrow(_by_block(_leader_links(need), width, dtype), "bucket long, key long, other long"), f"{tag}-made-{step}")
         new = made.where("key <> other").select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("other"))
@@ -184,7 +257,7 @@ def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int,
             return links.distinct()
         members = ws.write(made.where("key = other").select("bucket", "key").join(big, "bucket"), f"{tag}-members-{step}")
         now, step = members.count(), step + 1
-        if last is not None and now >= last:  # leaders of all blocks are unlike each other
+        if last is not None and now >= last:  # leaders that haven't met yet do so in cross_links
             return links.distinct()
         last = now
 
@@ -226,22 +299,22 @@ def band_rows(sigs: DataFrame, band_keys: Callable, width: int, dtype, bits: np.
     return sigs.select("key", "sig").mapInArrow(run, "bucket long, key long")
 
 
-def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Verified links (key, other) of signatures (key, sig); verify(links, tag) adds boolean `same`.
+def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, texts: Callable, compare: Callable) -> DataFrame:
+    """Links (key, other) that span the components of verified pairs of signatures (key, sig).
 
-    Buckets are counted first; only members of buckets with two or more are dealt out.
+    All pairs that share a bucket and have `need` equal samples are verified or joined by
+    others. For texts and compare see `verify_links`. Buckets are counted first; only
+    members of buckets with two or more are dealt out.
     """
     multi = ws.write(band_rows(sigs, band_keys, width, dtype).select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "multi")
     members = ws.write(band_rows(sigs, band_keys, width, dtype, bitmap(multi, "bucket")).join(multi, "bucket"), "members-0")
-    done = ws.write(verify(ws.write(bucket_links(ws, members, sigs, need, width, dtype, "t"), "links-0"), "v0"), "done-0")
-    # items none of whose links held try the likest items of all their buckets
-    ends = done.select(F.explode(F.array("key", "other")).alias("key"), "same").groupBy("key").agg(F.max("same").alias("any"))
-    lost = ws.write(ends.where("not any").select("key"), "lost")
-    if lost.isEmpty():
-        return done.where("same").select("key", "other")
-    more = ws.write(retry_links(members, lost, sigs, need, width, dtype, RETRY).join(done.select("key", "other"), ["key", "other"], "left_anti"), "links-1")
-    tried = done.unionByName(ws.write(verify(more, "v1"), "done-1"))
-    return tried.where("same").select("key", "other")
+    links = ws.write(bucket_links(ws, members, sigs, need, width, dtype, "t"), "links-0")
+    known, checked = verify_links(ws, links, texts, compare, "v0")
+    done = ws.write(checked, "done-0")
+    roots = ws.write(components(ws, done.where("same").select("key", "other"), "leaders"), "roots")
+    stars = roots.where("key <> root").select("key", F.col("root").alias("other"))
+    more = cross_links(ws, members, roots, sigs, band_keys, need, width, dtype, texts, compare, known)
+    return stars if more is None else stars.unionByName(more)
 
 
 def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
@@ -266,14 +339,31 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
         seen = now
 
 
-def verify_links(ws: Workspace, links: DataFrame, texts: Callable, compare: Callable, tag: str) -> DataFrame:
-    """(key, other, same) for links (key, other); texts(bitmap) gives (key, text) and may repeat keys.
+def needed_texts(ws: Workspace, keys: DataFrame, texts: Callable, tag: str) -> DataFrame:
+    """(key, text), once a key, of the keys."""
+    return ws.write(texts(bitmap(keys, "key")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), tag)
+
+
+def matches(a: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which other, place in a, place in the joined others) of elements of others that sorted `a` holds."""
+    flat = np.concatenate(others)
+    which = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    if not len(a):
+        return which[:0], which[:0], which[:0]
+    at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    hit = np.flatnonzero(a[at] == flat)
+    return which[hit], at[hit], hit
+
+
+def verify_links(ws: Workspace, links: DataFrame, texts: Callable, compare: Callable, tag: str) -> tuple[DataFrame, DataFrame]:
+    """The texts (key, text) of all ends, and (key, other, same) for links (key, other).
 
-    compare(column of texts) returns a function (i, j) -> bool over the texts' indexes.
-    Only texts that occur in a link are moved; a text met again in a batch is prepared once.
+    texts(bitmap) gives (key, text) and may repeat keys. compare(column of texts) returns a
+    function (i, array of j) -> array of bool over the texts' indexes. Only texts that
+    occur in a link are moved; a text met again in a batch is prepared once.
     """
     need = ws.write(links.select(F.explode(F.array("key", "other")).alias("key")).distinct(), f"{tag}-need")
-    cand = ws.write(texts(bitmap(need, "key")).join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), f"{tag}-texts")
+    cand = needed_texts(ws, need, texts, f"{tag}-texts")
     rows = links.join(cand.select(F.col("key").alias("other"), F.col("text").alias("b")), "other").join(cand.select("key", F.col("text").alias("a")), "key").select("key", "other", "a", "b")
 
     def run(batches):
@@ -285,6 +375,6 @@ def verify_links(ws: Workspace, links: DataFrame, texts: Callable, compare: Call
                 col = pa.concat_arrays([b.column(2), b.column(3)]).take(pa.array(rep))
                 same = compare(col)
                 n = b.num_rows
-                yield pa.RecordBatch.from_pydict({"key": b.column(0), "other": b.column(1), "same": pa.array([bool(same(inv[i], inv[n + i])) for i in range(n)], pa.bool_())})
+                yield pa.RecordBatch.from_pydict({"key": b.column(0), "other": b.column(1), "same": pa.array([bool(same(inv[i], inv[n + i : n + i + 1])[0]) for i in range(n)], pa.bool_())})
 
-    return rows.mapInArrow(run, "key long, other long, same boolean")
+    return cand, rows.mapInArrow(run, "key long, other long, same boolean")

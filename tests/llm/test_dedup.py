@@ -113,6 +113,39 @@ def test_blocks_of_a_hot_bucket_meet_again(spark, monkeypatch):
     assert roots.select("root").distinct().count() == 1 and roots.count() == n
 
 
+def classes_of(spark, sig, true, need, columns=1):
+    """Classes by find_links; the first columns of sig are the bands, `true` the pairs that hold."""
+    ws = Workspace(spark, "test")
+    sigs = spark.createDataFrame([(k, sig[k].tobytes()) for k in range(len(sig))], "key long, sig binary")
+
+    def compare(col):
+        name = [int(x) for x in col.to_pylist()]
+        return lambda i, js: np.array([(min(name[i], name[j]), max(name[i], name[j])) in true for j in js], bool)
+
+    def bands(s):
+        return s[:, :columns].astype(np.int64) + 1_000_000 * np.arange(columns)
+
+    texts = spark.createDataFrame([(k, str(k)) for k in range(len(sig))], "key long, text string")
+    links = linking.find_links(ws, sigs, bands, need, sig.shape[1], np.uint32, lambda bits: texts, compare)
+    return {r.key: r.root for r in linking.components(ws, links).collect()}
+
+
+def test_a_partner_that_many_near_misses_outrank_is_found(spark):
+    sig = np.arange(40, dtype=np.uint32)[:, None] * 100 + np.arange(12, dtype=np.uint32)
+    sig[:, :7] = np.arange(7)
+    sig[30, 5:7] = 9  # resembles all others less than they resemble one another
+    assert classes_of(spark, sig, {(29, 30)}, 5) == {29: 29, 30: 29}
+
+
+def test_pairs_in_several_bands_and_parts_are_found(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART", 8)
+    sig = np.arange(30, dtype=np.uint32)[:, None] * 100 + np.arange(12, dtype=np.uint32)
+    sig[:, 1:7] = np.arange(6)
+    sig[:15, 0] = 5
+    true = {(3, 17), (4, 9), (9, 22), (28, 29)}
+    assert classes_of(spark, sig, true, 5, columns=3) == {3: 3, 17: 3, 4: 4, 9: 4, 22: 4, 28: 28, 29: 28}
+
+
 def test_lines_split_like_text():
     texts = ["", "a\n", "\n\n", "x\ny\n\nz", "é\nü", "a"]
     data, off = tc.column_bytes(pa.array(texts))
