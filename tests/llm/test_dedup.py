@@ -137,6 +137,17 @@ def test_a_partner_that_many_near_misses_outrank_is_found(spark):
     assert classes_of(spark, sig, {(29, 30)}, 5) == {29: 29, 30: 29}
 
 
+def test_components_that_a_thinned_link_would_join_are_compared(spark):
+    a, b = np.arange(12), np.arange(12) + np.where(np.arange(12) < 5, 0, 100)
+    x, j, m = np.arange(12) + 200, np.arange(12) + 300, np.arange(12) + 400
+    for who, cols_a, cols_b in ((x, [5, 6], [7, 8]), (j, [5, 6, 7], [8, 9, 10]), (m, [], [8, 9, 10, 11])):
+        who[:5] = a[:5]
+        who[cols_a], who[cols_b] = a[cols_a], b[cols_b]
+    sig = np.array([a, b, x, j, m], np.uint32)
+    true = {(0, 2), (1, 2), (0, 3), (1, 4)}  # not (1, 3), which the forest of estimates relies on
+    assert set(classes_of(spark, sig, true, 6).values()) == {0} and len(classes_of(spark, sig, true, 6)) == 5
+
+
 def test_pairs_in_several_bands_and_parts_are_found(spark, monkeypatch):
     monkeypatch.setattr(linking, "PART", 8)
     sig = np.arange(30, dtype=np.uint32)[:, None] * 100 + np.arange(12, dtype=np.uint32)
