@@ -157,6 +157,27 @@ def test_pairs_in_several_bands_and_parts_are_found(spark, monkeypatch):
     assert classes_of(spark, sig, true, 5, columns=3) == {3: 3, 17: 3, 4: 4, 9: 4, 22: 4, 28: 28, 29: 28}
 
 
+def test_unlike_members_of_a_hot_bucket_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    n, cells = 160, 10
+    dealt = spark.range(n).select("id", *[F.pmod(F.xxhash64("id", F.lit(step)), F.lit(cells)).alias(f"s{step}") for step in range(2)]).orderBy("id").collect()
+    mate = next(r.id for r in dealt[1:] if r.s0 != dealt[0].s0 and r.s1 != dealt[0].s1)  # apart in both rounds
+    sig = np.arange(n, dtype=np.uint32)[:, None] * 100 + np.arange(8, dtype=np.uint32)
+    sig[:, 0] = 7
+    sig[mate, :6] = sig[0, :6]
+    assert classes_of(spark, sig, {(0, mate)}, 5) == {0: 0, mate: 0}
+
+
+def test_large_roots_meet_the_rest_of_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    n = 90
+    sig = np.tile(np.arange(8, dtype=np.uint32), (n, 1))
+    sig[60:, 4:] = 1000 + 10 * np.arange(30)[:, None] + np.arange(4)
+    true = {(i, j) for i in range(60) for j in range(i + 1, 60)} | {(59, 89), (70, 80)}
+    got = classes_of(spark, sig, true, 4)
+    assert {k for k, r in got.items() if r == 0} == {*range(60), 89} and got[80] == got[70] == 70 and len(got) == 63
+
+
 def test_lines_split_like_text():
     texts = ["", "a\n", "\n\n", "x\ny\n\nz", "é\nü", "a"]
     data, off = tc.column_bytes(pa.array(texts))
