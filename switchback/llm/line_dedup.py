@@ -27,9 +27,9 @@ from .store import Workspace
 
 SHINGLE = 8
 SIMILARITY = 0.7
-BANDS, ROWS = 7, 3
+BANDS, ROWS = 14, 3  # at the threshold a pair shares no band with probability 0.3 %
 SAMPLES = BANDS * ROWS
-NEED = 9  # of SAMPLES; at the threshold a pair has fewer with probability 0.4 %
+NEED = 20  # of SAMPLES; at the threshold a pair has fewer with probability 0.07 %
 _A = (tc.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (tc.mix(np.arange(101, SAMPLES + 101, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 

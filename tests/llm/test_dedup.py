@@ -178,6 +178,15 @@ def test_large_roots_meet_the_rest_of_a_hot_bucket(spark, monkeypatch):
     assert {k for k, r in got.items() if r == 0} == {*range(60), 89} and got[80] == got[70] == 70 and len(got) == 63
 
 
+def test_line_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(4)
+    n, both, own = 3000, 70, 15  # similarity 0.7
+    h = rng.integers(0, 1 << 63, (n, both + 2 * own)).astype(np.uint64)
+    sig = [line_dedup.minima(np.repeat(np.arange(n), both + own), part.ravel()) for part in (h[:, : both + own], np.delete(h, np.s_[both : both + own], 1))]
+    met = (line_dedup.band_keys(sig[0]) == line_dedup.band_keys(sig[1])).any(axis=1) & (np.count_nonzero(sig[0] == sig[1], axis=1) >= line_dedup.NEED)
+    assert met.mean() > 0.99
+
+
 def test_lines_split_like_text():
     texts = ["", "a\n", "\n\n", "x\ny\n\nz", "é\nü", "a"]
     data, off = tc.column_bytes(pa.array(texts))
