@@ -6,6 +6,8 @@ TF-IDF rows (BLOCK_ITEMS passages a block, RANK directions) gives a word project
 that no passage of the block holds project to nothing, so only few words of a document
 are touched. Windows of several widths over whole documents are pruned by the mass of
 their benchmark words, projected, and compared by cosine with all passages of the block.
+Passages of common words would drown in their neighbours' weight, so these are sought by
+the number of their words in a region instead, which misses none that the check accepts.
 A candidate is confirmed on the window with its surroundings: longest common subsequence
 of all words and of content words, and the words of the passage's answer (its last
 sentence) must be there.
@@ -33,13 +35,15 @@ DF_BLOCK = 1 << 10
 PASSAGE = 64
 BLOCK_ITEMS = 256
 PASS_BLOCKS = 4
-RANK = 192
+RANK = BLOCK_ITEMS  # all directions of a block
 OVERSAMPLE = 16
 WIDTHS = (16, 32, 64)
 STRIDE = 8
-COSINE = 0.5
+COSINE = 0.35  # half of a passage's words give 0.37 or more in the best window; confirm() asks for half
+SLACK = 0.8  # repeated words project to more than their mass
 AROUND = 32
 LCS_ALL, LCS_CONTENT, LCS_FEW = 0.5, 0.5, 0.8
+FEW = 3  # passages with fewer content words are plain: LCS_FEW of all their words must match
 ANSWER = 0.5
 CONTENT_SHARE = 0.05  # words in more documents than this are not content
 COMMON = 0.15  # factor of their weight
@@ -203,7 +207,7 @@ def confirm(p: Passage, words: list[int]) -> bool:
         return False
     got = lcs(p.masks, n, words) / n
     c = int(p.content.sum())
-    if c < 3:
+    if c < FEW:
         return got >= LCS_FEW
     return got >= LCS_ALL and lcs(p.content_masks, c, words) >= LCS_CONTENT * c
 
@@ -241,7 +245,7 @@ def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, s
         at, col = maybe[hit], col[hit]
         mass = np.concatenate([[0], np.cumsum(sq[at])])
         lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
-        keep = np.flatnonzero((mass[hi] - mass[lo] >= COSINE**2 * norm2) & (hi - lo >= 2) & (norm2 > 0))
+        keep = np.flatnonzero((mass[hi] - mass[lo] >= (SLACK * COSINE) ** 2 * norm2) & (hi - lo >= 2) & (norm2 > 0))
         if not len(keep):
             continue
         for part in np.array_split(keep, -(-len(keep) // 256)):
@@ -258,6 +262,15 @@ def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, s
                 region = w.hash[max(w.first[d], s - AROUND) : min(w.first[d + 1], e + AROUND)].tolist()
                 if confirm(p, region):
                     found.setdefault(d, set()).add(p.item)
+    narrow = np.flatnonzero(end - start <= WIDTHS[0])
+    left = np.maximum(w.first[doc[narrow]], start[narrow] - AROUND)
+    right = np.minimum(w.first[doc[narrow] + 1], end[narrow] + AROUND)
+    for p in (p for block in index.blocks for p in block[-1] if int(p.content.sum()) < FEW):
+        held = np.concatenate([[0], np.cumsum(np.isin(w.hash, p.words))])
+        for k in np.flatnonzero(held[right] - held[left] >= LCS_FEW * len(p.words)).tolist():
+            d = int(doc[narrow[k]])
+            if p.item not in found.get(d, ()) and confirm(p, w.hash[left[k] : right[k]].tolist()):
+                found.setdefault(d, set()).add(p.item)
     return found
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from switchback.llm import decontam, media, mixing
+from switchback.llm import textcore as tc
 from switchback.llm.store import Workspace, open_fs
 from tests.oracle import differences
 
@@ -51,6 +52,27 @@ def test_decontamination(spark, make_docs, folder):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40)) and "__items" not in kept.columns
 
 
+def test_decontamination_finds_all_that_the_check_accepts(spark, make_docs):
+    """Passages of 23 words that keep 13, and a short one of common words, among rare neighbours."""
+    rng = random.Random(6)
+    common = "we go to the end of it and then on".split()
+    clean = [" ".join(rng.sample(common, 8)) + " " + prose(rng, 120) for _ in range(60)]
+    items = [(i, prose(rng, 23)) for i in range(20)] + [(90, " ".join(common))]
+    docs = []
+    for i in range(20):
+        w = items[i][1].split()
+        for k in rng.sample(range(15), 10):
+            w[k] = prose(rng, 1)
+        docs.append(prose(rng, 90) + " " + " ".join(w) + " " + prose(rng, 90))
+    docs.append(prose(rng, 95) + " " + items[20][1] + " " + prose(rng, 90))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = decontam.build(make_docs([(i, t, "en", "s") for i, t in enumerate(clean + docs)]), bench)[0]
+    got = decontam.search_chunk(index, *tc.column_bytes(pa.array(docs)))
+    found = {p.item: p for b in index.blocks for p in b[-1]}
+    accepts = {d for d, t in enumerate(docs) if decontam.confirm(found[items[d][0]], tc.Words(*tc.column_bytes(pa.array([t]))).hash[80:125].tolist())}
+    assert 20 in accepts and len(accepts) > 5 and all(items[d][0] in got.get(d, ()) for d in accepts)
+
+
 def test_decontamination_of_awkward_rows(spark, make_docs):
     bench = spark.createDataFrame([(1, prose(random.Random(1), 40))], "item_id long, text string")
     assert all(r["__items"] == [] for r in decontam.contamination(make_docs(AWKWARD), bench).collect())
