@@ -39,7 +39,7 @@ RANK = BLOCK_ITEMS  # all directions of a block
 OVERSAMPLE = 16
 WIDTHS = (16, 32, 64)
 STRIDE = 8
-COSINE = 0.35  # half of a passage's words give 0.37 or more in the best window; confirm() asks for half
+COSINE = 0.35  # estimated for half of a passage's words at equal weights; light words may give less
 SLACK = 0.8  # repeated words project to more than their mass
 AROUND = 32
 LCS_ALL, LCS_CONTENT, LCS_FEW = 0.5, 0.5, 0.8
