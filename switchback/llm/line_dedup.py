@@ -1,16 +1,17 @@
 """Line dedup (operator 7): fuzzy lines by MinHash, one line kept a component.
 
 Lines (cut at line feeds) have SHINGLE-character shingles of their lower-cased text.
-Equal lines meet by a 64-bit hash. Every distinct line gets SAMPLES minima in BANDS
-bands; lines of a band are linked to block leaders, links are verified by the exact
-Jaccard similarity of the shingle sets (>= SIMILARITY), and union by smallest-label
-rounds gives the components (see `linking`). The occurrence with the smallest doc_id and
-line number is kept, all others are removed; texts are put together again from the rest.
+Equal lines meet by a 64-bit xxhash. Every distinct line gets SAMPLES minima in BANDS
+bands; pairs of lines that share a band are verified by the exact Jaccard similarity of
+the shingle sets (>= SIMILARITY), and union by smallest-label rounds gives the components
+(see `linking`). The occurrence with the smallest doc_id and line number is kept, all
+others are removed; texts are put together again from the rest.
 
 Defined cases: empty lines, and lines of white space only, are always kept and never
 compared; lines under SHINGLE characters match equal lines only; a null text stays
 null; rows equal in doc_id and text are one text, with the same result for each; null
-doc_ids sort last. A worker holds one chunk of texts, or one text if it is longer.
+doc_ids sort last; other columns are passed on, whatever their names. A worker holds one
+chunk of texts, or one text if it is longer.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _B = (tc.mix(np.arange(101, SAMPLES + 101, dtype=np.uint64)) >> np.uint64(32)).a
 
 
 class Lines:
-    """Lines of a chunk: text index, number in the text, byte span, key, and code points for shingles."""
+    """Lines of a chunk: text index, number in the text, byte span, 64-bit key, whether blank."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         feed = np.flatnonzero(data == 10)
@@ -47,23 +49,51 @@ class Lines:
         self.end = np.where(last, off[1:][self.doc], np.append(self.start[1:] - 1, 0)[: len(self.doc)])
         first = np.searchsorted(self.doc, np.arange(len(off) - 1))
         self.no = np.arange(len(self.doc)) - first[self.doc]
-        self.key = tc.span_hash(tc.prefix_hash(data), self.start, self.end).view(np.int64)
         solid = np.concatenate([[0], np.cumsum((data != 32) & (data != 9) & (data != 13) & (data != 10))])
         self.blank = solid[self.end] == solid[self.start]
+        self.raw = data.tobytes()
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """xxhash64 of the lines' bytes."""
+        return np.array([xxhash.xxh3_64_intdigest(self.raw[a:b]) for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], np.uint64).view(np.int64)
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        size = self.end[at] - self.start[at]
+        return pa.array([self.raw[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], pa.binary()).cast(pa.string()) if len(size) else pa.array([], pa.string())
+
+
+_MULTIPLIERS = tc.mix(np.arange(201, 201 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+
+
+def window_hashes(low: np.ndarray) -> np.ndarray:
+    """Hash of the SHINGLE characters from each position; zeros follow the last."""
+    n = len(low)
+    narrow = np.zeros(n + 2 * SHINGLE, np.uint8)
+    narrow[:n] = low & 0xFF
+    x = np.empty(n + SHINGLE, np.uint64)
+    for k in range(SHINGLE):  # eight bytes are one number
+        part = narrow[k : k + (n + SHINGLE - k + 7) // 8 * 8]
+        part = part[: len(part) // 8 * 8].view(np.uint64)
+        x[k::8][: len(part)] = part[: len(x[k::8])]
+    x = x[:n]
+    if n and low.max() > 0xFF:  # what the bytes leave out of wide characters is mixed in
+        wide = np.zeros(n + SHINGLE, np.uint64)
+        wide[:n] = low >> 8
+        more = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            more += wide[k : k + n] * _MULTIPLIERS[k]
+        x = x ^ tc.mix(more) * (more != 0)
+    return tc.mix(x)
 
 
 def line_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line index, 64-bit hash) of the shingles of byte spans; a shorter line has one of all of it."""
-    order = np.argsort(np.append(start, end), kind="stable")
-    cps, sorted_cut = tc.decode(data, np.append(start, end)[order])
-    cut = np.empty_like(sorted_cut)
-    cut[order] = sorted_cut
-    low = tc.lower(cps)
-    s, e = cut[: len(start)], cut[len(start) :]
-    n = np.maximum(e - s - SHINGLE + 1, 1)
+    """(line index, 64-bit hash) of the shingles of ascending byte spans of SHINGLE characters or more; shorter ones have none."""
+    cps, cut = tc.decode(data, np.stack([start, end], 1).ravel())
+    s, e = cut[::2], cut[1::2]
+    n = np.maximum(e - s - SHINGLE + 1, 0)
     line = np.repeat(np.arange(len(s)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s[line]
-    return line, tc.span_hash(tc.prefix_hash(low), at, np.minimum(at + SHINGLE, e[line]))
+    at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
+    return line, window_hashes(tc.lower(cps))[at]
 
 
 def minima(line: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -88,56 +118,48 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(doc, doc_id, line, key) of every line that isn't blank; texts has (doc, doc_id, text)."""
-
-    def run(batches):
-        for b in batches:
-            for i, _, data, off in tc.chunks(b.column(2)):
-                l = Lines(data, off)
-                at = np.flatnonzero(~l.blank)
-                doc = pa.array(i + l.doc[at])
-                yield pa.RecordBatch.from_pydict({"doc": b.column(0).take(doc), "doc_id": b.column(1).take(doc), "line": pa.array(l.no[at].astype(np.int32)), "key": pa.array(l.key[at])})
+LINES = "key long, size tinyint, sig binary, text string, doc long, doc_id long, line int"
 
-    return texts.select("doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, line int, key long")
 
+def lines(texts: DataFrame) -> DataFrame:
+    """A row (LINES) for every line that isn't blank of texts (doc, doc_id, text).
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(key, sig) of lines of SHINGLE characters or more, once a chunk."""
+    sig and text are set at the first occurrence in a chunk of a line of SHINGLE characters or more.
+    """
 
     def run(batches):
+        tc.claim({})
         for b in batches:
-            for _, _, data, off in tc.chunks(b.column(0)):
+            for i, _, data, off in tc.chunks(b.column(2)):
                 l = Lines(data, off)
-                at = np.flatnonzero(~l.blank & (l.end - l.start >= SHINGLE))
+                at = np.flatnonzero(~l.blank)
                 if not len(at):
                     continue
-                key, rep = np.unique(l.key[at], return_index=True)
-                at = np.sort(at[rep])
-                sig = minima(*line_shingles(data, l.start[at], l.end[at]))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(l.key[at]), "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SAMPLES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())})
-
-    return texts.select("text").mapInArrow(run, "key long, sig binary")
-
-
-def passing_lines(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key, text) of the lines whose key a bitmap passes, once a chunk."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches):
-        for b in batches:
-            for _, _, data, off in tc.chunks(b.column(0)):
-                l = Lines(data, off)
-                at = np.flatnonzero(~l.blank & linking.in_bitmap(shared.value, l.key))
-                key, rep = np.unique(l.key[at], return_index=True)
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "text": pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(l.start[at[rep]].tolist(), l.end[at[rep]].tolist(), strict=True)], pa.string())})
+                key = l.keys(at)
+                first = np.zeros(len(at), bool)
+                first[np.unique(key, return_index=True)[1]] = True
+                lead = at[first]
+                line, h = line_shingles(data, l.start[lead], l.end[lead])
+                has = np.unique(line)
+                where = np.full(len(at), -1)
+                where[np.flatnonzero(first)[has]] = np.arange(len(has))
+                take = pa.array(where, mask=where < 0)
+                doc = pa.array(i + l.doc[at])
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array(key),
+                    "size": pa.array(linking.log_size(l.end[at] - l.start[at])),
+                    "sig": linking.binary_rows(minima(line, h) if len(has) else np.zeros((0, SAMPLES), np.uint16)).take(take),
+                    "text": l.texts(lead[has]).take(take),
+                    "doc": b.column(0).take(doc),
+                    "doc_id": b.column(1).take(doc),
+                    "line": pa.array(l.no[at].astype(np.int32)),
+                })
 
-    return texts.select("text").mapInArrow(run, "key long, text string")
+    return texts.select("doc", "doc_id", "text").mapInArrow(run, LINES)
 
 
 def jaccard(col):
-    """compare function of `linking.verify_links`."""
+    """compare function of `linking.find_links`."""
     sets: list = [None] * len(col)
     for i, j, data, off in tc.chunks(col):
         line, h = line_shingles(data, off[:-1], off[1:])
@@ -155,51 +177,45 @@ def jaccard(col):
 
 def removed_lines(texts: DataFrame, ws: Workspace) -> DataFrame:
     """(doc, lines): the numbers of the lines to remove of each text (doc, doc_id, text)."""
-    seen = ws.write(occurrences(texts), "occurrences")
-    sigs = ws.write(signatures(texts).dropDuplicates(["key"]), "sigs")
-
-    links = linking.find_links(ws, sigs, band_keys, NEED, SAMPLES, np.uint16, lambda bits: passing_lines(texts, bits), jaccard)
-    roots = linking.components(ws, links)
+    seen = ws.write(lines(texts), "lines")
+    sigs = seen.where("sig is not null").select("key", "size", "sig", "text")
+    links = linking.find_links(ws, sigs, band_keys, NEED, SAMPLES, np.uint16, jaccard)
+    roots = ws.write(linking.components(ws, links), "roots")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "line")
     first = seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(roots, "key", "left").where("n > 1 or root is not null")
     first = ws.write(first.select("key", "first", F.coalesce("root", "key").alias("root")), "firsts")
-    keep = first.groupBy("root").agg(F.min("first").alias("keep"))
-    by_key = first.join(keep, "root").select("key", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
-    gone = seen.join(by_key, "key").where("not (doc = keep_doc and line = keep_line)")
-    return ws.write(gone.groupBy("doc").agg(F.collect_set("line").alias("lines")), "removed")
+    keep = ws.write(first.groupBy("root").agg(F.min("first").alias("keep")), "keep")  # a table of its own: a skewed join can be split
+    by_key = ws.write(first.join(keep, "root").select("key", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "by-key")
+    gone = seen.select("doc", "line", "key").join(by_key, "key").where("not (doc = keep_doc and line = keep_line)")
+    return ws.write(gone.select("doc", "line").groupBy("doc").agg(F.collect_set("line").alias("lines")), "removed")
 
 
 def dedup_lines(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """`docs` with the text replaced and columns __lines (before) and __removed (counts)."""
+    """`docs` with the text replaced and columns __lines (before) and __removed (counts).
+
+    Columns of these two names are replaced; no other name of docs has a meaning but doc_id and text.
+    """
     ws = ws or Workspace(docs.sparkSession, "line-dedup")
-    keyed = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    texts = keyed.where(F.col("text").isNotNull()).select(F.col("__doc").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = removed_lines(texts, ws).select(F.col("doc").alias("__doc"), F.col("lines").alias("__gone"))
-    rows = keyed.join(gone, "__doc", "left").select(*docs.columns, "__gone")
-    at, last = docs.columns.index("text"), len(docs.columns)
+    names = [c for c in docs.columns if c not in ("__lines", "__removed")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), "text", F.xxhash64("doc_id", "text").alias("doc"))
+    texts = keyed.where(F.col("text").isNotNull()).select("doc", F.col("row.doc_id").cast("long").alias("doc_id"), "text")
+    gone = removed_lines(texts, ws)
+    rows = keyed.join(gone, "doc", "left").select("row", "text", "lines")
 
     def run(batches):
         for b in batches:
-            text, lines, removed = [], [], []
-            for t, g in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), strict=True):
-                parts = t.split("\n") if t is not None else []
-                lines.append(len(parts))
+            text, n, removed = [], [], []
+            for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                n.append(t.count("\n") + 1 if t is not None else 0)
                 removed.append(len(g) if g else 0)
                 if g:
                     drop = set(g)
-                    t = "\n".join(x for k, x in enumerate(parts) if k not in drop)
+                    t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
                 text.append(t)
-            cols = list(b.columns[:last])
-            cols[at] = pa.array(text, cols[at].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*b.schema.names[:last], "__lines", "__removed"])
-
-    return rows.mapInArrow(run, _plus(docs.schema))
-
-
-def _plus(schema):
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "__lines", "__removed"])
 
-    return StructType([*schema.fields, StructField("__lines", LongType()), StructField("__removed", LongType())])
+    out = rows.mapInArrow(run, rows.drop("lines").schema.add("__lines", "long").add("__removed", "long"))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names], "__lines", "__removed")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,320 +1,483 @@
 """From signatures to components, without pairs of a whole group.
 
 Steps, all distributed:
-1. `bucket_links`: items that share a band key are grouped; within blocks of at most
-   BLOCK items a leader is chosen among items that no earlier leader resembles. Of the
-   estimated similarities of items with leaders the maximum spanning forest is linked,
-   so a block makes fewer links than it has items. A bucket larger than a block is dealt
-   over several blocks by salt, and the leaders of the blocks meet again in further
-   rounds until one block is left or a round merges nothing;
-2. the links are verified exactly (`verify_links`), and those that hold make components;
-3. what steps 1 and 2 left out is made up for by `cross_links`: in every bucket that
-   several components share, all pairs of items of different components whose estimate
-   passes are verified exactly, unless a link of the same task joined the two before. A
-   large bucket is cut into cells and every two cells meet in a task of at most about
-   BLOCK items. Pairs are tried inside tasks; only links that hold leave them, fewer than
-   the items of the task. A pair in several buckets is tried in the first of its bands;
-4. `components`: smallest-label propagation with pointer jumping over verified links.
+1. `bucket_members`: band keys are dealt out in packed arrays, sorted inside tasks, and the
+   buckets with two items or more are kept. Buckets that are large within one map task
+   leave it as members at once, so a hot bucket's home task gets few of its rows. Buckets
+   with the same items get the same number and are looked at once;
+2. `_verified`: a bucket of at most BLOCK items and BLOCK_BYTES of text is settled inside a
+   task: all pairs whose estimate passes are verified exactly, unless verified ones join the
+   two already. Only links that hold leave the task, fewer than its items;
+3. larger buckets are dealt over cells of that size by salt; one item of each component of
+   a cell goes on, and these meet in further rounds until one cell is left or a round joins
+   nothing;
+4. `cross_links` makes up for what step 3 left out: in every large bucket that several
+   components share, every two cells meet in a task, and all pairs of different components
+   whose estimate passes are verified. A pair in several large buckets is tried in the
+   first of its bands;
+5. `components`: smallest-label propagation with pointer jumping over verified links.
+
+So every pair that shares a bucket and has enough equal samples is verified or is joined
+by pairs that were: nothing is capped, thinned before it is verified, or tried in part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textcore as tc
 from .store import Workspace
 
 BLOCK = 2048
-PART = 1 << 22  # characters of text prepared at once for exact checks inside a task
+BLOCK_BYTES = 1 << 23  # text of a bucket that one task settles
+PART = 1 << 22  # bytes of text prepared at once for exact checks inside a task
 ASK = 64  # pairs of an item verified at once
+DEAL = 1 << 20  # band rows sorted and sent at once
+LOCAL = 256  # rows of a bucket in DEAL that make it hot
 
+SIGNED = "key long, size tinyint, sig binary, text string"  # what an operator gives: size is log2 of the text's bytes
+_LOW = np.uint64(0xFFFFFFFF)
 
-def _leaders(keys: np.ndarray, sigs: np.ndarray, need: int):
-    """Greedy leaders in key order: linked (item, leader) index pairs and the leaders' indexes."""
-    order = np.argsort(keys, kind="stable")
-    s = sigs[order]
-    free = np.ones(len(s), bool)
-    items, leaders, likes, chosen = [], [], [], []
-    for i in range(len(s)):
-        if not free[i]:
-            continue
-        free[i] = False
-        chosen.append(i)
-        like = np.count_nonzero(s == s[i], axis=1)
-        like[chosen] = 0  # leaders don't resemble each other
-        at = np.flatnonzero(like >= need)
-        free[at] = False
-        items.append(at)
-        leaders.append(np.full(len(at), i))
-        likes.append(like[at])
-    a, b, n = np.concatenate(items), np.concatenate(leaders), np.concatenate(likes)
-    if len(chosen) > 1 and len(a):
-        keep = _forest(a, b, np.argsort(-n, kind="stable"), len(s))
-        a, b = a[keep], b[keep]
-    return order[a], order[b], order[np.array(chosen)]
-
-
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> list[int]:
-    """Edges, taken in order, that join two trees."""
-    up = list(range(n))
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    keep = []
-    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            up[x] = y
-            keep.append(k)
-    return keep
-
-
-def _by_block(work: Callable, width: int, dtype):
-    """mapInArrow over rows (bucket, salt, key, sig, *more) sorted by bucket and salt.
-
-    work(bucket, salt, key, sig, *more, cuts) is called with whole blocks; only the last, open one is held.
+
+def log_size(n_bytes: np.ndarray) -> np.ndarray:
+    """Size of texts as the exponent of the next power of two."""
+    return np.ceil(np.log2(np.maximum(n_bytes, 1))).astype(np.int8)
+
+
+def binary_rows(x: np.ndarray) -> pa.Array:
+    """Rows of a 2-D array as a binary column."""
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+
+
+def _array_rows(col, width: int, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(-1, width)
+
+
+def _runs(*cols: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows of sorted columns begins, and the end."""
+    n = len(cols[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.zeros(n - 1, bool)
+    for c in cols:
+        new |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
+
+
+def _deal(band_keys: Callable, width: int, dtype, many: int):
+    """mapInArrow: signatures to packed band rows (part, kind, rows) of `many` parts.
+
+    kind 0 rows are (bucket within the part, size, key); kind 1 rows (bucket, size, key) are of
+    buckets that are large here; a kind 2 row tells the part of such a bucket that it has an item.
     """
 
-    def run(batches):
-        held: list[tuple] = []
-
-        def ready(parts, last):
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            bucket, salt = cols[:2]
-            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])) + 1
-            cuts = np.concatenate([[0], new, [len(bucket)]])
-            rest = None
-            if not last:
-                rest = tuple(c[cuts[-2] :] for c in cols)
-                cuts = cuts[:-1]
-            return (work(*cols, cuts) if len(cuts) > 1 else None), rest
+    def pack(part, kind, bucket, size, key, out):
+        cut = _runs(part)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            low = bucket[a:b] if kind == 1 else (bucket[a:b] & _LOW).astype(np.uint32)
+            out.append((int(part[a]), kind, low.tobytes() + size[a:b].tobytes() + key[a:b].tobytes()))
+
+    def flush(keys, sizes, sigs):
+        key, first = np.unique(np.concatenate(keys), return_index=True)
+        bands = band_keys(np.concatenate(sigs)[first])
+        bucket = fold(bands.ravel(), many)
+        key = np.repeat(key, bands.shape[1])
+        size = np.repeat(np.concatenate(sizes)[first], bands.shape[1])
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, size = bucket[order], key[order], size[order]
+        cut = _runs(bucket)
+        n = np.diff(cut)
+        large = np.repeat(n > LOCAL, n)
+        out: list[tuple] = []
+        pack((bucket[~large] >> np.uint64(32)).astype(np.int64), 0, bucket[~large], size[~large], key[~large], out)
+        if large.any():
+            head = cut[:-1][n > LOCAL]
+            pack((bucket[head] >> np.uint64(32)).astype(np.int64), 2, bucket[head], size[head], key[head], out)
+            b, s, k = bucket[large], size[large], key[large]
+            part = (tc.mix(k.view(np.uint64)) % np.uint64(many)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            pack(part[order], 1, b[order], s[order], k[order], out)
+        part, kind, rows = zip(*out, strict=True)
+        return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "kind": pa.array(kind, pa.int32()), "rows": pa.array(rows, pa.binary())})
 
+    def run(batches):
+        keys, sizes, sigs, have = [], [], [], 0
         for b in batches:
             if b.num_rows == 0:
                 continue
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype).reshape(-1, width)
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sig, *(c.to_numpy(zero_copy_only=False) for c in b.columns[4:])))
-            out, rest = ready(held, False)
-            held = [rest]
-            if out is not None:
-                yield out
-        if held:
-            yield ready(held, True)[0]
+            keys.append(b.column(0).to_numpy())
+            sizes.append(b.column(1).to_numpy())
+            sigs.append(_array_rows(b.column(2), width, dtype))
+            have += b.num_rows
+            if have * width >= DEAL * 3:  # three samples a band
+                yield flush(keys, sizes, sigs)
+                keys, sizes, sigs, have = [], [], [], 0
+        if have:
+            yield flush(keys, sizes, sigs)
 
     return run
 
 
-def _cat(parts: list) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _leader_links(need: int):
-    """Links of blocks to leaders; rows with key = other name a bucket's leaders."""
-
-    def work(bucket, salt, key, sig, cuts):
-        a, b, lead_b, lead_k = [], [], [], []
-        size = np.diff(cuts)
-        two = cuts[:-1][size == 2]  # most buckets hold two items
-        if len(two):
-            same = np.count_nonzero(sig[two] == sig[two + 1], axis=1) >= need
-            a.append(np.maximum(key[two], key[two + 1])[same])
-            b.append(np.minimum(key[two], key[two + 1])[same])
-        for g in np.flatnonzero(size > 2):
-            s = slice(cuts[g], cuts[g + 1])
-            k = key[s]
-            i, l, c = _leaders(k, sig[s], need)
-            a.append(k[i])
-            b.append(k[l])
-            lead_k.append(k[c])
-            lead_b.append(np.full(len(c), bucket[cuts[g]]))
-        a, b, lead_k, lead_b = _cat(a), _cat(b), _cat(lead_k), _cat(lead_b)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(np.zeros(len(a), np.int64), lead_b)), "key": pa.array(np.append(a, lead_k)), "other": pa.array(np.append(b, lead_k))})
-
-    return work
-
-
-def _cross_pairs(bucket, sig: np.ndarray, root: np.ndarray, side: np.ndarray, need: int, band_keys: Callable):
-    """(item, earlier items) of a task that differ in root, resemble each other and share no earlier band."""
-    bands = band_keys(sig)
-    band = int(np.flatnonzero(bands[0] == bucket)[0])
-    apart = bool((side != side[0]).any())  # items of one cell meet in the task that holds this cell only
-    for i in range(1, len(root)):
-        ok = root[:i] != root[i]
-        if apart:
+def fold(bands: np.ndarray, many: int) -> np.ndarray:
+    """Bucket numbers: the part (of `many`) in the upper half, 32 bits of the band key below."""
+    x = bands.view(np.uint64)
+    return (((x >> np.uint64(32)) % np.uint64(many)) << np.uint64(32)) | (x & _LOW)
+
+
+def _unpack(rows: list[bytes], bucket_type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w = np.dtype(bucket_type).itemsize
+    cols = [], [], []
+    for r in rows:
+        n = len(r) // (w + 9)
+        cols[0].append(np.frombuffer(r, bucket_type, n))
+        cols[1].append(np.frombuffer(r, np.int8, n, n * w))
+        cols[2].append(np.frombuffer(r, np.int64, n, n * (w + 1)))
+    return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, (bucket_type, np.int8, np.int64), strict=True))
+
+
+def _gather(batches):
+    """mapInArrow over packed rows sorted by part: (bucket, salt, key, size) of buckets with two keys.
+
+    bucket is a number made of the keys in it, or for a bucket that is too large for a block
+    (salt 0) its own. Buckets of equal items thus become repeated rows.
+    """
+    held: dict[int, list[bytes]] = {}
+    part = None
+
+    def settle():
+        bucket, size, key = _unpack(held.get(1, []), np.uint64)
+        out = [(bucket, np.zeros(len(key), np.int64), key, size)]
+        low, size, key = _unpack(held.get(0, []), np.uint32)
+        mark_low, mark_size, mark_key = _unpack(held.get(2, []), np.uint32)
+        low, size, key = np.append(low, mark_low), np.append(size, mark_size), np.append(key, mark_key)
+        mark = np.zeros(len(low), bool)
+        mark[len(low) - len(mark_low) :] = True
+        order = np.argsort(low)
+        cut = _runs(low[order])
+        order = order[np.repeat(np.diff(cut) > 1, np.diff(cut))]
+        order = order[np.lexsort((mark[order], key[order], low[order]))]
+        same = (low[order][1:] == low[order][:-1]) & (key[order][1:] == key[order][:-1])
+        hot = np.isin(low[order], mark_low)
+        order, hot = order[~np.append(False, same)[: len(order)]], hot[~np.append(False, same)[: len(order)]]
+        cut = _runs(low[order])
+        n = np.diff(cut)
+        keep = np.repeat(n > 1, n)
+        order, hot = order[keep], hot[keep]
+        cut = _runs(low[order])
+        if len(order):
+            n = np.diff(cut)
+            k = key[order]
+            name = np.add.reduceat(tc.mix(k.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)), cut[:-1])
+            own = low[order].astype(np.uint64) | (np.uint64(part) << np.uint64(32))
+            weight = np.add.reduceat(np.exp2(size[order].astype(np.float64)), cut[:-1])
+            big = np.repeat((n > BLOCK) | (weight > BLOCK_BYTES), n) | hot
+            out.append((np.where(big, own, np.repeat(name, n)), np.where(big, 0, -1), k, size[order]))
+        b, s, k, z = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(b.view(np.int64)), "salt": pa.array(s), "key": pa.array(k), "size": pa.array(z)})
+
+    for batch in batches:
+        for p, kind, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if p != part and held:
+                yield settle()
+                held = {}
+            part = p
+            held.setdefault(kind, []).append(rows)
+    if held:
+        yield settle()
+
+
+MEMBERS = "bucket long, salt long, key long, size tinyint"
+
+
+def parts_of(sigs: DataFrame, bands: int) -> tuple[int, int]:
+    """(tasks, parts): parts of about DEAL band rows, a whole number a task."""
+    tasks = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks, tasks * max(1, -(-sigs.count() * bands // (tasks * DEAL)))
+
+
+def bucket_members(ws: Workspace, sigs: DataFrame, band_keys: Callable, width: int, dtype, tasks: int, parts: int) -> DataFrame:
+    """Distinct (bucket, salt, key, size) of all buckets with two keys; salt is 0 for large buckets, else -1."""
+    dealt = sigs.select("key", "size", "sig").mapInArrow(_deal(band_keys, width, dtype, parts), "part int, kind int, rows binary")
+    dealt = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+    return ws.write(dealt.mapInArrow(_gather, MEMBERS).distinct(), "members")
+
+
+def whole_blocks(batches) -> Iterator[pa.Table]:
+    """Tables of rows sorted by their first two columns that hold whole runs of them."""
+    held: list[pa.RecordBatch] = []  # of the last, open run
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cut = int(_runs(x, y)[-2])
+        goes_on = held and held[0].column(0)[0].as_py() == x[0] and held[0].column(1)[0].as_py() == y[0]
+        if cut or (held and not goes_on):
+            yield pa.Table.from_batches(held + ([b.slice(0, cut)] if cut else []))
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Blocks:
+    """Columns of a table of blocks (bucket, salt, key, sig, ...), repeated items taken out."""
+
+    def __init__(self, t: pa.Table, width: int, dtype):
+        t = t.combine_chunks()
+        bucket, salt, key = (t.column(k).to_numpy() for k in range(3))
+        first = _runs(bucket, salt, key)[:-1]
+        if len(first) < len(key):
+            t = t.take(pa.array(first)).combine_chunks()
+            bucket, salt, key = bucket[first], salt[first], key[first]
+        self.table, self.bucket, self.salt, self.key = t, bucket, salt, key
+        self.sig = _array_rows(t.column(3), width, dtype)
+        self.cuts = _runs(bucket, salt)
+
+
+def _pairs(sig: np.ndarray, need: int, comp: np.ndarray | None = None, side: np.ndarray | None = None, bands: np.ndarray | None = None):
+    """(item, earlier items) of a block that resemble each other.
+
+    With comp, only those of different components; with side, of different cells; with bands
+    (the band keys before the block's own), only those that none of them unites.
+    """
+    for i in range(1, len(sig)):
+        ok = np.ones(i, bool) if comp is None else comp[:i] != comp[i]
+        if side is not None:
             ok &= side[:i] != side[i]
         j = np.flatnonzero(ok)
         j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= need]
-        if band and len(j):
-            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+        if bands is not None and len(j):
+            j = j[~(bands[j] == bands[i]).any(axis=1)]
         if len(j):
             yield i, j
 
 
-def _cross_ends(need: int, band_keys: Callable):
-    """Rows of the items that have a pair to verify in their task."""
-
-    def work(bucket, salt, key, sig, root, side, cuts):
-        at = []
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            end = np.zeros(y - x, bool)
-            for i, j in _cross_pairs(bucket[x], sig[x:y], root[x:y], side[x:y], need, band_keys):
-                end[i] = True
-                end[j] = True
-            at.append(x + np.flatnonzero(end))
-        at = _cat(at)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "salt": pa.array(salt[at]), "key": pa.array(key[at]), "sig": pa.array([r.tobytes() for r in sig[at]], pa.binary()), "root": pa.array(root[at]), "side": pa.array(side[at])})
-
-    return work
-
-
-def _cross_links(need: int, band_keys: Callable, compare: Callable):
-    """Links that hold between items of different roots of a task, none that earlier ones imply."""
-
-    def work(bucket, salt, key, sig, root, side, text, cuts):
-        a, b = [], []
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            k, comp = key[x:y], root[x:y].copy()
-            pairs = list(_cross_pairs(bucket[x], sig[x:y], root[x:y], side[x:y], need, band_keys))
-            part = np.cumsum([len(t) for t in text[x:y]]) // PART
-            for p in np.unique(part).tolist():
-                for q in np.unique(part[part <= p]).tolist():
-                    own = np.flatnonzero((part == p) | (part == q))
-                    same = compare(pa.array(text[x + own], pa.string()))
-                    for i, j in pairs:
-                        if part[i] != p:
-                            continue
-                        j = j[part[j] == q]
-                        while len(j := j[comp[j] != comp[i]]):
-                            ask, j = j[:ASK], j[ASK:]
-                            for o in ask[same(int(np.searchsorted(own, i)), np.searchsorted(own, ask))].tolist():
-                                if comp[o] != comp[i]:
-                                    a.append(k[i])
-                                    b.append(k[o])
-                                    comp[comp == comp[o]] = comp[i]
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.RecordBatch.from_pydict({"key": pa.array(np.maximum(a, b)), "other": pa.array(np.minimum(a, b))})
-
-    return work
-
-
-def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, texts: Callable, compare: Callable, known: DataFrame) -> DataFrame | None:
-    """Verified links between members of different roots in all buckets; known has (key, text) of some items.
-
-    Buckets of two were settled by their link. The largest root of a large bucket has cells
-    of its own, which needn't meet one another: its items are copied to few tasks.
+def _unite(pairs: list, comp: np.ndarray, same: Callable) -> list[tuple[int, int]]:
+    """Verified links of a block's pairs, none between what earlier ones join; comp is kept up to date."""
+    links = []
+    for i, j in pairs:
+        ask = 4
+        while len(j := j[comp[j] != comp[i]]):
+            now, j = j[:ask], j[ask:]
+            ask = ASK
+            for o in now[same(i, now)].tolist():
+                if comp[o] != comp[i]:
+                    links.append((i, o))
+                    comp[comp == comp[o]] = comp[i]
+    return links
+
+
+def _verified(need: int, width: int, dtype, compare: Callable):
+    """mapInArrow over (bucket, salt, key, sig, text): links (salt, bucket, key, other) that hold.
+
+    For blocks of large buckets (salt >= 0) one item of each component follows as its own link.
     """
-    labelled = ws.write(members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "labelled")
-    shares = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = shares.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top")).where("n > 2 and roots > 1")
-    half = BLOCK // 2
-    big = F.col("n") > BLOCK
-    mixed = mixed.select("bucket", F.col("top.root").alias("top"), F.when(big, F.ceil((F.col("n") - F.col("top.c")) / half)).otherwise(1).alias("rest_cells"), F.when(big, F.ceil(F.col("top.c") / half)).otherwise(0).alias("top_cells"))
-    is_top = (F.col("root") == F.col("top")) & (F.col("top_cells") > 0)
-    side = F.when(is_top, F.col("rest_cells") + F.pmod(F.xxhash64("key"), "top_cells")).otherwise(F.pmod(F.xxhash64("key"), "rest_cells"))
-    cells = F.col("rest_cells") + F.col("top_cells")
-    meets = F.sequence(F.lit(0).cast("long"), F.when(is_top, F.col("rest_cells")).otherwise(cells) - 1)
-    rows = labelled.join(mixed, "bucket").withColumn("side", side.cast("long")).withColumn("cells", cells)
-    rows = rows.select("bucket", "key", "root", "side", F.explode(F.transform(meets, lambda c: F.least(c, "side") * F.col("cells") + F.greatest(c, "side"))).alias("salt"))
-    rows = rows.join(sigs, "key").select("bucket", F.col("salt").cast("long").alias("salt"), "key", "sig", "root", "side")
 
-    def dealt(df):
-        return df.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
+    def settle(v: _Blocks):
+        keys, others, reps = [], [], []
+        size = np.diff(v.cuts)
+        two = v.cuts[:-1][size == 2]
+        like = two[np.count_nonzero(v.sig[two] == v.sig[two + 1], axis=1) >= need]
+        blocks = [(x, x + 2, [(1, np.zeros(1, np.int64))]) for x in like.tolist()]
+        for x, y in zip(v.cuts[:-1][size > 2].tolist(), v.cuts[1:][size > 2].tolist(), strict=True):
+            pairs = list(_pairs(v.sig[x:y], need))
+            if pairs:
+                blocks.append((x, y, pairs))
+        comp = np.arange(len(v.key))
+        text = v.table.column(4).chunk(0)
+        length = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        todo, have = [], 0
+        for k, (x, y, pairs) in enumerate(blocks):
+            ends = np.unique(np.concatenate([np.append(j, i) for i, j in pairs]))
+            todo.append((x, y, pairs, ends))
+            have += int(length[x + ends].sum())
+            if have < PART and k + 1 < len(blocks):
+                continue
+            same = compare(text.take(pa.array(np.concatenate([x + e for x, _, _, e in todo]))))
+            base = 0
+            for x, y, pairs, ends in todo:
+                at = np.zeros(y - x, np.int64)
+                at[ends] = base + np.arange(len(ends))
+                base += len(ends)
+                for i, o in _unite(pairs, comp[x:y], lambda i, js, at=at: same(int(at[i]), at[js])):
+                    keys.append(v.key[x + i])
+                    others.append(v.key[x + o])
+            todo, have = [], 0
+        hot = np.flatnonzero(v.salt >= 0)
+        if len(hot):
+            block = np.repeat(np.arange(len(size)), size)[hot]
+            order = np.lexsort((v.key[hot], comp[hot], block))
+            reps = hot[order][_runs(block[order], comp[hot][order])[:-1]]
+        a, b = np.array(keys, np.int64), np.array(others, np.int64)
+        at = np.asarray(reps, np.int64)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(np.zeros(len(a), np.int64), v.bucket[at])), "key": pa.array(np.append(np.maximum(a, b), v.key[at])), "other": pa.array(np.append(np.minimum(a, b), v.key[at]))})
 
-    schema = "bucket long, salt long, key long, sig binary, root long, side long"
-    ends = ws.write(dealt(rows).mapInArrow(_by_block(_cross_ends(need, band_keys), width, dtype), schema), "cross-ends")
-    if ends.isEmpty():
-        return None
-    wanted = ws.write(ends.select("key").distinct(), "cross-need")
-    have = known.join(wanted, "key", "left_semi").select("key", "text")
-    lack = ws.write(wanted.join(known.select("key"), "key", "left_anti"), "cross-lack")
-    if not lack.isEmpty():
-        have = have.unionByName(needed_texts(ws, lack, texts, "cross-texts"))
-    return ws.write(dealt(ends.join(have, "key").select("bucket", "salt", "key", "sig", "root", "side", "text")).mapInArrow(_by_block(_cross_links(need, band_keys, compare), width, dtype), "key long, other long"), "cross-links")
-
-
-def bucket_links(ws: Workspace, members: DataFrame, sigs: DataFrame, need: int, width: int, dtype, tag: str) -> DataFrame:
-    """Distinct links (key, other) with key > other from members (bucket, key); sigs has (key, sig)."""
-    links = None
-    step, last = 0, None
+    def run(batches):
+        for t in whole_blocks(batches):
+            yield settle(_Blocks(t, width, dtype))
+
+    return run
+
+
+MADE = "bucket long, key long, other long"
+
+
+def _settle(ws: Workspace, rows: DataFrame, items: DataFrame, run: Callable, schema: str, name: str) -> DataFrame:
+    """Run over whole blocks of rows (bucket, salt, key, ...) with the items' sig and text."""
+    full = rows.join(items, "key")
+    more = [c for c in rows.columns if c not in ("bucket", "salt", "key")]
+    full = full.select("bucket", "salt", "key", *[c for c in ("sig", "text") if c in items.columns], *more)
+    return ws.write(full.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(run, schema), name)
+
+
+def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, compare: Callable) -> DataFrame:
+    """Verified links (key, other) that span the components of the texts behind `sigs` (SIGNED).
+
+    Rows of one key are the same text and may repeat. compare(column of texts) returns a
+    function (i, array of j) -> array of bool over the texts' indexes.
+    """
+    bands = band_keys(np.zeros((1, width), dtype)).shape[1]
+    tasks, parts = parts_of(sigs, bands)
+    members = bucket_members(ws, sigs, band_keys, width, dtype, tasks, parts)
+    items = items_of(ws, sigs, members)
+    hot = members.where("salt = 0").select("bucket", "key", "size")
+    rows = members.where("salt < 0").select("bucket", "salt", "key")
+    is_hot = not hot.isEmpty()
+    if is_hot:
+        rows = rows.unionByName(_cells(hot, 0))
+    run = _verified(need, width, dtype, compare)
+    made = _settle(ws, rows, items, run, MADE, "made-0")
+    links = made.where("key <> other").select("key", "other")
+    if not is_hot:
+        return links
+    step, last, reps = 0, None, hot
     while True:
-        counts = ws.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{tag}-counts-{step}")
-        salt = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(0)).cast("long")
-        rows = members.join(counts, "bucket").join(sigs, "key").select("bucket", salt.alias("salt"), "key", "sig")
-        rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
-        made = ws.write(rows.mapInArrow(_by_block(_leader_links(need), width, dtype), "bucket long, key long, other long"), f"{tag}-made-{step}")
-        new = made.where("key <> other").select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("other"))
-        links = new if links is None else links.unionByName(new)
-        big = counts.where(F.col("n") > BLOCK).select("bucket")
-        if big.isEmpty():
-            return links.distinct()
-        members = ws.write(made.where("key = other").select("bucket", "key").join(big, "bucket"), f"{tag}-members-{step}")
-        now, step = members.count(), step + 1
-        if last is not None and now >= last:  # leaders that haven't met yet do so in cross_links
-            return links.distinct()
+        several = reps.groupBy("bucket").agg(cell_count().alias("cells")).where("cells > 1").select("bucket")
+        reps = ws.write(made.where("key = other").select("bucket", "key").join(several, "bucket").join(hot, ["bucket", "key"]), f"reps-{step}")
+        now, step = reps.count(), step + 1
+        if not now or (last is not None and now >= last):  # those that haven't met do so in cross_links
+            break
         last = now
+        made = _settle(ws, _cells(reps, step), items, run, MADE, f"made-{step}")
+        links = links.unionByName(made.where("key <> other").select("key", "other"))
+    roots = ws.write(components(ws, links, "hot-cc"), "roots")
+    more = cross_links(ws, hot, roots, items, lambda s: fold(band_keys(s), parts), need, width, dtype, compare)
+    return links if more is None else links.unionByName(more)
+
+
+def _cells(rows: DataFrame, step: int) -> DataFrame:
+    """(bucket, salt, key): rows (bucket, key, size) of large buckets dealt over cells of a block's size."""
+    cells = rows.groupBy("bucket").agg(cell_count().alias("cells"))
+    return rows.join(cells, "bucket").select("bucket", F.pmod(F.xxhash64("key", F.lit(step)), F.col("cells")).alias("salt"), "key")
 
 
-BITS = 23
+def cell_count():
+    """Cells of half a block and half its bytes."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK // 2), F.sum(F.exp(F.col("size") * float(np.log(2)))) / (BLOCK_BYTES // 2))).cast("long")
+
+
+BITS = 27  # of the largest filter of keys: 16 MB
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """2**BITS bits of a long column's low bits: a filter of fixed size that passes all its values."""
-    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+    """Bits of a long column's low bits, about sixteen a row: a filter that passes all its values."""
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, df.count()))), 12, BITS))
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
     words = df.select(low.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    got = words.toArrow()  # at most 2**(BITS - 6) rows
-    out[got.column("w").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in words.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"w": [b.column(0).to_numpy().tobytes()], "m": [b.column(1).to_numpy().tobytes()]}) for b in bs), "w binary, m binary").toLocalIterator():
+        out[np.frombuffer(r.w, np.int64)] = np.frombuffer(r.m, np.uint64)
     return out
 
 
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    b = values.astype(np.int64) & ((1 << BITS) - 1)
+    b = values.astype(np.int64) & (64 * len(bits) - 1)
     return (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def band_rows(sigs: DataFrame, band_keys: Callable, width: int, dtype, bits: np.ndarray | None = None) -> DataFrame:
-    """(bucket, key) rows of the signatures; with a bitmap, only buckets that it passes."""
-    shared = sigs.sparkSession.sparkContext.broadcast(bits)
+def items_of(ws: Workspace, sigs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, sig, text), once a key, of the keys of `members`; a filter of bounded size spares most others the shuffle."""
+    keys = members.select("key").distinct()
+    shared = sigs.sparkSession.sparkContext.broadcast(bitmap(keys, "key"))
 
     def run(batches):
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            bands = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype).reshape(-1, width))
-            key = np.repeat(b.column(0).to_numpy(), bands.shape[1])
-            bucket = bands.ravel()
-            if shared.value is not None:
-                keep = in_bitmap(shared.value, bucket)
-                bucket, key = bucket[keep], key[keep]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "key": pa.array(key)})
+            yield b.filter(pa.array(in_bitmap(shared.value, b.column(0).to_numpy())))
 
-    return sigs.select("key", "sig").mapInArrow(run, "bucket long, key long")
+    rows = sigs.select("key", "sig", "text").mapInArrow(run, "key long, sig binary, text string")
+    return ws.write(rows.groupBy("key").agg(F.first(F.struct("sig", "text")).alias("v")).select("key", "v.sig", "v.text"), "items")
 
 
-def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, texts: Callable, compare: Callable) -> DataFrame:
-    """Links (key, other) that span the components of verified pairs of signatures (key, sig).
+def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, items: DataFrame, buckets: Callable, need: int, width: int, dtype, compare: Callable) -> DataFrame | None:
+    """Verified links between items of different roots of large buckets; members has (bucket, key, size).
 
-    All pairs that share a bucket and have `need` equal samples are verified or joined by
-    others. For texts and compare see `verify_links`. Buckets are counted first; only
-    members of buckets with two or more are dealt out.
+    The largest root of a bucket has cells of its own, which needn't meet one another: its
+    items are copied to few tasks.
     """
-    multi = ws.write(band_rows(sigs, band_keys, width, dtype).select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "multi")
-    members = ws.write(band_rows(sigs, band_keys, width, dtype, bitmap(multi, "bucket")).join(multi, "bucket"), "members-0")
-    links = ws.write(bucket_links(ws, members, sigs, need, width, dtype, "t"), "links-0")
-    known, checked = verify_links(ws, links, texts, compare, "v0")
-    done = ws.write(checked, "done-0")
-    roots = ws.write(components(ws, done.where("same").select("key", "other"), "leaders"), "roots")
-    stars = roots.where("key <> root").select("key", F.col("root").alias("other"))
-    more = cross_links(ws, members, roots, sigs, band_keys, need, width, dtype, texts, compare, known)
-    return stars if more is None else stars.unionByName(more)
+    labelled = ws.write(members.join(roots, "key", "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root")), "labelled")
+    shares = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), cell_count().alias("cells"))
+    mixed = shares.groupBy("bucket").agg(F.sum("cells").alias("all"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n"), F.max(F.struct("c", "root", "cells")).alias("top")).where("roots > 1").select("bucket", "all", "n", "top")
+    rest = labelled.join(mixed, "bucket").where("root <> top.root").groupBy("bucket").agg(cell_count().alias("rest_cells"))
+    mixed = ws.write(mixed.join(rest, "bucket").select("bucket", F.col("top.root").alias("top"), "rest_cells", F.col("top.cells").alias("top_cells")), "mixed")
+    if mixed.isEmpty():
+        return None
+    is_top = F.col("root") == F.col("top")
+    side = F.when(is_top, F.col("rest_cells") + F.pmod(F.xxhash64("key"), "top_cells")).otherwise(F.pmod(F.xxhash64("key"), "rest_cells"))
+    cells = F.col("rest_cells") + F.col("top_cells")
+    meets = F.sequence(F.lit(0).cast("long"), F.when(is_top, F.col("rest_cells")).otherwise(cells) - 1)
+    rows = labelled.join(mixed, "bucket").withColumn("side", side.cast("long")).withColumn("cells", cells)
+    rows = rows.select("bucket", F.explode(F.transform(meets, lambda c: F.least(c, "side") * F.col("cells") + F.greatest(c, "side"))).cast("long").alias("salt"), "key", "root", "side")
+
+    def pairs_of(v, root, side, x, y):
+        own = buckets(v.sig[x:y])
+        band = int(np.flatnonzero(own[0] == np.int64(v.bucket[x]).view(np.uint64))[0])
+        apart = side[x:y] if (side[x:y] != side[x]).any() else None  # items of one cell meet in the task of this cell only
+        return list(_pairs(v.sig[x:y], need, root[x:y], apart, own[:, :band] if band else None))
+
+    def ends(batches):
+        for t in whole_blocks(batches):
+            v = _Blocks(t, width, dtype)
+            root, side = v.table.column(4).to_numpy(), v.table.column(5).to_numpy()
+            keep = np.zeros(len(v.key), bool)
+            for x, y in zip(v.cuts[:-1].tolist(), v.cuts[1:].tolist(), strict=True):
+                for i, j in pairs_of(v, root, side, x, y):
+                    keep[x + i] = True
+                    keep[x + j] = True
+            at = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(v.bucket[at]), "salt": pa.array(v.salt[at]), "key": pa.array(v.key[at]), "root": pa.array(root[at]), "side": pa.array(side[at])})
+
+    found = _settle(ws, rows, items.select("key", "sig"), ends, "bucket long, salt long, key long, root long, side long", "cross-ends")
+    if found.isEmpty():
+        return None
+
+    def links(batches):
+        for t in whole_blocks(batches):
+            v = _Blocks(t, width, dtype)
+            text, root, side = v.table.column(4).chunk(0), v.table.column(5).to_numpy(), v.table.column(6).to_numpy()
+            a, b = [], []
+            for x, y in zip(v.cuts[:-1].tolist(), v.cuts[1:].tolist(), strict=True):
+                pairs, comp = pairs_of(v, root, side, x, y), root[x:y].copy()
+                part = np.cumsum(pc.binary_length(text.slice(x, y - x)).to_numpy(zero_copy_only=False)) // PART
+                for p in np.unique(part).tolist():
+                    for q in np.unique(part[part <= p]).tolist():
+                        own = np.flatnonzero((part == p) | (part == q))
+                        same = compare(text.take(pa.array(x + own)))
+                        some = [(i, j[part[j] == q]) for i, j in pairs if part[i] == p]
+                        for i, o in _unite(some, comp, lambda i, js, own=own, same=same: same(int(np.searchsorted(own, i)), np.searchsorted(own, js))):
+                            a.append(v.key[x + i])
+                            b.append(v.key[x + o])
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.maximum(a, b)), "other": pa.array(np.minimum(a, b))})
+
+    return _settle(ws, found, items, links, "key long, other long", "cross-links")
 
 
 def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
@@ -339,11 +502,6 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
         seen = now
 
 
-def needed_texts(ws: Workspace, keys: DataFrame, texts: Callable, tag: str) -> DataFrame:
-    """(key, text), once a key, of the keys."""
-    return ws.write(texts(bitmap(keys, "key")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), tag)
-
-
 def matches(a: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which other, place in a, place in the joined others) of elements of others that sorted `a` holds."""
     flat = np.concatenate(others)
@@ -353,28 +511,3 @@ def matches(a: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
     hit = np.flatnonzero(a[at] == flat)
     return which[hit], at[hit], hit
-
-
-def verify_links(ws: Workspace, links: DataFrame, texts: Callable, compare: Callable, tag: str) -> tuple[DataFrame, DataFrame]:
-    """The texts (key, text) of all ends, and (key, other, same) for links (key, other).
-
-    texts(bitmap) gives (key, text) and may repeat keys. compare(column of texts) returns a
-    function (i, array of j) -> array of bool over the texts' indexes. Only texts that
-    occur in a link are moved; a text met again in a batch is prepared once.
-    """
-    need = ws.write(links.select(F.explode(F.array("key", "other")).alias("key")).distinct(), f"{tag}-need")
-    cand = needed_texts(ws, need, texts, f"{tag}-texts")
-    rows = links.join(cand.select(F.col("key").alias("other"), F.col("text").alias("b")), "other").join(cand.select("key", F.col("text").alias("a")), "key").select("key", "other", "a", "b")
-
-    def run(batches):
-        for big in batches:
-            for lo in range(0, big.num_rows, 256):
-                b = big.slice(lo, 256)
-                ids = np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
-                _, rep, inv = np.unique(ids, return_index=True, return_inverse=True)
-                col = pa.concat_arrays([b.column(2), b.column(3)]).take(pa.array(rep))
-                same = compare(col)
-                n = b.num_rows
-                yield pa.RecordBatch.from_pydict({"key": b.column(0), "other": b.column(1), "same": pa.array([bool(same(inv[i], inv[n + i : n + i + 1])[0]) for i in range(n)], pa.bool_())})
-
-    return cand, rows.mapInArrow(run, "key long, other long, same boolean")

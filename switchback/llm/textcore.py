@@ -2,7 +2,9 @@
 
 Everything here works on whole Arrow string columns: UTF-8 bytes are decoded to
 code points with numpy, words are found with a table lookup, and every word gets
-a 64-bit hash from prefix sums, so no Python string is made per word.
+a 62-bit hash from prefix sums, so no Python string is made per word. The hash is a
+pair of polynomials modulo the prime 2**31 - 1: a power-of-two modulus would give some
+long strings over two letters, such as a Thue-Morse word and its complement, one hash.
 
 Memory is linear in a chunk: `slices` cuts a batch into runs of whole texts of
 about CHUNK_BYTES; a single longer text is a chunk of its own.
@@ -18,10 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
+BITE = 1 << 14
 MAX_DOCS = 4000  # texts in a chunk: their index fits the top 12 bits of a sort key
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_103_515_245, 1_732_050_807)  # of the two polynomials; any residues of large order do
 _pows: dict[str, np.ndarray] = {}
 _tables: dict[str, np.ndarray] = {}
 
@@ -72,15 +75,27 @@ def chunks(col, limit: int = CHUNK_BYTES):
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    if len(_pows.get("p", ())) < n:
+def mod_prime(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1 for x < 2**63; x is changed."""
+    for _ in range(2):
+        y = x >> np.uint64(31)
+        x &= _PRIME
+        x += y
+    np.subtract(x, _PRIME, out=x, where=x >= _PRIME)
+    return x
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bases: its powers and the inverses of those, modulo the prime, for exponents below n."""
+    if len(_pows.get("0", ())) < n:
         size = max(n, CHUNK_BYTES + 1024)
-        for name, base in (("p", _P), ("q", _PINV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _pows[name] = np.multiply.accumulate(a)
-    return _pows["p"][:n], _pows["q"][:n]
+        for k, base in enumerate(_BASES):
+            for name, b in ((f"{k}", base), (f"-{k}", pow(base, -1, int(_PRIME)))):
+                a = np.ones(1, np.uint64)
+                while len(a) < size:  # doubling: the next half is this half times a power
+                    a = np.concatenate([a, mod_prime(a * np.uint64(pow(b, len(a), int(_PRIME))))])
+                _pows[name] = a[:size]
+    return [(_pows[f"{k}"][:n], _pows[f"-{k}"][:n]) for k in range(2)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,20 +165,41 @@ def is_alpha(cps: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(cps: np.ndarray) -> np.ndarray:
-    """Prefix sums h with len(cps) + 1 entries: (h[j] - h[i]) * P**-i is the hash of [i, j)."""
+    """Two rows of prefix sums with len(cps) + 1 entries, from which `span_hash` takes any span."""
     n = len(cps)
-    p, _ = powers(n + 1)
-    h = np.zeros(n + 1, np.uint64)
-    np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * p[:n], out=h[1:])
+    h = np.empty((2, n + 1), np.uint64)
+    h[:, 0] = 0
+    x, y = np.empty(BITE, np.uint64), np.empty(BITE, np.uint64)
+    both = powers(n + 1)
+    for a in range(0, n, BITE):  # bites stay in the processor's cache
+        b = min(a + BITE, n)
+        c = cps[a:b].astype(np.uint64)
+        c += np.uint64(1)
+        u, v = x[: b - a], y[: b - a]
+        for k, (p, _) in enumerate(both):
+            np.multiply(c, p[a:b], out=u)
+            np.right_shift(u, np.uint64(31), out=v)
+            u &= _PRIME
+            u += v
+            u[0] += h[k, a]
+            np.cumsum(u, out=h[k, a + 1 : b + 1])
     return h
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Well-mixed 64-bit hashes of the spans [start, end) of the code points behind h."""
-    _, q = powers(len(h))
-    x = (h[end] - h[start]) * q[start]
-    x += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(x)
+    out = np.zeros(len(start), np.uint64)
+    for x, (_, q) in zip(h, powers(h.shape[1]), strict=True):
+        d = x[end]
+        d -= x[start]
+        d = mod_prime(d)
+        d *= q[start]
+        out <<= np.uint64(31)
+        out |= mod_prime(d)
+    d = (end - start).astype(np.uint64)
+    d *= np.uint64(0xD6E8FEB86659FD93)
+    out += d
+    return mix(out)
 
 
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

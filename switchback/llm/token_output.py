@@ -141,11 +141,11 @@ class Encoder:
             where = self.used + np.cumsum(n) - n
             self.arena[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            new = (where << 24) | n
+            new = (where << 32) | n
             self.memo.put(u, new)
             val[at] = new[inv]
-        n = val & 0xFFFFFF
-        where = val >> 24
+        n = val & 0xFFFFFFFF
+        where = val >> 32
         before = np.cumsum(n) - n
         total = int(n.sum())
         flat = self.arena[np.repeat(where - before, n) + np.arange(total)]

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from switchback.llm import line_dedup, linking, near_dedup
@@ -98,38 +99,47 @@ def test_stage_keeps_one_of_each_class(spark, make_docs, folder):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_blocks_of_a_hot_bucket_meet_again(spark, monkeypatch):
-    """A bucket of many blocks ends as one component, with fewer links than twice its items."""
-    monkeypatch.setattr(linking, "BLOCK", 64)
-    n = 700
-    sig = np.tile(np.arange(8, dtype=np.uint32), (n, 1))
-    for k in range(n):
-        sig[k, k % 2] = 1000 + k
-    ws = Workspace(spark, "test")
-    sigs = spark.createDataFrame([(k, sig[k].tobytes()) for k in range(n)], "key long, sig binary")
-    links = linking.bucket_links(ws, spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("key")), sigs, 6, 8, np.uint32, "t")
-    assert links.count() < 2 * n
-    roots = linking.components(ws, links)
-    assert roots.select("root").distinct().count() == 1 and roots.count() == n
+def signed(spark, sig, size=3):
+    return spark.createDataFrame([(k, size, sig[k].tobytes(), str(k)) for k in range(len(sig))], linking.SIGNED)
 
 
-def classes_of(spark, sig, true, need, columns=1):
+def classes_of(spark, sig, true, need, columns=1, size=3):
     """Classes by find_links; the first columns of sig are the bands, `true` the pairs that hold."""
     ws = Workspace(spark, "test")
-    sigs = spark.createDataFrame([(k, sig[k].tobytes()) for k in range(len(sig))], "key long, sig binary")
 
     def compare(col):
         name = [int(x) for x in col.to_pylist()]
-        return lambda i, js: np.array([(min(name[i], name[j]), max(name[i], name[j])) in true for j in js], bool)
+        return lambda i, js: np.array([true(name[i], name[j]) if callable(true) else (min(name[i], name[j]), max(name[i], name[j])) in true for j in js], bool)
 
     def bands(s):
-        return s[:, :columns].astype(np.int64) + 1_000_000 * np.arange(columns)
+        return (s[:, :columns].astype(np.int64) + 1_000_000 * np.arange(columns)) * (1 << 32 | 1)
 
-    texts = spark.createDataFrame([(k, str(k)) for k in range(len(sig))], "key long, text string")
-    links = linking.find_links(ws, sigs, bands, need, sig.shape[1], np.uint32, lambda bits: texts, compare)
+    links = linking.find_links(ws, signed(spark, sig, size), bands, need, sig.shape[1], np.uint32, compare)
+    assert links.count() < 4 * len(sig)
     return {r.key: r.root for r in linking.components(ws, links).collect()}
 
 
+@pytest.mark.parametrize("local", [16, 1 << 20])
+def test_blocks_of_a_hot_bucket_meet_again(spark, monkeypatch, local):
+    """A bucket of many blocks ends as one component, with fewer links than twice its items; hot in a map task or not."""
+    monkeypatch.setattr(linking, "BLOCK", 64)
+    monkeypatch.setattr(linking, "LOCAL", local)
+    n = 700
+    sig = np.tile(np.arange(8, dtype=np.uint32), (n, 1))
+    for k in range(n):
+        sig[k, 1 + k % 2] = 1000 + k
+    got = classes_of(spark, sig, lambda a, b: True, 6)
+    assert set(got.values()) == {0} and len(got) == n
+
+
+def test_long_texts_of_a_bucket_are_dealt_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK_BYTES", 1 << 12)
+    n = 60
+    sig = np.tile(np.arange(8, dtype=np.uint32), (n, 1))
+    true = {(k, k + 1) for k in range(0, n, 2)}
+    assert classes_of(spark, sig, true, 4, size=11) == {k: k - k % 2 for k in range(n)}
+
+
 def test_a_partner_that_many_near_misses_outrank_is_found(spark):
     sig = np.arange(40, dtype=np.uint32)[:, None] * 100 + np.arange(12, dtype=np.uint32)
     sig[:, :7] = np.arange(7)
