@@ -100,12 +100,18 @@ def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
-    x = x ^ (x >> np.uint64(30))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    out = np.array(x, np.uint64)
+    flat = out.reshape(-1)
+    y = np.empty(min(BITE, flat.size), np.uint64)
+    for a in range(0, flat.size, BITE):
+        z = flat[a : a + BITE]
+        t = y[: len(z)]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            np.right_shift(z, np.uint64(shift), out=t)
+            z ^= t
+            if factor > 1:
+                z *= np.uint64(factor)
+    return out
 
 
 def decode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
