@@ -160,17 +160,20 @@ def lines(texts: DataFrame) -> DataFrame:
 
 def jaccard(col):
     """compare function of `linking.find_links`."""
-    sets: list = [None] * len(col)
-    for i, j, data, off in tc.chunks(col):
+    keys = []
+    for i, _, data, off in tc.chunks(col):
         line, h = line_shingles(data, off[:-1], off[1:])
-        cut = np.searchsorted(line, np.arange(j - i + 1))
-        for k in range(j - i):
-            sets[i + k] = np.unique(h[cut[k] : cut[k + 1]])
-
-    def same(i, js):
-        a, others = sets[i], [sets[j] for j in js]
-        both = np.bincount(linking.matches(a, others)[0], minlength=len(others))
-        return both >= SIMILARITY * (len(a) + np.array([len(b) for b in others]) - both)
+        x = np.sort(((i + line).astype(np.uint64) << np.uint64(linking.SET_BITS)) | (h >> np.uint64(64 - linking.SET_BITS)))
+        keys.append(x[np.append(True, x[1:] != x[:-1])[: len(x)]])
+    keys = np.concatenate(keys)
+    cut = np.searchsorted(keys, np.arange(len(col) + 1, dtype=np.uint64) << np.uint64(linking.SET_BITS))
+    size = np.diff(cut)
+
+    def same(i, j):
+        both = np.zeros(len(i), np.int64)
+        for part, pair, _, _ in linking.shared(keys, cut, i, j):
+            both[part] = np.bincount(pair, minlength=part.stop - part.start)
+        return both >= SIMILARITY * (size[i] + size[j] - both)
 
     return same
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .store import Workspace
 
-BLOCK = 2048
+BLOCK = 1024
 BLOCK_BYTES = 1 << 23  # text of a bucket that one task settles
 PART = 1 << 22  # bytes of text prepared at once for exact checks inside a task
 ASK = 64  # pairs of an item verified at once
@@ -143,16 +143,13 @@ def _unpack(rows: list[bytes], bucket_type) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, (bucket_type, np.int8, np.int64), strict=True))
 
 
-def _gather(batches):
+def _gather(block: int, block_bytes: int):
     """mapInArrow over packed rows sorted by part: (bucket, salt, key, size) of buckets with two keys.
 
     bucket is a number made of the keys in it, or for a bucket that is too large for a block
     (salt 0) its own. Buckets of equal items thus become repeated rows.
     """
-    held: dict[int, list[bytes]] = {}
-    part = None
-
-    def settle():
+    def settle(held, part):
         bucket, size, key = _unpack(held.get(1, []), np.uint64)
         out = [(bucket, np.zeros(len(key), np.int64), key, size)]
         low, size, key = _unpack(held.get(0, []), np.uint32)
@@ -178,20 +175,25 @@ def _gather(batches):
             name = np.add.reduceat(tc.mix(k.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)), cut[:-1])
             own = low[order].astype(np.uint64) | (np.uint64(part) << np.uint64(32))
             weight = np.add.reduceat(np.exp2(size[order].astype(np.float64)), cut[:-1])
-            big = np.repeat((n > BLOCK) | (weight > BLOCK_BYTES), n) | hot
+            big = np.repeat((n > block) | (weight > block_bytes), n) | hot
             out.append((np.where(big, own, np.repeat(name, n)), np.where(big, 0, -1), k, size[order]))
         b, s, k, z = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.RecordBatch.from_pydict({"bucket": pa.array(b.view(np.int64)), "salt": pa.array(s), "key": pa.array(k), "size": pa.array(z)})
 
-    for batch in batches:
-        for p, kind, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if p != part and held:
-                yield settle()
-                held = {}
-            part = p
-            held.setdefault(kind, []).append(rows)
-    if held:
-        yield settle()
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        part = None
+        for batch in batches:
+            for p, kind, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if p != part and held:
+                    yield settle(held, part)
+                    held = {}
+                part = p
+                held.setdefault(kind, []).append(rows)
+        if held:
+            yield settle(held, part)
+
+    return run
 
 
 MEMBERS = "bucket long, salt long, key long, size tinyint"
@@ -207,7 +209,7 @@ def bucket_members(ws: Workspace, sigs: DataFrame, band_keys: Callable, width: i
     """Distinct (bucket, salt, key, size) of all buckets with two keys; salt is 0 for large buckets, else -1."""
     dealt = sigs.select("key", "size", "sig").mapInArrow(_deal(band_keys, width, dtype, parts), "part int, kind int, rows binary")
     dealt = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
-    return ws.write(dealt.mapInArrow(_gather, MEMBERS).distinct(), "members")
+    return ws.write(dealt.mapInArrow(_gather(BLOCK, BLOCK_BYTES), MEMBERS).distinct(), "members")
 
 
 def whole_blocks(batches) -> Iterator[pa.Table]:
@@ -242,82 +244,161 @@ class _Blocks:
         self.cuts = _runs(bucket, salt)
 
 
-def _pairs(sig: np.ndarray, need: int, comp: np.ndarray | None = None, side: np.ndarray | None = None, bands: np.ndarray | None = None):
-    """(item, earlier items) of a block that resemble each other.
+def _pairs(sig: np.ndarray, need: int, comp: np.ndarray | None = None, side: np.ndarray | None = None, bands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(items, earlier items), sorted, of pairs of a block that resemble each other.
 
     With comp, only those of different components; with side, of different cells; with bands
     (the band keys before the block's own), only those that none of them unites.
     """
+    one, two = [], []
     for i in range(1, len(sig)):
-        ok = np.ones(i, bool) if comp is None else comp[:i] != comp[i]
-        if side is not None:
-            ok &= side[:i] != side[i]
+        ok = np.count_nonzero(sig[:i] == sig[i], axis=1) >= need
+        for label in (comp, side):
+            if label is not None:
+                ok &= label[:i] != label[i]
         j = np.flatnonzero(ok)
-        j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= need]
         if bands is not None and len(j):
             j = j[~(bands[j] == bands[i]).any(axis=1)]
-        if len(j):
-            yield i, j
-
-
-def _unite(pairs: list, comp: np.ndarray, same: Callable) -> list[tuple[int, int]]:
-    """Verified links of a block's pairs, none between what earlier ones join; comp is kept up to date."""
-    links = []
-    for i, j in pairs:
-        ask = 4
-        while len(j := j[comp[j] != comp[i]]):
-            now, j = j[:ask], j[ask:]
-            ask = ASK
-            for o in now[same(i, now)].tolist():
-                if comp[o] != comp[i]:
-                    links.append((i, o))
-                    comp[comp == comp[o]] = comp[i]
-    return links
+        one.append(np.full(len(j), i))
+        two.append(j)
+    return _cat(one), _cat(two)
+
+
+def _cat(parts: list) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _block_pairs(sig: np.ndarray, cuts: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of resembling items of all blocks, sorted; blocks of few items are compared at once."""
+    size = np.diff(cuts)
+    small = (size > 1) & (size <= 32)
+    items = np.repeat(small, size)
+    start = np.repeat(cuts[:-1], size)
+    n = np.where(items, np.arange(len(items)) - start, 0)  # earlier items of the block
+    i = np.repeat(np.arange(len(items)), n)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + start[i]
+    one, two = [], []
+    for a in range(0, len(i), 1 << 16):
+        x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        like = np.count_nonzero(sig[x] == sig[y], axis=1) >= need
+        one.append(x[like])
+        two.append(y[like])
+    for a, b in zip(cuts[:-1][size > 32].tolist(), cuts[1:][size > 32].tolist(), strict=True):
+        x, y = _pairs(sig[a:b], need)
+        one.append(a + x)
+        two.append(a + y)
+    i, j = _cat(one), _cat(two)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
+def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give linked components one label; labels are indexes."""
+    while True:
+        x, y = comp[a], comp[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        up = np.arange(len(comp))
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up != up[up]).any():
+            up = up[up]
+        comp[:] = up[comp]
+
+
+def _unite(i: np.ndarray, j: np.ndarray, comp: np.ndarray, same: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links of pairs sorted by i; comp is kept up to date.
+
+    Each turn verifies the next few pairs of every item, without those that links join already.
+    """
+    one, two, ask = [], [], 1
+    while True:
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return _cat(one), _cat(two)
+        cut = _runs(i)
+        now = np.arange(len(i)) - np.repeat(cut[:-1], np.diff(cut)) < ask
+        a, b = i[now], j[now]
+        ok = same(a, b)
+        a, b = a[ok], b[ok]
+        x, y = comp[a], comp[b]
+        first = np.unique(np.minimum(x, y) * len(comp) + np.maximum(x, y), return_index=True)[1]  # one link for two components
+        one.append(a[first])
+        two.append(b[first])
+        _merge(comp, a[first], b[first])
+        i, j = i[~now], j[~now]
+        ask = min(2 * ask, ASK)
+
+
+def shared(keys: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Common elements of pairs of sets: (part of the pairs, pair within it, places of the element in i's and j's set).
+
+    keys are all sets one after another, sorted, the set's number above SET_BITS; cut has their bounds.
+    """
+    size = np.diff(cut)
+    swap = size[i] > size[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    n = size[a]
+    ends = np.cumsum(n)
+    mask = np.uint64((1 << SET_BITS) - 1)
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + (1 << 20), "right")))
+        m = n[lo:hi]
+        pair = np.repeat(np.arange(hi - lo), m)
+        x = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + cut[a[lo:hi]][pair]
+        want = (keys[x] & mask) | (b[lo:hi][pair].astype(np.uint64) << np.uint64(SET_BITS))
+        y = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = np.flatnonzero(keys[y] == want)
+        pair, x, y = pair[hit], x[hit], y[hit]
+        back = swap[lo:hi][pair]
+        yield slice(lo, hi), pair, np.where(back, y, x), np.where(back, x, y)
+        lo = hi
+
+
+SET_BITS = 50  # of an element; MAX_SETS sets have numbers above them
+MAX_SETS = 1 << (64 - SET_BITS)
+
+
+def _groups(length: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole blocks with about PART bytes of text and fewer than MAX_SETS items each."""
+    total = np.append(0, np.cumsum(length))[cuts]
+    k = 0
+    while k < len(cuts) - 1:
+        m = max(k + 1, int(np.searchsorted(total, total[k] + PART, "right")) - 1)
+        m = max(k + 1, min(m, int(np.searchsorted(cuts, cuts[k] + MAX_SETS, "right")) - 1))
+        yield int(cuts[k]), int(cuts[m])
+        k = m
 
 
 def _verified(need: int, width: int, dtype, compare: Callable):
-    """mapInArrow over (bucket, salt, key, sig, text): links (salt, bucket, key, other) that hold.
+    """mapInArrow over (bucket, salt, key, sig, text): links (0, key, other) that hold.
 
-    For blocks of large buckets (salt >= 0) one item of each component follows as its own link.
+    For blocks of large buckets (salt >= 0) one item of each component follows as a link to itself.
     """
 
     def settle(v: _Blocks):
-        keys, others, reps = [], [], []
-        size = np.diff(v.cuts)
-        two = v.cuts[:-1][size == 2]
-        like = two[np.count_nonzero(v.sig[two] == v.sig[two + 1], axis=1) >= need]
-        blocks = [(x, x + 2, [(1, np.zeros(1, np.int64))]) for x in like.tolist()]
-        for x, y in zip(v.cuts[:-1][size > 2].tolist(), v.cuts[1:][size > 2].tolist(), strict=True):
-            pairs = list(_pairs(v.sig[x:y], need))
-            if pairs:
-                blocks.append((x, y, pairs))
         comp = np.arange(len(v.key))
         text = v.table.column(4).chunk(0)
-        length = pc.binary_length(text).to_numpy(zero_copy_only=False)
-        todo, have = [], 0
-        for k, (x, y, pairs) in enumerate(blocks):
-            ends = np.unique(np.concatenate([np.append(j, i) for i, j in pairs]))
-            todo.append((x, y, pairs, ends))
-            have += int(length[x + ends].sum())
-            if have < PART and k + 1 < len(blocks):
+        i, j = _block_pairs(v.sig, v.cuts, need)
+        one, two = [], []
+        for x, y in _groups(pc.binary_length(text).to_numpy(zero_copy_only=False), v.cuts):
+            mine = slice(*np.searchsorted(i, [x, y]))
+            if mine.start == mine.stop:
                 continue
-            same = compare(text.take(pa.array(np.concatenate([x + e for x, _, _, e in todo]))))
-            base = 0
-            for x, y, pairs, ends in todo:
-                at = np.zeros(y - x, np.int64)
-                at[ends] = base + np.arange(len(ends))
-                base += len(ends)
-                for i, o in _unite(pairs, comp[x:y], lambda i, js, at=at: same(int(at[i]), at[js])):
-                    keys.append(v.key[x + i])
-                    others.append(v.key[x + o])
-            todo, have = [], 0
+            ends = np.unique(np.concatenate([i[mine], j[mine]]))
+            same = compare(text.take(pa.array(ends)))
+            a, b = _unite(i[mine], j[mine], comp, lambda p, q, ends=ends, same=same: same(np.searchsorted(ends, p), np.searchsorted(ends, q)))
+            one.append(v.key[a])
+            two.append(v.key[b])
+        a, b = _cat(one), _cat(two)
         hot = np.flatnonzero(v.salt >= 0)
-        if len(hot):
-            block = np.repeat(np.arange(len(size)), size)[hot]
-            order = np.lexsort((v.key[hot], comp[hot], block))
-            reps = hot[order][_runs(block[order], comp[hot][order])[:-1]]
-        a, b = np.array(keys, np.int64), np.array(others, np.int64)
-        at = np.asarray(reps, np.int64)
+        size = np.diff(v.cuts)
+        block = np.repeat(np.arange(len(size)), size)[hot]
+        order = np.lexsort((v.key[hot], comp[hot], block))
+        at = hot[order][_runs(block[order], comp[hot][order])[:-1]]
         return pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(np.zeros(len(a), np.int64), v.bucket[at])), "key": pa.array(np.append(np.maximum(a, b), v.key[at])), "other": pa.array(np.append(np.minimum(a, b), v.key[at]))})
 
     def run(batches):
@@ -342,7 +423,7 @@ def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, w
     """Verified links (key, other) that span the components of the texts behind `sigs` (SIGNED).
 
     Rows of one key are the same text and may repeat. compare(column of texts) returns a
-    function (i, array of j) -> array of bool over the texts' indexes.
+    function of two arrays of the texts' indexes that says of each pair whether it holds.
     """
     bands = band_keys(np.zeros((1, width), dtype)).shape[1]
     tasks, parts = parts_of(sigs, bands)
@@ -434,13 +515,13 @@ def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, items: Data
     cells = F.col("rest_cells") + F.col("top_cells")
     meets = F.sequence(F.lit(0).cast("long"), F.when(is_top, F.col("rest_cells")).otherwise(cells) - 1)
     rows = labelled.join(mixed, "bucket").withColumn("side", side.cast("long")).withColumn("cells", cells)
-    rows = rows.select("bucket", F.explode(F.transform(meets, lambda c: F.least(c, "side") * F.col("cells") + F.greatest(c, "side"))).cast("long").alias("salt"), "key", "root", "side")
+    rows = rows.select("bucket", F.explode(F.transform(meets, lambda c: (F.least(c, "side") * F.col("cells") + F.greatest(c, "side")).cast("long"))).alias("salt"), "key", "root", "side")
 
     def pairs_of(v, root, side, x, y):
         own = buckets(v.sig[x:y])
         band = int(np.flatnonzero(own[0] == np.int64(v.bucket[x]).view(np.uint64))[0])
         apart = side[x:y] if (side[x:y] != side[x]).any() else None  # items of one cell meet in the task of this cell only
-        return list(_pairs(v.sig[x:y], need, root[x:y], apart, own[:, :band] if band else None))
+        return _pairs(v.sig[x:y], need, root[x:y], apart, own[:, :band] if band else None)
 
     def ends(batches):
         for t in whole_blocks(batches):
@@ -448,9 +529,8 @@ def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, items: Data
             root, side = v.table.column(4).to_numpy(), v.table.column(5).to_numpy()
             keep = np.zeros(len(v.key), bool)
             for x, y in zip(v.cuts[:-1].tolist(), v.cuts[1:].tolist(), strict=True):
-                for i, j in pairs_of(v, root, side, x, y):
-                    keep[x + i] = True
-                    keep[x + j] = True
+                for at in pairs_of(v, root, side, x, y):
+                    keep[x + at] = True
             at = np.flatnonzero(keep)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(v.bucket[at]), "salt": pa.array(v.salt[at]), "key": pa.array(v.key[at]), "root": pa.array(root[at]), "side": pa.array(side[at])})
 
@@ -462,19 +542,21 @@ def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, items: Data
         for t in whole_blocks(batches):
             v = _Blocks(t, width, dtype)
             text, root, side = v.table.column(4).chunk(0), v.table.column(5).to_numpy(), v.table.column(6).to_numpy()
-            a, b = [], []
+            length = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            one, two = [], []
             for x, y in zip(v.cuts[:-1].tolist(), v.cuts[1:].tolist(), strict=True):
-                pairs, comp = pairs_of(v, root, side, x, y), root[x:y].copy()
-                part = np.cumsum(pc.binary_length(text.slice(x, y - x)).to_numpy(zero_copy_only=False)) // PART
+                i, j = pairs_of(v, root, side, x, y)
+                comp = np.unique(root[x:y], return_inverse=True)[1]
+                part = np.maximum(np.cumsum(length[x:y]) // PART, np.arange(y - x) // (MAX_SETS // 2))
                 for p in np.unique(part).tolist():
                     for q in np.unique(part[part <= p]).tolist():
                         own = np.flatnonzero((part == p) | (part == q))
                         same = compare(text.take(pa.array(x + own)))
-                        some = [(i, j[part[j] == q]) for i, j in pairs if part[i] == p]
-                        for i, o in _unite(some, comp, lambda i, js, own=own, same=same: same(int(np.searchsorted(own, i)), np.searchsorted(own, js))):
-                            a.append(v.key[x + i])
-                            b.append(v.key[x + o])
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
+                        some = (part[i] == p) & (part[j] == q)
+                        a, b = _unite(i[some], j[some], comp, lambda s, t, own=own, same=same: same(np.searchsorted(own, s), np.searchsorted(own, t)))
+                        one.append(v.key[x + a])
+                        two.append(v.key[x + b])
+            a, b = _cat(one), _cat(two)
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.maximum(a, b)), "other": pa.array(np.minimum(a, b))})
 
     return _settle(ws, found, items, links, "key long, other long", "cross-links")
@@ -488,26 +570,16 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
     edges = ws.write(links.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).where("u <> v").distinct(), f"{tag}-0")
     step, seen = 0, None
     while True:
+        # lows are tables of their own: the join of an item that many links share can then be split
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-low-{step}")
+        large = ws.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{tag}-large-{step}")
+        low = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-least-{step}")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         step += 1
         edges = ws.write(small, f"{tag}-{step}")
-        ws.drop(f"{tag}-{step - 1}")
+        ws.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "low-", "large-", "least-")])
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
         seen = now
-
-
-def matches(a: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which other, place in a, place in the joined others) of elements of others that sorted `a` holds."""
-    flat = np.concatenate(others)
-    which = np.repeat(np.arange(len(others)), [len(x) for x in others])
-    if not len(a):
-        return which[:0], which[:0], which[:0]
-    at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
-    hit = np.flatnonzero(a[at] == flat)
-    return which[hit], at[hit], hit

@@ -21,13 +21,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 24
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS texts: with long texts Spark's default of 10,000 takes much memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of BATCH_ROWS texts and BATCH_BYTES: with long texts Spark's defaults take much memory."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Workspace:
@@ -42,8 +47,13 @@ class Workspace:
         return f"{self.path}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back."""
-        df.write.mode("overwrite").parquet(self.at(name))
+        """Write a table and read it back; the shuffle files behind it go at once."""
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:

@@ -109,7 +109,7 @@ def classes_of(spark, sig, true, need, columns=1, size=3):
 
     def compare(col):
         name = [int(x) for x in col.to_pylist()]
-        return lambda i, js: np.array([true(name[i], name[j]) if callable(true) else (min(name[i], name[j]), max(name[i], name[j])) in true for j in js], bool)
+        return lambda i, j: np.array([true(name[x], name[y]) if callable(true) else (min(name[x], name[y]), max(name[x], name[y])) in true for x, y in zip(i, j, strict=True)], bool)
 
     def bands(s):
         return (s[:, :columns].astype(np.int64) + 1_000_000 * np.arange(columns)) * (1 << 32 | 1)
@@ -244,3 +244,76 @@ def test_line_dedup_of_awkward_rows(spark, make_docs):
     got = line_dedup.dedup_lines(make_docs(AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and {r.doc_id: r.text for r in got}[2] is None
     assert line_dedup.dedup_lines(make_docs([])).count() == 0
+
+
+def edited(rng, unit, edits):
+    """A copy with a few units changed."""
+    out = list(unit)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = prose(rng, 1)
+    return out
+
+
+def pair_classes(n, pairs):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(k) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_around_the_threshold_meet_their_true_classes(spark, make_docs, seed):
+    """Groups of chains of edited lines: many pairs lie just above or just below the threshold."""
+    rng = random.Random(seed)
+    names = []
+    for _ in range(20):
+        chain = [prose(rng, 1) for _ in range(11)]
+        for _ in range(50):
+            names.append(" ".join(edited(rng, rng.choice([chain, chain, names[-1].split() if names else chain]), rng.randrange(1, 4))))
+    names = sorted(set(names))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i) if (c := len(sets[i] & sets[j])) >= line_dedup.SIMILARITY * (len(sets[i]) + len(sets[j]) - c)]
+    want = len(set(pair_classes(len(names), pairs)))
+    got = line_dedup.dedup_lines(make_docs([(k, x, "en", "s") for k, x in enumerate(names)])).where("__removed = 0").count()
+    assert want <= got <= want + 1 + 0.005 * len(names)  # a pair at the threshold shares no band with probability 0.3 %
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_texts_around_the_threshold_meet_their_true_classes(spark, make_docs, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(20):
+        base = prose(rng, 90).split()
+        for _ in range(40):
+            rows.append((len(rows), " ".join(edited(rng, base if rng.random() < 0.6 or not rows else rows[-1][1].split(), rng.randrange(1, 4)))))
+    want = len(set(brute_classes(rows).values()))
+    got = near_dedup.near_duplicates(make_docs([(i, t, "en", "s") for i, t in rows])).select("class_id").distinct().count()
+    assert want <= got <= want + 1 + 0.005 * len(rows)
+
+
+def test_long_lines_that_differ_only_in_order_are_not_equal(spark, make_docs):
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    data, off = tc.column_bytes(pa.array([a, b]))
+    h = tc.span_hash(tc.prefix_hash(data), off[:-1], off[1:])
+    key = line_dedup.Lines(data, off).keys(np.arange(2))
+    assert h[0] != h[1] and key[0] != key[1]
+
+
+def test_no_row_of_a_null_or_repeated_id_is_lost(spark, make_docs):
+    texts = [prose(random.Random(k), 30) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (None, texts[5]), (None, texts[0]), (None, None), (7, None)]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows]).withColumn("__kept", F.lit(1)).withColumn("key", F.lit(2)).withColumn("row", F.lit("x"))
+    got = near_dedup.pipeline_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect() if r.text) == sorted(texts) and got.where("text is null").count() == 2
+    flags = near_dedup.near_duplicates(docs).collect()
+    assert len(flags) == 9 and len({r.class_id for r in flags if r.doc_id is None and r.class_id is not None}) == 4
