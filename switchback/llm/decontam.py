@@ -1,19 +1,21 @@
 """Benchmark decontamination (operator 4): latent semantic retrieval, then exact checks.
 
 Benchmark texts are cut into passages of at most PASSAGE words. Document frequencies of
-hashed words come from all documents. A distributed randomised SVD of the passages'
-TF-IDF rows (BLOCK_ITEMS passages a block, RANK directions) gives a word projection; words
-that no passage of the block holds project to nothing, so only few words of a document
-are touched. Windows of several widths over whole documents are pruned by the mass of
-their benchmark words, projected, and compared by cosine with all passages of the block.
-Passages of common words would drown in their neighbours' weight, so these are sought by
-the number of their words in a region instead, which misses none that the check accepts.
-A candidate is confirmed on the window with its surroundings: longest common subsequence
-of all words and of content words, and the words of the passage's answer (its last
-sentence) must be there.
-
-The benchmark is the query set. Only PASS_BLOCKS blocks are broadcast at once (at most
-BLOCK_ITEMS * PASSAGE words each); a larger benchmark takes further passes.
+hashed words come from all documents. The passages are dealt over tasks in blocks of
+BLOCK_ITEMS, and each task makes a randomised SVD of its blocks' TF-IDF rows (all
+directions of a block), which gives a word projection; words that no passage of the block
+holds project to nothing, so only few words of a document are touched. The blocks are
+written to the shared folder; workers read them from there, PASS_BLOCKS at once, so no
+passage goes through the driver. Windows of several widths over whole documents are pruned
+by a bound that no window above the cosine limit can miss, projected, and compared by
+cosine with all passages of the block. Passages of common words would drown in their
+neighbours' weight, so these are sought by the number of their words in a region instead,
+which misses none that the check accepts. A candidate is confirmed on the window with its
+surroundings: longest common subsequence of all words and of content words, and the words
+of the passage's answer (its last sentence) must be there.
+
+The benchmark is the query set. A benchmark of more than PASS_BLOCKS blocks takes further
+passes over the documents, each written before the next.
 
 Defined cases: null, empty and word-less documents are clean; benchmark rows without
 words are ignored; a null item_id is kept as null; an empty benchmark leaves all clean;
@@ -22,25 +24,24 @@ repeated rows get a result each. Other columns are passed on or ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import small_batches
+from .store import Workspace, open_fs
 
 FEATURES = 1 << 18
 DF_BLOCK = 1 << 10
 PASSAGE = 64
 BLOCK_ITEMS = 256
 PASS_BLOCKS = 4
-RANK = BLOCK_ITEMS  # all directions of a block
-OVERSAMPLE = 16
 WIDTHS = (16, 32, 64)
 STRIDE = 8
 COSINE = 0.35  # estimated for half of a passage's words at equal weights; light words may give less
-SLACK = 0.8  # repeated words project to more than their mass
 AROUND = 32
 LCS_ALL, LCS_CONTENT, LCS_FEW = 0.5, 0.5, 0.8
 FEW = 3  # passages with fewer content words are plain: LCS_FEW of all their words must match
@@ -145,55 +146,31 @@ def passages(items: list[tuple], idf: np.ndarray, content_idf: float) -> list[Pa
     return result
 
 
-def randomised_svd(block: list[Passage], idf: np.ndarray, spark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted word hashes, word directions V, unit passage vectors in V) of a block's TF-IDF rows.
+def randomised_svd(block: list[Passage], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted word hashes, word directions V by weight, unit passage vectors in V) of a block's TF-IDF rows.
 
-    The range of A^T is found by Gaussian test vectors and one power step. Rows are dealt over
-    tasks, which send partial products of the block's words (a bounded set) to be added.
+    The range of A^T is found by Gaussian test vectors, as many as passages, and one power
+    step; the small matrix left is then decomposed. Memory: words of the block x passages.
     """
     vocab = np.unique(np.concatenate([p.words for p in block]))
     weight = idf[(vocab & _M).astype(np.int64)].astype(np.float64)
-    width = min(RANK + OVERSAMPLE, len(block))
-    rows = [np.searchsorted(vocab, p.words) for p in block]
-
-    def dense(part):
-        a = np.zeros((len(part), len(vocab)))
-        for k, r in enumerate(part):
-            np.add.at(a[k], r, weight[r])
-        norm = np.linalg.norm(a, axis=1, keepdims=True)
-        return a / np.where(norm > 0, norm, 1)
-
-    parts = [rows[k : k + 64] for k in range(0, len(rows), 64)]
-    test = np.random.default_rng(11).standard_normal((len(block), width))
-    tests = [test[k : k + 64] for k in range(0, len(rows), 64)]
-    frame = spark.createDataFrame([(k,) for k in range(len(parts))], "k int").repartition(len(parts), "k")
-
-    def spread(make):
-        """Sum over tasks of make(k), a matrix of the vocabulary's height or the sketch's."""
-
-        def run(batches):
-            for b in batches:
-                for k in b.column(0).to_pylist():
-                    x = make(k)
-                    yield pa.RecordBatch.from_pydict({"x": pa.array([x.tobytes()], pa.binary())})
-
-        return sum(np.frombuffer(r.x, np.float64) for r in frame.mapInArrow(run, "x binary").collect())
-
-    y = spread(lambda k: dense(parts[k]).T @ tests[k]).reshape(len(vocab), width)
-    q, _ = np.linalg.qr(y)
-    y = spread(lambda k: (lambda a: a.T @ (a @ q))(dense(parts[k]))).reshape(len(vocab), -1)
-    q, _ = np.linalg.qr(y)
-    gram = spread(lambda k: (lambda c: c.T @ c)(dense(parts[k]) @ q)).reshape(q.shape[1], -1)
-    value, vec = np.linalg.eigh(gram)
-    top = np.argsort(-value)[:RANK]
-    v = (q @ vec[:, top]).astype(np.float32)
-    u = np.concatenate([dense(p) @ v for p in parts]).astype(np.float32)
+    a = np.zeros((len(block), len(vocab)))
+    for k, p in enumerate(block):
+        r = np.searchsorted(vocab, p.words)
+        np.add.at(a[k], r, weight[r])
+    norm = np.linalg.norm(a, axis=1, keepdims=True)
+    a /= np.where(norm > 0, norm, 1)
+    q, _ = np.linalg.qr(a.T @ np.random.default_rng(11).standard_normal((len(block), min(len(block), len(vocab)))))
+    q, _ = np.linalg.qr(a.T @ (a @ q))
+    _, _, turn = np.linalg.svd(a @ q, full_matrices=False)
+    v = (q @ turn.T).astype(np.float32)
+    u = (a @ v).astype(np.float32)
     norm = np.linalg.norm(u, axis=1, keepdims=True)
     return vocab, (v * weight[:, None]).astype(np.float32), u / np.where(norm > 0, norm, 1)
 
 
 class Index:
-    """What a pass over the documents needs."""
+    """What a pass over the documents needs: blocks of (words, their bits, V, u, passages)."""
 
     def __init__(self, blocks, idf: np.ndarray):
         self.blocks, self.idf = blocks, idf.astype(np.float32)
@@ -228,6 +205,30 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(starts), np.concatenate(ends)
 
 
+def repeats(word: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each word occurred in the WIDTHS[-1] words before it in its text; `at` are the words' places."""
+    order = np.lexsort((at, word, doc))
+    w, d, p = word[order], doc[order], at[order]
+    group = np.append(0, np.cumsum((w[1:] != w[:-1]) | (d[1:] != d[:-1]))) if len(w) else np.zeros(0, np.int64)
+    big = int(at.max()) + 2 * WIDTHS[-1] if len(at) else 1
+    line = group * big + p
+    out = np.empty(len(w), np.int64)
+    out[order] = np.arange(len(w)) - np.searchsorted(line, np.maximum(group * big, line - WIDTHS[-1] + 1))
+    return out
+
+
+def window_norms(hashes: np.ndarray, sq: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Norms of the windows' TF-IDF vectors; sq is the squared weight of each word."""
+    n = end - start
+    which = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    order = np.lexsort((hashes[at], which))
+    h, x = hashes[at][order], which[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])]))
+    tf = np.diff(np.append(first, len(h)))
+    return np.sqrt(np.bincount(x[first], sq[at[order][first]] * tf.astype(float) ** 2, minlength=len(n)))
+
+
 def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, set]:
     """Items found in each text of a chunk."""
     w = tc.Words(data, off)
@@ -237,22 +238,27 @@ def search_chunk(index: Index, data: np.ndarray, off: np.ndarray) -> dict[int, s
     sq = index.idf[(w.hash & _M).astype(np.int64)].astype(np.float64) ** 2
     doc, start, end = windows(w.first)
     total = np.concatenate([[0], np.cumsum(sq)])
-    norm2 = total[end] - total[start]
     for vocab, bits, v, u, block in index.blocks:
         maybe = np.flatnonzero(bits[(w.hash & np.uint64(0xFFFF)).astype(np.int64)])
         col = np.minimum(np.searchsorted(vocab, w.hash[maybe]), len(vocab) - 1)
         hit = vocab[col] == w.hash[maybe]
         at, col = maybe[hit], col[hit]
+        # cos^2 <= known / (known + other): a word's tf^2 is the sum of 2 * rank - 1 over its occurrences,
+        # whose ranks in a window are at most 1 + repeats; other words count at least once each
+        most = np.concatenate([[0], np.cumsum(sq[at] * (2 * repeats(col, w.doc[at], at) + 1))])
         mass = np.concatenate([[0], np.cumsum(sq[at])])
         lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
-        keep = np.flatnonzero((mass[hi] - mass[lo] >= (SLACK * COSINE) ** 2 * norm2) & (hi - lo >= 2) & (norm2 > 0))
+        known = most[hi] - most[lo]
+        other = np.maximum(total[end] - total[start] - (mass[hi] - mass[lo]), 0)
+        keep = np.flatnonzero((known >= COSINE**2 * (known + other) * 0.999) & (hi - lo >= 2) & (known > 0))
         if not len(keep):
             continue
         for part in np.array_split(keep, -(-len(keep) // 256)):
             n = hi[part] - lo[part]
             rows = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             z = np.add.reduceat(v[col[rows]], np.cumsum(n) - n, axis=0)
-            cos = z @ u.T / np.sqrt(norm2[part])[:, None].astype(np.float32)
+            norm = window_norms(w.hash, sq, start[part], end[part])
+            cos = z @ u.T / np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
             x, y = np.nonzero(cos >= COSINE)
             for k in np.argsort(-cos[x, y], kind="stable").tolist():
                 d, p = int(doc[part[x[k]]]), block[y[k]]
@@ -285,44 +291,90 @@ def word_weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.where(idf >= content_weight(n), idf, COMMON * idf)
 
 
-def build(docs: DataFrame, benchmark: DataFrame):
-    """Indexes, one a pass over the documents."""
+def build(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> tuple[np.ndarray | None, list[list[int]]]:
+    """(word weights, numbers of the blocks of each pass); the blocks are in the table `blocks`."""
     spark = docs.sparkSession
-    small_batches(spark)
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()]
-    if not items:
-        return []
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    n_items = items.count()
+    if not n_items:
+        return None, []
     df, n = document_frequencies(docs)
-    idf = word_weights(df, n)
-    todo = passages(items, idf, content_weight(n))
+    idf, least = word_weights(df, n), content_weight(n)
+    shared = spark.sparkContext.broadcast(idf)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        idf, no = shared.value, TaskContext.get().partitionId() << 16
+        todo: list[Passage] = []
+        for last, b in _with_last(batches):
+            todo += passages(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), idf, least)
+            while len(todo) >= BLOCK_ITEMS or (last and todo):
+                part, todo = todo[:BLOCK_ITEMS], todo[BLOCK_ITEMS:]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([no], pa.int64()), "made": pa.array([pickle.dumps((part, *randomised_svd(part, idf)))], pa.binary())})
+                no += 1
+
+    dealt = items.repartition(-(-n_items // BLOCK_ITEMS), F.xxhash64("item_id", "text")).sortWithinPartitions("item_id", "text")
+    blocks = ws.write(dealt.mapInArrow(run, "block long, made binary"), "blocks")
+    numbers = [r.block for r in blocks.select("block").orderBy("block").toLocalIterator()]  # one a BLOCK_ITEMS passages
+    return idf, [numbers[k : k + PASS_BLOCKS] for k in range(0, len(numbers), PASS_BLOCKS)]
+
+
+def _with_last(batches):
+    """(whether it is the last, batch) of the batches."""
+    held = None
+    for b in batches:
+        if held is not None:
+            yield False, held
+        held = b
+    if held is not None:
+        yield True, held
+
+
+def load_index(uri: str, numbers: list[int], idf: np.ndarray) -> Index:
+    """An index from the table of blocks in the shared folder, for use inside a task."""
+    import pyarrow.parquet as pq
+
+    fs, root = open_fs(uri)
     blocks = []
-    for k in range(0, len(todo), BLOCK_ITEMS):
-        part = todo[k : k + BLOCK_ITEMS]
-        vocab, v, u = randomised_svd(part, idf, spark)
+    for raw in pq.read_table(root, columns=["block", "made"], filesystem=fs, filters=[("block", "in", numbers)]).sort_by("block").column("made").to_pylist():
+        part, vocab, v, u = pickle.loads(raw)
         bits = np.zeros(1 << 16, bool)
         bits[(vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
         blocks.append((vocab, bits, v, u, part))
-    return [Index(blocks[k : k + PASS_BLOCKS], idf) for k in range(0, len(blocks), PASS_BLOCKS)]
+    return Index(blocks, idf)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` with array<long> column `__items`: the benchmark items found in each text, ascending."""
-    out = docs.withColumn("__items", F.array().cast("array<long>"))
-    for index in build(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        at, last = out.columns.index("text"), len(out.columns) - 1
+_workers: dict[str, Index] = {}
 
-        def run(batches, shared=shared, at=at, last=last):
-            tc.claim({})
+
+def contamination(docs: DataFrame, benchmark: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """`docs` with array<long> column `__items`, replaced if there is one: the benchmark items found in each text, ascending."""
+    ws = ws or Workspace(docs.sparkSession, "decontamination")
+    names = [c for c in docs.columns if c != "__items"]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.array().cast("array<long>").alias("items"))
+    place = names.index("text")
+    idf, passes = build(docs, benchmark, ws)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    for no, numbers in enumerate(passes):
+        if no:
+            out = ws.write(out, f"pass-{no}")
+
+        def run(batches, uri=ws.at("blocks"), numbers=numbers):
+            tc.claim(_workers)
+            tag = f"{uri}:{numbers[0]}"
             for b in batches:
-                items = b.column(last).to_pylist()
-                for i, _, data, off in tc.chunks(b.column(at)):
-                    for d, found in search_chunk(shared.value, data, off).items():
+                if tag not in _workers:
+                    _workers.clear()
+                    _workers[tag] = load_index(uri, numbers, shared.value)
+                items = b.column(1).to_pylist()
+                for i, _, data, off in tc.chunks(b.column(0).field(place)):
+                    for d, found in search_chunk(_workers[tag], data, off).items():
                         items[i + d] = sorted({*items[i + d], *found}, key=lambda x: (x is not None, x))
-                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(items, pa.list_(pa.int64()))], schema=b.schema)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(pa.int64()))], schema=b.schema)
 
         out = out.mapInArrow(run, out.schema)
-    return out
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("items").alias("__items"))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -333,4 +385,5 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark passage."""
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("__items") == 0).drop("__items")
+    got = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return got.where(F.size("__items") == 0).select(*docs.columns)

@@ -1,15 +1,17 @@
 """Licence scans (operator 9): a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines; a line of more than WINDOW words is read in overlapping windows, so
-whole texts are covered. A softmax regression over word 1- and 2-grams tells licence
-families from an unknown class. It is trained on the templates below, varied by seeded
-edits, against paragraphs of a bounded sample of the corpus (NEGATIVE_TEXTS texts, by
-hash) and licence-like sentences that name no licence. Its temperature and the least
-probability of a family are calibrated on variants left out. A prediction counts when a
-template of its family agrees: enough of the template's 2-grams are in the paragraph.
-
-Only paragraphs with a word that the templates have and the sampled corpus doesn't are
-scored; others are unknown by construction of the features.
+Paragraphs are lines, and runs of lines without an empty one between them; what has more
+than WINDOW words is read in overlapping windows, so whole texts are covered. A softmax
+regression over word 1- and 2-grams tells licence families from an unknown class. It is
+trained on the templates below, varied by seeded edits, against paragraphs of a bounded
+sample of the corpus (NEGATIVE_TEXTS texts, by hash, without those that a template
+confirms) and licence-like sentences that name no licence. Its temperature and the least
+probability of a family are calibrated on variants and corpus lines left out. A prediction
+counts when a template of its family agrees: enough of the template's 2-grams are in the
+paragraph.
+
+Windows without any template's 2-gram are left out before they are scored: none of them
+could be confirmed, so nothing is lost.
 
 Defined cases: null, empty and word-less texts have no licence; ties go to the first
 family by name; repeated rows are scanned each; an empty table gives no rows, and without
@@ -90,11 +92,11 @@ class Model:
         rng = np.random.default_rng(5)
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
         self.templates = {k: [words_of(t) for t in v] for k, v in TEMPLATES.items()}
+        self.pairs = {k: [set(zip(t, t[1:], strict=False)) for t in v] for k, v in self.templates.items()}
         negatives = negatives + [words_of(t) for t in NOT_LICENCES]
+        negatives = [n for n in negatives if not any(self.share(k, n) >= CONFIRM for k in self.templates)]
         filler = sorted({w for n in negatives for w in n[:20]}) or ["the"]
         self.vocab = {g: k for k, g in enumerate(sorted({g for v in self.templates.values() for t in v for g in _grams(t)}))}
-        plain = {w for n in negatives[: -len(NOT_LICENCES)] for w in n}
-        self.anchors = np.unique(tc.Words(*tc.column_bytes(pa.array([" ".join(sorted({w for v in self.templates.values() for t in v for w in t} - plain))], pa.string()))).hash)
         x, y = [], []
         for k, c in enumerate(self.classes[:-1]):
             for t in self.templates[c]:
@@ -115,6 +117,7 @@ class Model:
         self.temperature = min(np.geomspace(0.2, 5, 25), key=lambda t: -np.log(p(t)[np.arange(test.sum()), y[test]] + 1e-9).mean())
         q = p(self.temperature)
         wrong = np.sort(q[y[test] == len(self.classes) - 1, :-1].max(axis=1)) if (y[test] == len(self.classes) - 1).any() else np.array([0.5])
+        self.hashed_ = self.hashed()
         self.least = float(np.clip(wrong[min(len(wrong) - 1, int((1 - FALSE_RATE) * len(wrong)))], 0.3, 0.8))
 
     def row(self, words: list[str]) -> np.ndarray:
@@ -147,40 +150,95 @@ class Model:
             w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         return w
 
-    def classify(self, words: list[str]) -> tuple[str, float, bool]:
-        """(family or unknown, its probability, confirmed by a template)."""
-        p = self._softmax((self.row(words) @ self.weights)[None] / self.temperature)[0]
-        k = int(p[:-1].argmax())
-        if p[k] < self.least or p[k] < p[-1]:
-            return UNKNOWN, float(p[-1]), False
+    def share(self, family: str, words: list[str]) -> float:
+        """The largest share of a template's 2-grams that the words hold."""
         have = set(zip(words, words[1:], strict=False))
-        share = max(sum(b in have for b in zip(t, t[1:], strict=False)) / max(1, len(t) - 1) for t in self.templates[self.classes[k]])
-        return self.classes[k], float(p[k]), share >= CONFIRM
-
-
-def paragraphs(w: tc.Words, mark: np.ndarray):
-    """(text, first word, last word + 1) of the windows of lines in which a word is marked."""
-    line = np.cumsum(w.low == 10)[w.start]
-    new = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])]))
-    end = np.append(new[1:], len(line))
-    count = np.concatenate([[0], np.cumsum(mark)])
-    for a, b in zip(new[count[end] > count[new]].tolist(), end[count[end] > count[new]].tolist(), strict=True):
-        for s in range(a, max(b - WINDOW // 2, a + 1), WINDOW // 2):
-            e = min(s + WINDOW, b)
-            if count[e] > count[s]:
-                yield int(w.doc[a]), s, e
+        return max(len(t & have) / max(1, len(t)) for t in self.pairs[family])
+
+    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word hashes, their rows in the weights, 2-gram hashes, their rows), each sorted by hash."""
+        one = {g: k for g, k in self.vocab.items() if " " not in g}
+        h = word_hashes(list(one))
+        two = [(g.split(" "), k) for g, k in self.vocab.items() if " " in g]
+        b = pair_hash(word_hashes([x for (x, _), _ in two]), word_hashes([y for (_, y), _ in two]))
+        out = []
+        for keys, rows in ((h, list(one.values())), (b, [k for _, k in two])):
+            order = np.argsort(keys)
+            out += [keys[order], np.array(rows)[order]]
+        return tuple(out)
+
+    def classify(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(family or the unknown class, its probability) from rows of summed weights."""
+        p = self._softmax(x / self.temperature)
+        k = p[:, :-1].argmax(axis=1)
+        best = p[np.arange(len(p)), k]
+        unknown = (best < self.least) | (best < p[:, -1])
+        return np.where(unknown, len(self.classes) - 1, k), np.where(unknown, p[:, -1], best)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes that `textcore.Words` gives to these words."""
+    return tc.Words(*tc.column_bytes(pa.array(words, pa.string()))).hash
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return tc.mix(a * np.uint64(0x9FB21C651E98DF25) + b)
+
+
+def _rows(keys: np.ndarray, rows: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Row of each hash in sorted keys, or -1."""
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, rows[at], -1)
+
+
+def windows(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, last word + 1) of the windows of all lines, then of paragraphs of several lines."""
+    feed = np.append(0, np.cumsum(w.low == 10))
+    line = feed[w.start]
+    other = np.concatenate([[True], w.doc[1:] != w.doc[:-1]])
+    step = np.append(0, np.diff(line))
+    starts, ends = [], []
+    lines = np.flatnonzero(other | (step > 0))
+    for new in (lines, np.flatnonzero(other | (step > 1))):
+        end = np.append(new[1:], len(line))
+        if new is not lines:
+            many = np.searchsorted(lines, end) - np.searchsorted(lines, new) > 1
+            new, end = new[many], end[many]
+        n = np.maximum(-(-(end - new - WINDOW) // (WINDOW // 2)), 0) + 1
+        s = np.repeat(new, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW // 2)
+        starts.append(s)
+        ends.append(np.minimum(s + WINDOW, np.repeat(end, n)))
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def scan_chunk(model: Model, data: np.ndarray, off: np.ndarray) -> dict[int, list]:
+    """(family, probability) of the confirmed windows of each text."""
     w = tc.Words(data, off)
     found: dict[int, list] = {}
-    if not len(w.hash) or not len(model.anchors):
+    if not len(w.hash):
         return found
-    at = np.minimum(np.searchsorted(model.anchors, w.hash), len(model.anchors) - 1)
-    for doc, s, e in paragraphs(w, model.anchors[at] == w.hash):
-        family, p, ok = model.classify([w.text(k) for k in range(s, e)])
-        if ok:
-            found.setdefault(doc, []).append((family, p))
+    one, one_row, two, two_row = model.hashed_
+    start, end = windows(w)
+    pair = np.append(_rows(two, two_row, pair_hash(w.hash[:-1], w.hash[1:])), -1)
+    known = np.append(0, np.cumsum(pair >= 0))
+    some = np.flatnonzero(known[end - 1] > known[start])
+    single = _rows(one, one_row, w.hash)
+    for part in np.array_split(some, -(-len(some) // 4096)) if len(some) else ():
+        s, e = start[part], end[part]
+        n = e - s
+        which = np.repeat(np.arange(len(part)), n)
+        at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
+        rows = np.concatenate([single[at], np.where(at + 1 < e[which], pair[at], -1)])
+        key = (np.concatenate([which, which]) * len(model.weights) + rows)[rows >= 0]
+        key = np.unique(key)
+        which, rows = key // len(model.weights), key % len(model.weights)
+        size = np.bincount(which, minlength=len(part))
+        x = np.add.reduceat(model.weights[rows], np.cumsum(size) - size, axis=0) / np.sqrt(size)[:, None] + model.weights[-1]
+        family, p = model.classify(x)
+        for k in np.flatnonzero(family < len(model.classes) - 1).tolist():
+            name, doc = model.classes[family[k]], int(w.doc[s[k]])
+            if model.share(name, [w.text(i) for i in range(s[k], e[k])]) >= CONFIRM:
+                found.setdefault(doc, []).append((name, float(p[k])))
     return found
 
 
@@ -190,7 +248,7 @@ def train(docs: DataFrame) -> Model:
     negatives = []
     for r in sample:
         for line in r.text.split("\n"):
-            if len(negatives) < 4 * NEGATIVES and not any(x in line.lower() for x in ("licen", "copyright", "rights reserved", "public domain")):
+            if len(negatives) < 4 * NEGATIVES:
                 negatives.append(words_of(line)[:WINDOW])
     return Model([n for n in negatives if n])
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import Workspace
+
 SEED = 17
 MAX_EPOCHS = 2
 SHARE = 0.9  # budget as a share of the tokens at hand
@@ -82,20 +84,21 @@ def order_hash(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def leaf_cuts(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS, share: float = SHARE) -> DataFrame:
-    """One row a leaf: domain, lang, source, tokens, give, whole (epochs), cut_hash, cut_id."""
+def leaf_cuts(docs: DataFrame, ws: Workspace, seed: int = SEED, max_epochs: int = MAX_EPOCHS, share: float = SHARE) -> DataFrame:
+    """One row a leaf: domain, lang, source, tokens, give, whole (epochs), cut_hash."""
     slim = docs.select("doc_id", *[c.alias(k) for k, c in leaf_columns(docs).items()], estimated_tokens().alias("n"))
-    leaves = slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
+    leaves = ws.write(slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), "leaves")
     budget = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).alias("budget"))
     given = allocate(leaves, budget, max_epochs).select(*LEVELS, "tokens", "give")
     given = given.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("give") / F.col("tokens"))).otherwise(F.lit(max_epochs)).cast("long"))
-    given = given.withColumn("rest", F.col("give") - F.col("whole") * F.col("tokens"))
+    given = ws.write(given.withColumn("rest", F.col("give") - F.col("whole") * F.col("tokens")), "given")
     rows = slim.join(_small(given), list(LEVELS)).where("rest > 0").withColumn("h", order_hash(F.col("whole"), seed)).withColumn("bucket", F.substring("h", 1, 3))
     sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("in_bucket"), F.first("rest").alias("rest"))
     run = W.partitionBy(*LEVELS).orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("in_bucket").over(run.rowsBetween(W.unboundedPreceding, 0)))
     edge = sums.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("in_bucket") <= F.col("rest")))
     edge = edge.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("in_bucket")).alias("before")), "bucket").alias("e")).select(*LEVELS, "e.bucket", "e.before")
+    edge = ws.write(edge, "edge")
     inside = rows.join(_small(edge), [*LEVELS, "bucket"])
     near = W.partitionBy(*LEVELS).orderBy("h", F.col("doc_id").asc_nulls_first())
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(near))
@@ -105,30 +108,23 @@ def leaf_cuts(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS, s
 
 def _small(leaves: DataFrame) -> DataFrame:
     """A hint for tables of one row a leaf, taken only where their number is checked."""
-    return F.broadcast(leaves) if leaves.select("domain").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else leaves
-
-
-
-def mix(docs: DataFrame, ws=None, seed: int = SEED, max_epochs: int = MAX_EPOCHS, share: float = SHARE) -> DataFrame:
-    """`docs` with columns __domain, __lang, __source, __copies: how often each row is taken."""
-    cuts = leaf_cuts(docs, seed, max_epochs, share)
-    if ws is not None:
-        cuts = ws.write(cuts, "leaf-cuts")
-    own = docs.withColumns({f"__{k}": c for k, c in leaf_columns(docs).items()})
-    names = {k: f"__{k}" for k in LEVELS}
-    cuts = cuts.select(*[F.col(k).alias(v) for k, v in names.items()], "whole", "rest", "cut_hash").withColumnsRenamed({"whole": "__whole", "rest": "__rest", "cut_hash": "__cut"})
-    part = (F.col("__rest") > 0) & (F.col("__cut").isNull() | (order_hash(F.col("__whole"), seed) < F.col("__cut")))
-    out = own.join(_small_named(cuts), list(names.values()))
-    return out.withColumn("__copies", (F.col("__whole") + F.when(part, 1).otherwise(0)).cast("long")).drop("__whole", "__rest", "__cut")
+    return F.broadcast(leaves) if leaves.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else leaves
 
 
-def _small_named(leaves: DataFrame) -> DataFrame:
-    return F.broadcast(leaves) if leaves.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else leaves
+def mix(docs: DataFrame, ws: Workspace | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS, share: float = SHARE) -> DataFrame:
+    """`docs` with columns __domain, __lang, __source, __copies, replaced if there are such: how often each row is taken."""
+    ws = ws or Workspace(docs.sparkSession, "mixing")
+    cuts = ws.write(leaf_cuts(docs, ws, seed, max_epochs, share), "leaf-cuts")
+    added = {f"__{k}": c for k, c in leaf_columns(docs).items()}
+    names = [c for c in docs.columns if c not in (*added, "__copies")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), *[c.alias(k) for k, c in leaf_columns(docs).items()])
+    cuts = cuts.select(*LEVELS, "whole", "rest", "cut_hash")
+    part = (F.col("rest") > 0) & (F.col("cut_hash").isNull() | (order_hash(F.col("whole"), seed) < F.col("cut_hash")))
+    out = own.join(_small(cuts), list(LEVELS)).withColumn("copies", (F.col("whole") + F.when(part, 1).otherwise(0)).cast("long"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[F.col(k).alias(f"__{k}") for k in LEVELS], F.col("copies").alias("__copies"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    from .store import Workspace
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = mix(docs, Workspace(spark, "mixing"))
     return got.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", estimated_tokens().alias("n_tokens"), F.col("__copies").alias("copies"))
@@ -136,8 +132,6 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its leaf takes it; the columns of documents are returned."""
-    from .store import Workspace
-
     got = mix(docs, Workspace(spark, "pipeline-mixing")).where("__copies > 0")
     return got.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 

@@ -4,9 +4,11 @@ A pre-token is a run of spaces with what follows up to the next space, or what
 follows a line feed. The library's model has no piece in which a space mark
 follows another character, and none with a line feed (both are checked when the
 model is loaded), so merges never cross such a boundary and the count of a text
-is the sum over its pre-tokens. Tier one is a broadcast table of frequent
-pre-token lengths (at most FREQUENT entries, 12 bytes each); tier two is a bounded
-cache in every Python worker, filled by the library. There is no shuffle.
+is the sum over its pre-tokens. Tier one is a broadcast hash table of frequent
+pre-token lengths (at most FREQUENT entries), which no worker writes to; tier two is a
+bounded cache in every Python worker, filled by the library. No pre-token is shuffled:
+for tier one every task of one pass counts the pre-tokens at its start (LOOK bytes) and
+sends its LOCAL most frequent, with their lengths. That table changes speed only.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
 a null doc_id stays null. Other columns are ignored.
@@ -14,6 +16,8 @@ a null doc_id stays null. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,7 @@ from . import textcore as tc
 from .store import small_batches
 
 FREQUENT = 1 << 16
-SEED_TEXTS = 1000  # texts from which the broadcast table is filled; it changes speed only
+LOOK, LOCAL = 1 << 17, 1 << 10
 OVER = 4096
 _FIRST = np.uint64(0xA5A5F00D12345677)
 _workers: dict[str, tuple] = {}
@@ -89,77 +93,85 @@ def _units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def count_chunk(sp, memo: tc.Memo, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def count_chunk(sp, tiers: tuple[tc.Memo, tc.Memo], data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     if len(data) == 0:
         return np.zeros(n, np.int64)
     start, end, h, first = pre_tokens(data, off)
-    val, miss = memo.get(h)
+    val, miss = tiers[0].get(h)
     if miss.any():
-        at = np.flatnonzero(miss)
-        u, rep, inv = np.unique(h[at], return_index=True, return_inverse=True)
-        rep = at[rep]
-        got = encode_lengths(sp, _units(data, start[rep], end[rep]), first[rep])
-        memo.put(u, got)
-        val[at] = got[inv]
+        rest = np.flatnonzero(miss)
+        val[rest], miss = tiers[1].get(h[rest])
+        at = rest[miss]
+        if len(at):
+            u, rep, inv = np.unique(h[at], return_index=True, return_inverse=True)
+            rep = at[rep]
+            got = encode_lengths(sp, _units(data, start[rep], end[rep]), first[rep])
+            tiers[1].put(u, got)
+            val[at] = got[inv]
     total = np.concatenate([[0], np.cumsum(val)])
     edge = np.searchsorted(start, off)
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def frequent_table(texts: list[str], model: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of the most frequent pre-tokens of some texts."""
-    sp = load(model)
-    hs, cs, ls = [], [], []
-    for _, _, data, off in tc.chunks(pa.array(texts, pa.string())):
-        if len(data) == 0:
-            continue
-        start, end, h, first = pre_tokens(data, off)
-        u, rep, c = np.unique(h, return_index=True, return_counts=True)
-        keep = c > 1
-        rep = rep[keep]
-        hs.append(u[keep])
-        cs.append(c[keep])
-        ls.append(encode_lengths(sp, _units(data, start[rep], end[rep]), first[rep]))
-    if not hs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    h, c, n = map(np.concatenate, (hs, cs, ls))
-    u, rep, inv = np.unique(h, return_index=True, return_inverse=True)
-    total = np.bincount(inv, c)
-    top = np.argsort(-total, kind="stable")[:FREQUENT]
-    return u[top], n[rep][top].astype(np.int32)
-
-
-def count_tokens(docs: DataFrame, text: str = "text", model: str | None = None, out: str = "n_tokens") -> DataFrame:
-    """`docs` with the token count of a text column as long column `out`; null texts count 0."""
+def frequent_lengths(texts: DataFrame, model: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of at most FREQUENT frequent pre-tokens of texts (one column)."""
+
+    def run(batches):
+        sp, parts, have = load(model), [], 0
+        for b in batches:
+            for _, _, data, off in tc.chunks(b.column(0), LOOK):
+                if len(data):
+                    start, end, h, first = pre_tokens(data, off)
+                    u, rep, c = np.unique(h, return_index=True, return_counts=True)
+                    top = np.argsort(-c, kind="stable")[:LOCAL]
+                    top = top[c[top] > 1]
+                    n = encode_lengths(sp, _units(data, start[rep[top]], end[rep[top]]), first[rep[top]]) if len(top) else np.zeros(0, np.int64)
+                    parts.append((u[top].view(np.int64), c[top], n))
+                    have += len(data)
+                if have >= LOOK // 2:
+                    break
+            if have >= LOOK // 2:
+                break
+        if parts:
+            h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h), "c": pa.array(c.astype(np.int64)), "n": pa.array(n)})
+
+    found = texts.mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    rows = found.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+
+
+def count_tokens(docs: DataFrame, text: str = "text", model: str | None = None, out: str = "n_tokens", keep_text: bool = True) -> DataFrame:
+    """`docs` with the token count of a text column as long column `out`, replaced if there is one; null texts count 0. Without keep_text the text goes."""
     spark = docs.sparkSession
     small_batches(spark)
     model = model or default_model()
-    seed = [r[0] for r in docs.select(F.col(text)).where(F.col(text).isNotNull()).limit(SEED_TEXTS).collect()]
-    table = spark.sparkContext.broadcast(frequent_table(seed, model))
+    table = spark.sparkContext.broadcast(frequent_lengths(docs.select(F.col(f"`{text}`").alias("text")).where("text is not null"), model))
+    tag = uuid.uuid4().hex
 
     def run(batches):
         tc.claim(_workers)
-        if model not in _workers:
-            memo = tc.Memo()
-            memo.put(*(x.astype(t) for x, t in zip(table.value, (np.uint64, np.int64), strict=True)))
-            _workers[model] = load(model), memo
-        sp, memo = _workers[model]
+        if tag not in _workers:
+            _workers.clear()
+            often = tc.Memo(18)
+            often.put(*table.value)
+            _workers[tag] = load(model), (often, tc.Memo())
+        sp, tiers = _workers[tag]
         for b in batches:
             got = np.zeros(b.num_rows, np.int64)
-            for i, j, data, off in tc.chunks(b.column(b.schema.get_field_index("__text"))):
-                got[i:j] = count_chunk(sp, memo, data, off)
-            keep = [k for k, name in enumerate(b.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(got)], names=[b.schema.names[k] for k in keep] + [out])
+            for i, j, data, off in tc.chunks(b.column(1)):
+                got[i:j] = count_chunk(sp, tiers, data, off)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["row", "n"])
 
-    rest = [c for c in docs.columns if c != out]
-    src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("__text"))
-    schema = src.drop("__text").schema.add(out, "long")
-    return src.mapInArrow(run, schema)
+    rest = [c for c in docs.columns if c != out and (keep_text or c != text)]
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{text}`").alias("text"))
+    got = src.mapInArrow(run, src.select("row").schema.add("n", "long"))
+    return got.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], F.col("n").alias(out))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     slim = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    got = count_tokens(slim)
+    got = count_tokens(slim, keep_text=False)
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER).alias("over_limit"))

@@ -11,8 +11,9 @@ cut at white space, and between a letter and plain punctuation, where neither th
 normaliser nor the pre-tokeniser nor a merge can cross. Pieces outside that rule
 (apostrophes, digits, brackets of special tokens, other scripts) stay whole.
 
-Null and empty texts have only the end id; null doc_ids sort first; repeated rows
-are written each; other columns are ignored. An empty table gives no files' rows.
+Null and empty texts have only the end id; null doc_ids sort first; rows of one doc_id
+are in the order of their texts, nulls first, so a retry writes the same files; repeated
+rows are written each; other columns are ignored. An empty table gives no files' rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .store import Workspace, open_fs
 
 END_ID = 1
 ROW_GROUP_DOCS = 1024
+ROW_GROUP_TOKENS = 1 << 22  # a row group ends there, too
+FILE_BYTES = 1 << 27  # of text in a file
 ARENA = 1 << 23  # cached ids of a worker; a full arena is emptied
 _workers: dict[str, Encoder] = {}
 
@@ -175,8 +178,9 @@ def write_tokens(docs: DataFrame, uri: str, text: str = "text", doc_id: str = "d
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    src = src.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    n_bytes = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
+    src = src.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         import pyarrow.parquet as pq
@@ -209,7 +213,7 @@ def write_tokens(docs: DataFrame, uri: str, text: str = "text", doc_id: str = "d
                 held.append(pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(start), pa.array(per), pa.array(np.full(j - i, no, np.int32)), lists.cast(FILE_SCHEMA.field("tokens").type)], schema=FILE_SCHEMA))
                 n_docs += j - i
                 n_tokens += len(ids)
-                if sum(x.num_rows for x in held) >= row_group_docs:
+                if sum(x.num_rows for x in held) >= row_group_docs or sum(len(x.column(4).values) for x in held) >= ROW_GROUP_TOKENS:
                     flush()
         flush()
         if writer is not None:

@@ -1,10 +1,12 @@
 """Toxicity (operator 8): a weighted finite-state grammar over clauses.
 
 Words are mapped to roles: insult (with a weight), threat, target, negation, report.
-Five small transducers read a clause's roles: insult emits, target strengthens an
-insult near a target and fires a threat that meets one, negation and reported speech
-weaken. They are composed (product of states, weights multiplied) into one table, and
-the sum over a clause is its score; isolated words have no score outside a clause.
+Five small transducers read a clause's roles: insult emits once the insult stands with
+other words, at once inside a clause and with the next word at its start; target
+strengthens an insult near a target; threat fires when it meets a target; negation and
+reported speech weaken. They are composed (product of states, weights multiplied) into
+one table, and the sum over a clause is its score. A word that is a clause by itself
+scores nothing, whatever it is.
 
 The insult lexicon is a seed list plus stems learned from labelled rows: prefixes of
 words that occur in toxic texts and hardly in others, chosen by a greedy cover of the
@@ -19,6 +21,7 @@ doc_id is never held out and never learned from. Texts of any length are scored
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -31,7 +34,6 @@ from . import textcore as tc
 from .store import Workspace
 
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 6000
-MAX_STEMS = 3000  # candidates looked at by the cover
 THRESHOLD = 0.3
 PREFIXES = range(3, 10)
 LEAST_ODDS = 1.8  # log of how much more often a stem is in toxic texts
@@ -48,32 +50,40 @@ O, I, T, G, N, R = range(6)  # noqa: E741  other, insult, threat, target, negati
 
 
 class Machine:
-    """A weighted transducer over roles: step(state, role) gives (state, factor of an insult, emission)."""
+    """A weighted transducer over roles: step(state, role) gives (state, factor of an insult, emission, release).
+
+    release is the factor at which an insult that was held back, at the clause's start, is emitted now.
+    """
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
 
+def _insult(s, role):
+    """States: 0 at the start, 1 after an insult there, 2 inside the clause."""
+    return (1 if role == I and not s else 2), (1.0 if s else 0.0), 0.0, (1.0 if s == 1 else 0.0)
+
+
 def _negation(s, role):
     weak = 0.4 if role == I and s else 1.0
-    return (2 if role == N else max(0, s - 1)), weak, 0.0
+    return (2 if role == N else max(0, s - 1)), weak, 0.0, 1.0
 
 
 def _report(s, role):
-    return (1 if role == R else s), (0.5 if role == I and s else 1.0), 0.0
+    return (1 if role == R else s), (0.5 if role == I and s else 1.0), 0.0, 1.0
 
 
 def _target(s, role):
-    return (3 if role == G else max(0, s - 1)), (1.5 if role == I and s else 1.0), 0.0
+    return (3 if role == G else max(0, s - 1)), (1.5 if role == I and s else 1.0), 0.0, (1.5 if role == G else 1.0)
 
 
 def _threat(s, role):
     fires = 1.5 if role == G and s else 0.0
-    return (3 if role == T else 0 if fires else max(0, s - 1)), 1.0, fires
+    return (3 if role == T else 0 if fires else max(0, s - 1)), 1.0, fires, 1.0
 
 
 def compose(*machines: Machine):
-    """Product of machines as tables next, factor, emission by [state, role]; state 0 is the start."""
+    """Product of machines as tables next, factor, emission, release by [state, role]; state 0 is the start."""
     index = {tuple(m.start for m in machines): 0}
     todo, rows = [next(iter(index))], []
     while todo:
@@ -85,21 +95,27 @@ def compose(*machines: Machine):
             if to not in index:
                 index[to] = len(index)
                 todo.append(to)
-            row.append((index[to], math.prod(g[1] for g in got), sum(g[2] for g in got)))
+            row.append((index[to], math.prod(g[1] for g in got), sum(g[2] for g in got), math.prod(g[3] for g in got)))
         rows.append(row)
     t = np.array(rows)
-    return t[:, :, 0].astype(int).tolist(), t[:, :, 1].tolist(), t[:, :, 2].tolist()
+    return t[:, :, 0].astype(int).tolist(), t[:, :, 1].tolist(), t[:, :, 2].tolist(), t[:, :, 3].tolist()
 
 
-NEXT, FACTOR, EMIT = compose(Machine(0, _negation), Machine(0, _report), Machine(0, _target), Machine(0, _threat))
+NEXT, FACTOR, EMIT, RELEASE = compose(Machine(0, _insult), Machine(0, _negation), Machine(0, _report), Machine(0, _target), Machine(0, _threat))
 
 
-def clause_score(roles: list[int], gaps: list[int], weights: list[float]) -> float:
-    """Score of a clause's words that have a role; gaps are the other words before each."""
-    state, total = 0, 0.0
-    for role, gap, w in zip(roles, gaps, weights, strict=True):
+def clause_score(roles: list[int], gaps: list[int], weights: list[float], tail: int = 0) -> float:
+    """Score of a clause's words that have a role; gaps are the other words before each, tail those after the last."""
+    state, total, held = 0, 0.0, 0.0
+    for role, gap, w in zip([*roles, O], [*gaps, tail], [*weights, 0.0], strict=True):
         for _ in range(min(gap, 4)):
+            total += RELEASE[state][O] * held
+            held = 0.0
             state = NEXT[state][O]
+        if role == O:
+            break
+        total += RELEASE[state][role] * held
+        held = w if role == I and state == 0 else 0.0
         total += FACTOR[state][I] * w if role == I else EMIT[state][role]
         state = NEXT[state][role]
     return total
@@ -145,15 +161,18 @@ def clause_features(lex: Lexicon, data: np.ndarray, off: np.ndarray) -> np.ndarr
         return out
     at = np.flatnonzero(role)
     at = at[np.isin(w.doc[at], hot)]
-    clause = np.cumsum(np.isin(w.low, _BREAKS))[w.start[at]]
-    doc = w.doc[at]
+    every = np.cumsum(np.isin(w.low, _BREAKS))[w.start]
+    begin = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (w.doc[1:] != w.doc[:-1])]))
+    own = np.searchsorted(begin, at, "right") - 1  # the clause of each word that has a role
+    clause, doc = own, w.doc[at]
+    stop = np.append(begin[1:], len(every))[own]
     cut = np.flatnonzero(np.concatenate([[True], (clause[1:] != clause[:-1]) | (doc[1:] != doc[:-1])]))
     first = np.zeros(len(at), bool)
     first[cut] = True
-    gap = np.where(first, 4, np.diff(at, prepend=at[:1]) - 1)
-    r, g, x = role[at].tolist(), gap.tolist(), weight[at].tolist()
+    gap = np.where(first, at - begin[own], np.diff(at, prepend=at[:1]) - 1)
+    r, g, x, left = role[at].tolist(), gap.tolist(), weight[at].tolist(), (stop - at - 1).tolist()
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
-        s = clause_score(r[a:b], g[a:b], x[a:b])
+        s = clause_score(r[a:b], g[a:b], x[a:b], left[b - 1])
         if s > 0:
             row = out[doc[a]]
             row[0] += s
@@ -212,7 +231,7 @@ def learn_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
         yield pa.RecordBatch.from_pydict({"f": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
     tox = sample.where("toxic = 1").select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    a = {r.f: r.n for r in tox.orderBy(F.desc("n"), "f").limit(40 * MAX_STEMS).collect()}
+    a = {r.f: r.n for r in tox.orderBy(F.desc("n"), "f").toLocalIterator()}  # of TOXIC_SAMPLE texts at most
     names = sample.sparkSession.sparkContext.broadcast(list(a))
 
     def match(batches):
@@ -254,21 +273,27 @@ def learn_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
         if good[k] and f.endswith("$") and (p := where.get(f[:-1])) is not None and good[p] and b[k] >= b[p]:
             good[k] = False
     keep = np.flatnonzero(good)
-    keep = set(keep[np.argsort(-n[keep], kind="stable")][:MAX_STEMS].tolist())
-    members: dict[int, set[int]] = {k: set() for k in keep}
+    members: dict[int, set[int]] = {k: set() for k in keep.tolist()}
     for d, s in enumerate(sets):
         for k in s:
-            if k in keep:
+            if k in members:
                 members[k].add(d)
     left = np.full(len(sets), COVER)
     out: dict[str, float] = {}
-    while members:
-        gain = {k: sum(left[d] > 0 for d in m) for k, m in members.items()}
-        best = max(gain, key=lambda k: (gain[k], odds[k], names_[k]))
-        if gain[best] < least:
-            break
-        out[names_[best]] = float(min(odds[best], 6.0) / 2)
-        for d in members.pop(best):
+    # gains only fall, so a candidate whose gain is still the highest after a new count is the best
+    heap = [(-len(m), -odds[k], names_[k], k) for k, m in members.items()]
+    heapq.heapify(heap)
+    while heap:
+        _, _, name, k = heapq.heappop(heap)
+        gain = sum(left[d] > 0 for d in members[k])
+        if gain < least:
+            continue
+        entry = (-gain, -odds[k], name, k)
+        if heap and entry > heap[0]:
+            heapq.heappush(heap, entry)
+            continue
+        out[name] = float(min(odds[k], 6.0) / 2)
+        for d in members[k]:
             left[d] -= 1
     return out
 

@@ -10,17 +10,56 @@ from switchback.llm.store import Workspace
 from .conftest import AWKWARD, prose
 
 
-def test_kneser_ney_sums_to_one():
-    m = language_id.Model(["the cat sat on the mat", "that hat", "a cat at the hat"] * 3)
-    alphabet = sorted(set("the cat sat on the mat that hat a cat at the hat"))
-    total = 0.0
-    for c in alphabet:
-        sym, off = language_id.letters(*tc.column_bytes(pa.array(["the h" + ("" if c == " " else c) + ("a" if c == " " else "")])))
-        if c == " ":
-            continue
-        end, _, h = language_id.gram_hashes(sym, off)
-        total += float(np.exp(m.log_prob(h, end[-1:], len(alphabet)))[0])
-    assert 0.7 < total <= 1.0001
+def model_of(spark, texts):
+    rows = spark.createDataFrame([("xx", t) for t in texts], "lang string, text string")
+    return language_id.models(language_id.gram_counts(rows))["xx"]
+
+
+KN_TEXTS = ["the cat sat on the mat", "that hat", "a cat at the hat", "the cattle"] * 3
+
+
+def brute_kneser_ney(texts, context, symbol, alphabet, order=language_id.ORDER, discount=language_id.DISCOUNT):
+    """Interpolated Kneser-Ney by its definition, on strings."""
+    grams = [set() for _ in range(order + 1)]
+    count = {}
+    for t in texts:
+        x = " " * (order - 1) + t
+        for k in range(order - 1, len(x)):
+            g = x[k - order + 1 : k + 1]
+            count[g] = count.get(g, 0) + 1
+    counts = {order: count}
+    for m in range(order - 1, 0, -1):
+        counts[m] = {}
+        for g in counts[m + 1]:
+            counts[m][g[1:]] = counts[m].get(g[1:], 0) + 1
+    p = 1 / alphabet
+    for m in range(1, order + 1):
+        ctx = context[len(context) - m + 1 :] if m > 1 else ""
+        own = {g: c for g, c in counts[m].items() if g[:-1] == ctx}
+        if own:
+            total = sum(own.values())
+            p = max(own.get(ctx + symbol, 0) - discount, 0) / total + discount * len(own) / total * p
+    return p
+
+
+def test_kneser_ney_equals_its_definition_and_sums_to_one(spark):
+    m = model_of(spark, KN_TEXTS)
+    alphabet = sorted(set("".join(KN_TEXTS)))
+    for context in ("    ", "   t", " the", "at t", "zqxj"):
+        total = 0.0
+        for c in alphabet:
+            h = tc.prefix_hash(np.array([ord(x) for x in context + c], np.uint32))
+            p = float(np.exp(m.log_prob(h, np.array([len(context) + 1]), len(alphabet)))[0])
+            assert abs(p - brute_kneser_ney(KN_TEXTS, context, c, len(alphabet))) < 1e-6
+            total += p
+        assert abs(total - 1) < 1e-5
+
+
+def test_counts_of_a_model_cover_all_texts(spark):
+    """Counts grow with the labelled rows, whatever their number."""
+    rows = lambda n: spark.createDataFrame([("xx", f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}") for k in range(n)], "lang string, text string")
+    few, many = (language_id.gram_counts(rows(n)).agg({"n": "sum"}).first()[0] for n in (100, 5000))
+    assert few == 300 and many == 15_000
 
 
 def test_languages(spark, make_docs, folder):
@@ -50,22 +89,25 @@ def test_grammar_weighs_clauses():
     assert score("you are an idiot")[0] > plain
     assert score("not an idiot")[0] < plain and score("she said idiot")[0] < score("she is an idiot")[0]
     assert score("I will kill you")[0] > 0 and score("I will kill the lights")[0] == 0
-    assert score("idiot. idiot")[2] == 2 and score("idiotic")[0] == 0
-    assert score("zorblatt", {"zor": 3.0})[0] == 3.0 and score("")[0] == 0
+    assert score("idiot. Idiot!")[0] == 0 and score("an idiot. what an idiot")[2] == 2 and score("idiotic")[0] == 0
+    assert score("idiot that is")[0] == plain and score("idiot, you")[0] == 1.5 * plain
+    assert score("a zorblatt", {"zor": 3.0})[0] == 3.0 and score("zorblatt", {"zor": 3.0})[0] == 0 and score("")[0] == 0
 
 
 def test_composition_is_the_product():
     """The composed table agrees with running the machines side by side."""
-    machines = [toxicity.Machine(0, s) for s in (toxicity._negation, toxicity._report, toxicity._target, toxicity._threat)]
+    machines = [toxicity.Machine(0, s) for s in (toxicity._insult, toxicity._negation, toxicity._report, toxicity._target, toxicity._threat)]
     rng = random.Random(1)
-    for _ in range(200):
-        roles = [rng.randrange(6) for _ in range(rng.randrange(1, 12))]
-        states, want = [0] * 4, 0.0
-        for r in roles:
+    for _ in range(300):
+        roles, tail = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 12))], rng.randrange(3)
+        states, want, held = [0] * 5, 0.0, 0.0
+        for r in roles + [toxicity.O] * tail:
             got = [m.step(s, r) for m, s in zip(machines, states)]
+            want += np.prod([g[3] for g in got]) * held
+            held = 2.0 if r == toxicity.I and states[0] == 0 else 0.0
             want += np.prod([g[1] for g in got]) * 2.0 if r == toxicity.I else sum(g[2] for g in got)
             states = [g[0] for g in got]
-        assert abs(toxicity.clause_score(roles, [0] * len(roles), [2.0] * len(roles)) - want) < 1e-9
+        assert abs(toxicity.clause_score(roles, [0] * len(roles), [2.0] * len(roles), tail) - want) < 1e-9
 
 
 def test_toxicity_learns_stems(spark, make_docs, folder):

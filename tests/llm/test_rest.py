@@ -66,7 +66,9 @@ def test_decontamination_finds_all_that_the_check_accepts(spark, make_docs):
         docs.append(prose(rng, 90) + " " + " ".join(w) + " " + prose(rng, 90))
     docs.append(prose(rng, 95) + " " + items[20][1] + " " + prose(rng, 90))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    index = decontam.build(make_docs([(i, t, "en", "s") for i, t in enumerate(clean + docs)]), bench)[0]
+    ws = Workspace(spark, "test")
+    idf, passes = decontam.build(make_docs([(i, t, "en", "s") for i, t in enumerate(clean + docs)]), bench, ws)
+    index = decontam.load_index(ws.at("blocks"), passes[0], idf)
     got = decontam.search_chunk(index, *tc.column_bytes(pa.array(docs)))
     found = {p.item: p for b in index.blocks for p in b[-1]}
     accepts = {d for d, t in enumerate(docs) if decontam.confirm(found[items[d][0]], tc.Words(*tc.column_bytes(pa.array([t]))).hash[80:125].tolist())}
@@ -80,11 +82,47 @@ def test_decontamination_of_awkward_rows(spark, make_docs):
     assert decontam.contamination(make_docs([]), bench).count() == 0
 
 
+def test_search_finds_every_window_above_the_limit(monkeypatch):
+    """All (text, item) with a window whose true cosine passes, against brute force over all windows; words repeat."""
+    rng = random.Random(12)
+    few = [prose(rng, 1) for _ in range(60)]
+    items = [(k, " ".join(rng.choice(few) for _ in range(rng.randrange(8, 50)))) for k in range(30)]
+    docs = [" ".join(rng.choice(few + [prose(rng, 1) for _ in range(40)]) for _ in range(rng.randrange(5, 150))) for _ in range(40)]
+    idf = np.random.default_rng(2).uniform(0.5, 4, decontam.FEATURES)
+    block = decontam.passages(items, idf, 0.0)
+    made = decontam.randomised_svd(block, idf)
+    bits = np.zeros(1 << 16, bool)
+    bits[(made[0] & np.uint64(0xFFFF)).astype(int)] = True
+    index = decontam.Index([(made[0], bits, *made[1:], block)], idf)
+    monkeypatch.setattr(decontam, "confirm", lambda p, words: True)
+    data, off = tc.column_bytes(pa.array(docs))
+    got = {(d, i) for d, x in decontam.search_chunk(index, data, off).items() for i in x}
+    w = tc.Words(data, off)
+
+    def vector(h):
+        v = Counter()
+        for x in h.tolist():
+            v[x] += float(np.float32(idf[x & int(decontam._M)]))
+        return v
+
+    want, near = set(), set()
+    for d, s, e in zip(*decontam.windows(w.first), strict=True):
+        x = vector(w.hash[s:e])
+        for p in block:
+            y = vector(p.words)
+            cos = sum(x[k] * y[k] for k in x.keys() & y.keys()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            if cos >= decontam.COSINE + 1e-4:
+                want.add((int(d), p.item))
+            if cos >= decontam.COSINE - 1e-4:
+                near.add((int(d), p.item))
+    assert want <= got <= near and len(want) > 100
+
+
 def test_svd_keeps_the_passages(spark):
     idf = np.ones(decontam.FEATURES)
     items = [(k, prose(random.Random(k), 40)) for k in range(12)]
     block = decontam.passages(items, idf, 0.5)
-    vocab, v, u = decontam.randomised_svd(block, idf, spark)
+    vocab, v, u = decontam.randomised_svd(block, idf)
     a = np.zeros((len(block), len(vocab)))
     for k, p in enumerate(block):
         np.add.at(a[k], np.searchsorted(vocab, p.words), 1)

@@ -40,9 +40,11 @@ def test_a_full_arena_changes_nothing():
 def test_counts_equal_the_library():
     sp = token_counts.load(token_counts.default_model())
     texts = EDGE + noise(" \na▁b1.é")
-    memo = tc.Memo(10)  # small: entries are evicted
+    tiers = tc.Memo(10), tc.Memo(10)  # small: entries are evicted
+    start, end, h, first = token_counts.pre_tokens(*tc.column_bytes(pa.array(texts[::2])))
+    tiers[0].put(h, token_counts.encode_lengths(sp, token_counts._units(tc.column_bytes(pa.array(texts[::2]))[0], start, end), first))
     for _ in range(2):
-        got = token_counts.count_chunk(sp, memo, *tc.column_bytes(pa.array(texts)))
+        got = token_counts.count_chunk(sp, tiers, *tc.column_bytes(pa.array(texts)))
         assert got.tolist() == [len(x) for x in sp.encode(texts)]
 
 
@@ -76,3 +78,29 @@ def test_count_query(spark, make_docs, folder):
     sp = token_counts.load(token_counts.default_model())
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == sorted((len((a[1] or "").encode()), (n := len(sp.encode(a[1] or ""))), n > 4096) for a in AWKWARD)
     folder.write("../empty/documents", make_docs([]))
+
+
+def thue_morse(n=4096):
+    a = "a"
+    while len(a) < n:
+        a += a.translate({97: 98, 98: 97})
+    return [a, a.translate({97: 98, 98: 97})]
+
+
+def test_long_unlike_pieces_are_not_mixed_up():
+    texts = thue_morse() * 2
+    sp, enc = token_counts.load(token_counts.default_model()), token_output.Encoder(token_output.default_tokenizer())
+    data, off = tc.column_bytes(pa.array(texts))
+    assert token_counts.count_chunk(sp, (tc.Memo(10), tc.Memo(10)), data, off).tolist() == [len(x) for x in sp.encode(texts)]
+    ids, per = enc.encode(data, off)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == [enc.tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_frequent_table_has_the_library_s_lengths(spark):
+    texts = ["the cat and the dog and the bird"] * 50
+    h, n = token_counts.frequent_lengths(spark.createDataFrame([(t,) for t in texts], "text string"), token_counts.default_model())
+    sp, memo = token_counts.load(token_counts.default_model()), tc.Memo(12)
+    memo.put(h, n)
+    data, off = tc.column_bytes(pa.array(texts[:1]))
+    val, miss = memo.get(token_counts.pre_tokens(data, off)[2])
+    assert not miss.any() and val.sum() == len(sp.encode(texts[0]))
