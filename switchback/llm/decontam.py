@@ -307,30 +307,31 @@ def build(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> tuple[np.ndar
 
         idf, no = shared.value, TaskContext.get().partitionId() << 16
         todo: list[Passage] = []
-        for last, b in _with_last(batches):
-            todo += passages(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), idf, least)
-            while len(todo) >= BLOCK_ITEMS or (last and todo):
+
+        def made(least):
+            nonlocal todo, no
+            while len(todo) > least:
                 part, todo = todo[:BLOCK_ITEMS], todo[BLOCK_ITEMS:]
                 yield pa.RecordBatch.from_pydict({"block": pa.array([no], pa.int64()), "made": pa.array([pickle.dumps((part, *randomised_svd(part, idf)))], pa.binary())})
                 no += 1
 
-    dealt = items.repartition(-(-n_items // BLOCK_ITEMS), F.xxhash64("item_id", "text")).sortWithinPartitions("item_id", "text")
+        of = None
+        for b in batches:
+            for g, item, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != of:
+                    yield from made(0)
+                of = g
+                todo += passages([(item, text)], idf, least)
+            yield from made(BLOCK_ITEMS - 1)
+        yield from made(0)
+
+    groups = -(-n_items // BLOCK_ITEMS)
+    dealt = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).alias("g"), "item_id", "text").repartition(groups, "g").sortWithinPartitions("g", "item_id", "text")
     blocks = ws.write(dealt.mapInArrow(run, "block long, made binary"), "blocks")
     numbers = [r.block for r in blocks.select("block").orderBy("block").toLocalIterator()]  # one a BLOCK_ITEMS passages
     return idf, [numbers[k : k + PASS_BLOCKS] for k in range(0, len(numbers), PASS_BLOCKS)]
 
 
-def _with_last(batches):
-    """(whether it is the last, batch) of the batches."""
-    held = None
-    for b in batches:
-        if held is not None:
-            yield False, held
-        held = b
-    if held is not None:
-        yield True, held
-
-
 def load_index(uri: str, numbers: list[int], idf: np.ndarray) -> Index:
     """An index from the table of blocks in the shared folder, for use inside a task."""
     import pyarrow.parquet as pq
@@ -359,6 +360,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ws: Workspace | None =
     for no, numbers in enumerate(passes):
         if no:
             out = ws.write(out, f"pass-{no}")
+            ws.drop(f"pass-{no - 1}")
 
         def run(batches, uri=ws.at("blocks"), numbers=numbers):
             tc.claim(_workers)

@@ -159,7 +159,7 @@ def lines(texts: DataFrame) -> DataFrame:
 
 
 def jaccard(col):
-    """compare function of `linking.find_links`."""
+    """compare function of `linking.find_classes`."""
     keys = []
     for i, _, data, off in tc.chunks(col):
         line, h = line_shingles(data, off[:-1], off[1:])
@@ -182,8 +182,7 @@ def removed_lines(texts: DataFrame, ws: Workspace) -> DataFrame:
     """(doc, lines): the numbers of the lines to remove of each text (doc, doc_id, text)."""
     seen = ws.write(lines(texts), "lines")
     sigs = seen.where("sig is not null").select("key", "size", "sig", "text")
-    links = linking.find_links(ws, sigs, band_keys, NEED, SAMPLES, np.uint16, jaccard)
-    roots = ws.write(linking.components(ws, links), "roots")
+    roots = linking.find_classes(ws, sigs, band_keys, NEED, SAMPLES, np.uint16, jaccard)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "line")
     first = seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(roots, "key", "left").where("n > 1 or root is not null")
     first = ws.write(first.select("key", "first", F.coalesce("root", "key").alias("root")), "firsts")

@@ -419,8 +419,8 @@ def _settle(ws: Workspace, rows: DataFrame, items: DataFrame, run: Callable, sch
     return ws.write(full.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(run, schema), name)
 
 
-def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, compare: Callable) -> DataFrame:
-    """Verified links (key, other) that span the components of the texts behind `sigs` (SIGNED).
+def find_classes(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, compare: Callable) -> DataFrame:
+    """(key, root) of the texts behind `sigs` (SIGNED) that a verified link joins to others.
 
     Rows of one key are the same text and may repeat. compare(column of texts) returns a
     function of two arrays of the texts' indexes that says of each pair whether it holds.
@@ -438,7 +438,7 @@ def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, w
     made = _settle(ws, rows, items, run, MADE, "made-0")
     links = made.where("key <> other").select("key", "other")
     if not is_hot:
-        return links
+        return components(ws, links)
     step, last, reps = 0, None, hot
     while True:
         several = reps.groupBy("bucket").agg(cell_count().alias("cells")).where("cells > 1").select("bucket")
@@ -451,7 +451,9 @@ def find_links(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, w
         links = links.unionByName(made.where("key <> other").select("key", "other"))
     roots = ws.write(components(ws, links, "hot-cc"), "roots")
     more = cross_links(ws, hot, roots, items, lambda s: fold(band_keys(s), parts), need, width, dtype, compare)
-    return links if more is None else links.unionByName(more)
+    if more is None:
+        return roots
+    return components(ws, roots.where("key <> root").select("key", F.col("root").alias("other")).unionByName(more))
 
 
 def _cells(rows: DataFrame, step: int) -> DataFrame:
@@ -559,7 +561,8 @@ def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, items: Data
             a, b = _cat(one), _cat(two)
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.maximum(a, b)), "other": pa.array(np.minimum(a, b))})
 
-    return _settle(ws, found, items, links, "key long, other long", "cross-links")
+    more = _settle(ws, found, items, links, "key long, other long", "cross-links")
+    return None if more.isEmpty() else more
 
 
 def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:

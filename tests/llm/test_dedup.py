@@ -104,7 +104,7 @@ def signed(spark, sig, size=3):
 
 
 def classes_of(spark, sig, true, need, columns=1, size=3):
-    """Classes by find_links; the first columns of sig are the bands, `true` the pairs that hold."""
+    """Classes by find_classes; the first columns of sig are the bands, `true` the pairs that hold."""
     ws = Workspace(spark, "test")
 
     def compare(col):
@@ -114,9 +114,10 @@ def classes_of(spark, sig, true, need, columns=1, size=3):
     def bands(s):
         return (s[:, :columns].astype(np.int64) + 1_000_000 * np.arange(columns)) * (1 << 32 | 1)
 
-    links = linking.find_links(ws, signed(spark, sig, size), bands, need, sig.shape[1], np.uint32, compare)
-    assert links.count() < 4 * len(sig)
-    return {r.key: r.root for r in linking.components(ws, links).collect()}
+    got = linking.find_classes(ws, signed(spark, sig, size), bands, need, sig.shape[1], np.uint32, compare)
+    made = spark.read.parquet(ws.at("made-0"))
+    assert made.count() < 4 * len(sig)  # links and representatives, not pairs
+    return {r.key: r.root for r in got.collect()}
 
 
 @pytest.mark.parametrize("local", [16, 1 << 20])
