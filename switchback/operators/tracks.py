@@ -10,20 +10,8 @@ from pyspark.sql import functions as F
 
 from switchback.functions import elevation, geo
 
-# Spacing, radii, shares and gaps of the pair model.
+# Spacing of samples; length and drift of a camp.
 SAMPLE_M = 25.0
-CHECKPOINT_M = 200.0
-CROSSING_M = 60.0
-OVERLAP_M = 40.0
-OVERLAP_SHARE = 0.7
-CLOSURE_M = 200.0
-MIN_OVERLAP_M = 500.0
-MIN_SHARE = 0.3
-FULL_SHARE = 0.9
-MIN_ELAPSED_S = 300
-REEXIT_SHARE = 0.5
-MOVING_MPS = 0.3
-MOVING_GAP_S = 60
 CAMP_GAP_S = 4 * 3600
 CAMP_DRIFT_M = 500.0
 
@@ -104,171 +92,43 @@ def _haversine(lat1, lng1, lat2, lng2):
     return 2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(a, 1)))
 
 
-def sample_indexes(lat: np.ndarray, lng: np.ndarray, spacing: float = SAMPLE_M) -> tuple[list[int], list[float]]:
-    """Points at least 0.99 of the spacing from the last kept one, and the last point; metres travelled over kept ones."""
-    keep, cum = [], []
-    for i in range(len(lat)):
-        if not keep:
-            keep.append(i)
-            cum.append(0.0)
-            continue
-        d = float(_haversine(lat[keep[-1]], lng[keep[-1]], lat[i], lng[i]))
-        if d >= spacing * 0.99 or i == len(lat) - 1:
-            cum.append(cum[-1] + d)
-            keep.append(i)
-    return keep, cum
+def thinned(lat: np.ndarray, lng: np.ndarray, spacing: float = SAMPLE_M, ahead: int = 64) -> np.ndarray:
+    """Indexes of points of which each is the next one out of reach of the last, and of the last point.
+
+    Reach is 0.99 of the spacing; `ahead` points are looked at once.
+    """
+    n, at = len(lat), [0]
+    lo = 1
+    while lo < n:
+        hi = min(lo + ahead, n)
+        out = np.flatnonzero(_haversine(lat[at[-1]], lng[at[-1]], lat[lo:hi], lng[lo:hi]) >= 0.99 * spacing)
+        if len(out):
+            at.append(lo + int(out[0]))
+        lo = at[-1] + 1 if len(out) else hi
+    if n and at[-1] != n - 1:
+        at.append(n - 1)
+    return np.array(at[: max(n, 0)], np.int64)
 
 
 def sampled(points: DataFrame, spacing: float = SAMPLE_M) -> DataFrame:
-    """Down-sampled tracks: (session_id, time, lat, lng, elevation, speed, cum_m). A fold, so grouped pandas."""
+    """Thinned tracks: (session_id, time, lat, lng, elevation, speed, cum_m). Each sample depends on the one before, so grouped pandas."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["time", "event_id"])
-        keep, cum = sample_indexes(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), spacing)
-        out = pdf.iloc[keep][["session_id", "time", "lat", "lng", "elevation", "speed"]].copy()
-        out["cum_m"] = cum
+        out = pdf.iloc[thinned(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), spacing)][["session_id", "time", "lat", "lng", "elevation", "speed"]].copy()
+        lat, lng = out["lat"].to_numpy(), out["lng"].to_numpy()
+        out["cum_m"] = np.concatenate([[0.0], np.cumsum(_haversine(lat[:-1], lng[:-1], lat[1:], lng[1:]))])
         return out
 
-    return points.groupBy("session_id").applyInPandas(fold, "session_id long, time long, lat double, lng double, elevation double, speed double, cum_m double")
-
-
-class Track:
-    """A sampled track as arrays, for the pair model."""
-
-    def __init__(self, time, lat, lng, z, speed, cum):
-        self.time, self.lat, self.lng, self.z, self.speed, self.cum = (np.asarray(x, float) for x in (time, lat, lng, z, speed, cum))
-
-    def cut(self, end: int) -> Track:
-        return Track(*(x[:end] for x in (self.time, self.lat, self.lng, self.z, self.speed, self.cum)))
-
+    return points.groupBy("session_id").applyInPandas(thin, "session_id long, time long, lat double, lng double, elevation double, speed double, cum_m double")
 
-def out_and_back(t: Track) -> tuple[Track, bool]:
-    """The outbound half of a track that returns over itself, else the whole track.
 
-    Turnarounds tried: farthest from the start, half of the distance, highest; the one
-    whose return stays closest to the outbound half decides.
-    """
-    n = len(t.lat)
-    if n < 4 or _haversine(t.lat[0], t.lng[0], t.lat[-1], t.lng[-1]) >= CLOSURE_M:
-        return t, False
-    far = int(np.argmax(_haversine(t.lat[0], t.lng[0], t.lat, t.lng)))
-    mid = int(np.argmin(np.abs(t.cum - t.cum[-1] / 2)))
-    high = int(np.nanargmax(t.z)) if not np.isnan(t.z).all() else -1
-    best, apex = -1.0, -1
-    for k in dict.fromkeys((far, mid, high)):
-        if not 1 <= k <= n - 3:
-            continue
-        d = _haversine(t.lat[k + 1 :, None], t.lng[k + 1 :, None], t.lat[None, : k + 1], t.lng[None, : k + 1])
-        share = float((d.min(axis=1) <= OVERLAP_M).mean())
-        if share > best:
-            best, apex = share, k
-    return (t.cut(apex + 1), True) if best >= OVERLAP_SHARE else (t, False)
-
-
-def checkpoints(t: Track, spacing: float = CHECKPOINT_M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Latitudes, longitudes and metres of marks along a track, between samples by interpolation."""
-    if len(t.cum) < 2:
-        z = np.zeros(0)
-        return z, z, z
-    m = np.arange(0, t.cum[-1] + 1e-9, spacing)
-    return np.interp(m, t.cum, t.lat), np.interp(m, t.cum, t.lng), m
-
-
-def crossings(t: Track, lat: np.ndarray, lng: np.ndarray, radius: float = CROSSING_M) -> list:
-    """For each checkpoint (first time, last time, first metres, last metres) at which it was the nearest in reach."""
-    out: list = [None] * len(lat)
-    if not len(lat):
-        return out
-    d = _haversine(t.lat[:, None], t.lng[:, None], lat[None, :], lng[None, :])
-    near = d.argmin(axis=1)
-    for i in np.flatnonzero(d[np.arange(len(near)), near] <= radius).tolist():
-        k = int(near[i])
-        out[k] = (t.time[i], t.time[i], t.cum[i], t.cum[i]) if out[k] is None else (out[k][0], t.time[i], out[k][2], t.cum[i])
-    return out
-
-
-def overlap(a: list, b: list) -> dict | None:
-    """The longest run of checkpoints that both crossed, in the same direction, with each side's window."""
-    both = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
-    best, run = (-1, -1), None
-    for i, ok in enumerate([*both, False]):
-        if ok and run is None:
-            run = i
-        elif not ok and run is not None:
-            if i - 1 - run > best[1] - best[0] or best[0] < 0:
-                best = (run, i - 1)
-            run = None
-    lo, hi = best
-    if lo < 0 or hi - lo < 1:
-        return None
-    rise = np.sign(np.diff([b[i][0] for i in range(lo, hi + 1)]))
-    if (rise < 0).sum() > (rise > 0).sum() or b[hi][0] <= b[lo][0] or a[hi][0] <= a[lo][0]:
-        return None
-
-    def returns(c) -> bool:
-        span = max(c[i][1] for i in range(lo, hi + 1)) - min(c[i][0] for i in range(lo, hi + 1))
-        return c[lo][1] > c[hi][0] and c[lo][1] - c[lo][0] > REEXIT_SHARE * span
-
-    ra, rb = returns(a), returns(b)
-    full = ra == rb
-
-    def window(c, back):
-        whole = full and back
-        return c[lo][0], c[lo][1] if whole else c[hi][0], c[lo][2], c[lo][3] if whole else c[hi][2]
-
-    return {"start": lo, "end": hi, "overlap_m": (hi - lo) * CHECKPOINT_M, "scope": "full" if full else "outbound", "a": window(a, ra), "b": window(b, rb)}
-
-
-def moving_seconds(t: Track, enter: float, leave: float) -> int:
-    """Seconds at or over the moving speed between two times; a gap counts MOVING_GAP_S at most."""
-    total = 0.0
-    for i in range(1, len(t.time)):
-        if t.time[i] <= enter or t.time[i - 1] >= leave:
-            continue
-        dt = t.time[i] - t.time[i - 1]
-        if dt <= 0:
-            continue
-        v = t.speed[i] if not np.isnan(t.speed[i]) else _haversine(t.lat[i - 1], t.lng[i - 1], t.lat[i], t.lng[i]) / dt
-        if v >= MOVING_MPS:
-            total += min(dt, MOVING_GAP_S)
-    return int(np.floor(total + 0.5))
-
-
-PAIR_SCHEMA = "session_a long, session_b long, overlap_m double, share_a double, share_b double, scope string, full_route boolean, elapsed_a double, elapsed_b double, moving_a long, moving_b long"
-
-
-def compare_pair(a: Track, b: Track) -> dict | None:
-    """The stored comparison of two tracks, or None where a gate fails."""
-    ca, _ = out_and_back(a)
-    cb, _ = out_and_back(b)
-    lat, lng, _ = checkpoints(ca)
-    o = overlap(crossings(a, lat, lng), crossings(b, lat, lng))
-    if o is None or o["overlap_m"] < MIN_OVERLAP_M or min(ca.cum[-1], cb.cum[-1]) <= 0:
-        return None
-    share_a, share_b = min(1.0, o["overlap_m"] / ca.cum[-1]), min(1.0, o["overlap_m"] / cb.cum[-1])
-    ea, eb = o["a"][1] - o["a"][0], o["b"][1] - o["b"][0]
-    if max(share_a, share_b) < MIN_SHARE or min(ea, eb) < MIN_ELAPSED_S:
-        return None
-    return {"overlap_m": o["overlap_m"], "share_a": share_a, "share_b": share_b, "scope": o["scope"], "full_route": min(share_a, share_b) >= FULL_SHARE, "elapsed_a": ea, "elapsed_b": eb, "moving_a": moving_seconds(a, *o["a"][:2]), "moving_b": moving_seconds(b, *o["b"][:2])}
-
-
-def comparisons(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Comparisons of candidate pairs (session_a, session_b) of sampled tracks; one grouped call a pair."""
-    track = F.sort_array(F.collect_list(F.struct("cum_m", "time", "lat", "lng", "elevation", "speed"))).alias("t")
-    whole = tracks.groupBy("session_id").agg(track)
-    both = pairs.join(whole.select(F.col("session_id").alias("session_a"), F.col("t").alias("ta")), "session_a").join(whole.select(F.col("session_id").alias("session_b"), F.col("t").alias("tb")), "session_b")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                one = lambda t: Track(*([(x[k] if x[k] is not None else np.nan) for x in t] for k in ("time", "lat", "lng", "elevation", "speed", "cum_m")))
-                got = compare_pair(one(r.ta), one(r.tb))
-                if got:
-                    out.append({"session_a": r.session_a, "session_b": r.session_b, **got})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
-
-    return both.mapInPandas(run, PAIR_SCHEMA)
+def import_stats(points: DataFrame) -> DataFrame:
+    """Per session: points, metres, seconds, mean speed (null where no time passed). A gap between points counts as travelled."""
+    w = _track()
+    step = F.when(F.lag("lat").over(w).isNull(), 0.0).otherwise(geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")))
+    s = points.withColumn("m", step).groupBy("session_id").agg(F.count(F.lit(1)).alias("points"), F.sum("m").alias("metres"), (F.max("time") - F.min("time")).alias("seconds"))
+    return s.withColumn("mean_mps", F.when(F.col("seconds") > 0, F.col("metres") / F.col("seconds")))
 
 
 def coverage(points: DataFrame, routes: DataFrame, radius_m: float = 30.0, least: float = 0.7) -> DataFrame:
@@ -348,11 +208,18 @@ def stitch(parts: list[np.ndarray], join_m: float = 20.0) -> list[np.ndarray]:
 
 
 def sub_line(line: Column, start_m: float, end_m: float) -> Column:
-    """Vertices of a line between two distances from its start, by a running length."""
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.array().cast("array<struct<m:double,lat:double,lng:double>>").alias("out"))
+    """The part of a line between two distances from its start: vertices (m, lat, lng), the cut ends by interpolation.
+
+    Distances beyond the line's ends are its ends; a line under two vertices gives an empty part.
+    """
+    legs = F.transform(geo.edges(line), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), geo.haversine_m(e["a"]["lat"], e["a"]["lng"], e["b"]["lat"], e["b"]["lng"]).alias("m")))
+    upto = lambda k: F.aggregate(F.slice(legs, 1, k), F.lit(0.0), lambda s, e: s + e["m"])
+    placed = F.transform(legs, lambda e, k: F.struct(e["a"].alias("a"), e["b"].alias("b"), e["m"].alias("m"), upto(k).alias("at")))
 
-    def step(s, p):
-        m = s["m"] + F.coalesce(geo.haversine_m(s["lat"], s["lng"], p["lat"], p["lng"]), F.lit(0.0))
-        return F.struct(m.alias("m"), p["lat"].alias("lat"), p["lng"].alias("lng"), F.concat(s["out"], F.array(F.struct(m.alias("m"), p["lat"].alias("lat"), p["lng"].alias("lng")))).alias("out"))
+    def point(e, m):
+        f = F.when(e["m"] > 0, (m - e["at"]) / e["m"]).otherwise(0.0)
+        return F.struct(m.alias("m"), *[(e["a"][c] + f * (e["b"][c] - e["a"][c])).alias(c) for c in ("lat", "lng")])
 
-    return F.filter(F.aggregate(line, zero, step, lambda s: s["out"]), lambda p: p["m"].between(start_m, end_m))
+    kept = F.filter(placed, lambda e: (e["at"] + e["m"] >= start_m) & (e["at"] <= end_m))
+    ends = F.transform(kept, lambda e: F.array(point(e, F.greatest(e["at"], F.lit(float(start_m)))), point(e, F.least(e["at"] + e["m"], F.lit(float(end_m))))))
+    return F.array_distinct(F.flatten(ends))

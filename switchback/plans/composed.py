@@ -80,9 +80,9 @@ def search_names(spark, sf):
     return table(spark, sf, "destinations").select("id", text.search_name(raw).alias("n"))
 
 
-@plan("SELECT id, concat('eclat ', lower(replace(name, '-', ' ')), ' 7') AS n, 2e0 / 3e0 AS dice, TRUE AS contained FROM destinations WHERE id <= 200")
+@plan("SELECT id, concat('eclat ', lower(replace(name, '-', ' ')), ' 7') AS n, 2e0 / 3e0 AS dice, TRUE AS contained FROM destinations")
 def peak_names(spark, sf):
-    d = table(spark, sf, "destinations").where("id <= 200")
+    d = table(spark, sf, "destinations")
     return d.select("id", text.peak_name(F.concat(F.lit("Éclat "), "name", F.lit(" #7"))).alias("n"), text.token_dice(F.lit("high rock"), F.lit("high rock tower peak")).alias("dice"), text.tokens_contained(F.lit("rock high"), F.lit("high rock peak")).alias("contained"))
 
 
@@ -125,9 +125,9 @@ def calendar_fields(spark, sf):
     return s.select("id", F.when(F.col("id") % 366 < 100, 1).otherwise(0).alias("early"), F.date_format(ts, "MM").alias("mm"), F.unix_seconds(F.element_at(times.forecast_cycles(ts), 1)).alias("cycle"), times.day_of_year(F.month(ts), F.dayofmonth(ts)).alias("doy"))
 
 
-@plan("SELECT id, 135 + id % 40 AS opens, 300 AS closes FROM destinations WHERE id <= 500")
+@plan("SELECT id, 135 + id % 40 AS opens, 300 AS closes FROM destinations")
 def season_windows(spark, sf):
-    d = table(spark, sf, "destinations").where("id <= 500")
+    d = table(spark, sf, "destinations")
     w = F.array(F.struct((F.lit(135) + F.col("id").cast("int") % 40).alias("opens"), F.lit(10).alias("closes")), F.struct(F.lit(100).alias("opens"), F.lit(300).alias("closes")))
     return d.select("id", times.longest_window(times.season_intersection(w)).alias("w")).select("id", "w.opens", "w.closes")
 
@@ -199,13 +199,11 @@ def line_near_line(spark, sf):
     return spatial.lines_near_lines(a.where("route_id % 2 = 0"), a.where("route_id % 2 = 1").withColumnRenamed("route_id", "other_id"), "route_id", "other_id", 12000.0, max_lat=50)
 
 
-@plan(f"""WITH r AS (SELECT id AS ref_id, CASE WHEN id % 10 = 0 THEN id END AS ref_ext, name AS ref_name, lat + 1e-3 AS ref_lat, lng AS ref_lng FROM destinations WHERE id % 4 = 0), c AS (SELECT id, id AS ext, name, lat, lng FROM destinations WHERE id % 3 = 0),
-    p AS (SELECT ref_id, id, {hav('ref_lat', 'ref_lng', 'lat', 'lng')} AS m, ref_name, name, ref_ext, ext FROM r, c), k AS (SELECT ref_id, id, m, CASE WHEN ref_ext = ext THEN 1 WHEN m <= 150e0 THEN 2 WHEN m <= 1000e0 AND lower(ref_name) = lower(name) THEN 3 END AS kind FROM p),
-    b AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY kind, m, id) AS n FROM k WHERE kind IS NOT NULL) SELECT r.ref_id, b.id, b.kind FROM r LEFT JOIN b ON b.ref_id = r.ref_id AND b.n = 1""")
+@plan()
 def catalog_reference_match(spark, sf):
     d = table(spark, sf, "destinations")
-    r = d.where("id % 4 = 0").select(F.col("id").alias("ref_id"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("ref_ext"), F.col("name").alias("ref_name"), (F.col("lat") + 0.001).alias("ref_lat"), F.col("lng").alias("ref_lng"))
-    c = d.where("id % 3 = 0").select("id", F.col("id").alias("ext"), "name", "lat", "lng")
+    r = d.select(F.col("id").alias("ref_id"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("ref_ext"), F.col("name").alias("ref_name"), (F.col("lat") + 0.001).alias("ref_lat"), F.col("lng").alias("ref_lng"))
+    c = d.select("id", F.col("id").alias("ext"), "name", "lat", "lng")
     return spatial.reference_match(r, c).select("ref_id", "id", "kind")
 
 
@@ -221,10 +219,10 @@ def name_proximity_dedupe(spark, sf):
     return spatial.greedy_name_dedupe(table(spark, sf, "destinations").select("id", "name", "lat", "lng"), 20000.0)
 
 
-@plan(f"""SELECT session_id, route_id, count(DISTINCT vertex) AS hit FROM (SELECT DISTINCT p.session_id, r.id AS route_id, k AS vertex FROM points p, routes r, range(0, 5) t(k) WHERE r.id <= 40 AND {hav('p.lat', 'p.lng', 'r.lat + (k % 2) * 8e-3', 'r.lng + k * 1e-2')} <= 900e0) x GROUP BY session_id, route_id HAVING count(DISTINCT vertex) >= 3""")
+@plan()
 def route_coverage(spark, sf):
-    v = _route_lines(spark, sf).where("route_id <= 40").select("route_id", F.posexplode("path").alias("vertex", "p")).select("route_id", "vertex", F.col("p.lat").alias("vlat"), F.col("p.lng").alias("vlng"))
-    return tracks.coverage(table(spark, sf, "points"), v, 900.0, 0.6).select("session_id", "route_id", "hit")
+    v = _route_lines(spark, sf).select("route_id", F.posexplode("path").alias("vertex", "p")).select("route_id", "vertex", F.col("p.lat").alias("vlat"), F.col("p.lng").alias("vlng"))
+    return tracks.coverage(table(spark, sf, "points"), v, 30.0, 0.7).select("session_id", "route_id", "hit")
 
 
 # tracks
@@ -267,6 +265,46 @@ def nearest_sample_in_time(spark, sf):
     return got.where("sample_time is not null")
 
 
+@plan("""WITH o AS (SELECT session_id, time, segment_number, elevation AS z, lead(time) OVER w AS t2, lead(segment_number) OVER w AS g2, lead(elevation) OVER w AS z2 FROM points WINDOW w AS (PARTITION BY session_id ORDER BY time, event_id)),
+    v AS (SELECT session_id, CAST(t2 - time AS DOUBLE) AS s, z, z2 FROM o WHERE t2 > time AND t2 - time <= 60 AND g2 = segment_number AND z IS NOT NULL AND z2 IS NOT NULL)
+    SELECT session_id, round(sum(s * CASE WHEN z > 3e3 AND z2 > 3e3 THEN 1e0 WHEN z <= 3e3 AND z2 > 3e3 THEN (z2 - 3e3) / (z2 - z) WHEN z > 3e3 AND z2 <= 3e3 THEN (z - 3e3) / (z - z2) ELSE 0e0 END), 2) AS above_3000_m FROM v GROUP BY session_id""")
+def altitude_seconds(spark, sf):
+    """Time above a height with the rule's gap of a minute."""
+    return tracks.altitude_time(table(spark, sf, "points"), {"above_3000_m": 3000.0}).select("session_id", F.round("above_3000_m", 2).alias("above_3000_m"))
+
+
+@plan(f"""WITH s AS (SELECT session_id, time, event_id, lat, lng, CASE WHEN lag(lat) OVER w IS NULL THEN 0e0 ELSE {hav("lag(lat) OVER w", "lag(lng) OVER w", "lat", "lng")} END AS m FROM points WINDOW w AS (PARTITION BY session_id ORDER BY time, event_id))
+    SELECT session_id, count(*) AS points, round(sum(m), 2) AS metres, max(time) - min(time) AS seconds, round(CASE WHEN max(time) > min(time) THEN sum(m) / (max(time) - min(time)) END, 4) AS mean_mps FROM s GROUP BY session_id""")
+def session_import_stats(spark, sf):
+    return tracks.import_stats(table(spark, sf, "points")).select("session_id", "points", F.round("metres", 2).alias("metres"), "seconds", F.round("mean_mps", 4).alias("mean_mps"))
+
+
+@plan("""WITH n AS (SELECT sd.session_id, sd.destination_id, d.name, d.elevation, row_number() OVER (PARTITION BY sd.session_id ORDER BY d.elevation DESC, d.id) AS k FROM session_destinations sd JOIN destinations d ON d.id = sd.destination_id WHERE sd.relation = 'reached')
+    SELECT s.id, s.user_id, count(n.destination_id) AS places, max(n.elevation) AS highest, max(CASE WHEN k = 1 THEN n.name END) AS top_name, CAST(to_json(list({'id': n.destination_id, 'name': n.name} ORDER BY k)) AS VARCHAR) AS document FROM sessions s JOIN n ON n.session_id = s.id GROUP BY s.id, s.user_id""")
+def session_detail(spark, sf):
+    """Nested document of a session's reached places, highest first."""
+    from switchback.operators import documents
+
+    d = table(spark, sf, "destinations").select(F.col("id").alias("destination_id"), "name", "elevation")
+    b = table(spark, sf, "session_destinations").where("relation = 'reached'").join(d, "destination_id")
+    nested = documents.nested(b, ["session_id"], {"id": "destination_id", "name": "name"}, [F.desc("elevation"), F.asc("destination_id")], "document")
+    top = b.groupBy("session_id").agg(F.count(F.lit(1)).alias("places"), F.max("elevation").alias("highest"), F.min_by("name", F.struct((-F.col("elevation")).alias("z"), "destination_id")).alias("top_name"))
+    s = table(spark, sf, "sessions").select(F.col("id").alias("session_id"), "user_id")
+    return s.join(top, "session_id").join(nested, "session_id").select(F.col("session_id").alias("id"), "user_id", "places", "highest", "top_name", "document")
+
+
+@plan("""SELECT x.session_id AS id, x.destination_id FROM session_destinations x JOIN sessions s ON s.id = x.session_id JOIN destinations d ON d.id = x.destination_id
+    WHERE s.is_public AND d.elevation >= 3000 AND list_contains(d.features, 'summit')""")
+def composed_filters(spark, sf):
+    """Filters that are set are applied, unset ones are not."""
+    from switchback.operators import documents
+
+    d = table(spark, sf, "destinations").select(F.col("id").alias("destination_id"), "elevation", "features")
+    rows = table(spark, sf, "session_destinations").join(table(spark, sf, "sessions").select(F.col("id").alias("session_id"), "is_public", "user_id"), "session_id").join(d, "destination_id")
+    wanted = documents.all_of({"is_public": lambda v: F.col("is_public") == v, "least": lambda v: F.col("elevation") >= v, "feature": lambda v: F.array_contains("features", v), "users": lambda v: F.col("user_id").isin(v)}, is_public=True, least=3000, feature="summit", users=None)
+    return rows.where(wanted).select(F.col("session_id").alias("id"), "destination_id")
+
+
 @plan("""SELECT session_id, max(time) - min(time) - sum(CASE WHEN dt >= 14400 AND m <= 500e0 THEN dt ELSE 0 END) AS seconds FROM (SELECT session_id, time, time - lag(time) OVER w AS dt, """ + hav("lag(lat) OVER w", "lag(lng) OVER w", "lat", "lng") + """ AS m FROM points WINDOW w AS (PARTITION BY session_id ORDER BY time, event_id)) x GROUP BY session_id""")
 def camp_free_time(spark, sf):
     return tracks.camp_free_seconds(table(spark, sf, "points")).select("session_id", "seconds")
@@ -284,12 +322,13 @@ def simplified_tracks(spark, sf):
 
 @plan()
 def pair_comparisons(spark, sf):
-    """Made-up repeat efforts over one line, since the test points are no tracks."""
-    t = spark.range(0, 40).select(F.col("id").alias("session_id"), F.explode(F.sequence(F.lit(0), F.lit(200))).alias("event_id"))
-    t = t.withColumns({"time": (F.col("event_id") * (20 + F.col("session_id") % 5)).cast("long"), "lat": F.lit(45.0) + F.col("event_id") * 0.0004, "lng": F.lit(-119.0) + (F.col("session_id") % 3) * 0.0001, "elevation": F.lit(1000.0) + F.col("event_id"), "speed": F.lit(None).cast("double")})
-    s = tracks.sampled(t)
-    pairs = spark.range(0, 39).select(F.col("id").alias("session_a"), (F.col("id") + 1).alias("session_b"))
-    return tracks.comparisons(s, pairs)
+    """All tracks against the next ones by number."""
+    from switchback.operators import efforts
+
+    s = tracks.sampled(table(spark, sf, "points"))
+    ids = s.select(F.col("session_id").alias("session_a")).distinct()
+    pairs = ids.join(ids.select((F.col("session_a") - 1).alias("session_a")), "session_a").select("session_a", (F.col("session_a") + 1).alias("session_b"))
+    return efforts.comparisons(s, pairs)
 
 
 @plan()
@@ -301,11 +340,13 @@ def polyline_round_trip(spark, sf):
 # graph
 
 
-@plan("""WITH RECURSIVE b AS (SELECT DISTINCT session_id, destination_id FROM session_destinations WHERE destination_id <= 60), e AS (SELECT x.session_id AS a, y.session_id AS b FROM b x JOIN b y ON x.destination_id = y.destination_id AND x.session_id <> y.session_id WHERE x.session_id % 6 = 0 AND y.session_id % 6 = 0),
+@plan("""WITH RECURSIVE b AS (SELECT DISTINCT session_id, destination_id, s.user_id FROM session_destinations sd JOIN sessions s ON s.id = sd.session_id WHERE sd.relation = 'reached'),
+    e AS (SELECT x.session_id AS a, y.session_id AS b FROM b x JOIN b y ON x.user_id = y.user_id AND x.destination_id = y.destination_id AND x.session_id <> y.session_id GROUP BY x.session_id, y.session_id HAVING count(*) >= 2),
     w(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b) SELECT node AS session_id, min(root) AS attempt_group FROM w GROUP BY node""")
 def attempt_groups(spark, sf):
-    b = table(spark, sf, "session_destinations").where("destination_id <= 60 and session_id % 6 = 0")
-    return graph.attempt_groups(b, 1)
+    """Sessions of one user that reached two places or more in common."""
+    b = table(spark, sf, "session_destinations").where("relation = 'reached'")
+    return graph.attempt_groups(b, 2, table(spark, sf, "sessions").select(F.col("id").alias("session_id"), "user_id"))
 
 
 @plan()

@@ -140,7 +140,8 @@ def join_bridge_self(d):
 
 @q
 def join_case_other_side(d):
-    return "SELECT s.id, o.id AS other FROM sessions s JOIN (SELECT id AS a, id + 1 AS b FROM sessions WHERE id % 10 = 0) p ON s.id IN (p.a, p.b) JOIN sessions o ON o.id = CASE WHEN s.id = p.a THEN p.b ELSE p.a END WHERE s.id % 10 <= 1"
+    return """SELECT x.id, o.id AS other FROM (SELECT id, id AS a, id + 1 AS b FROM sessions UNION ALL SELECT id + 1, id, id + 1 FROM sessions) x
+      JOIN sessions s ON s.id = x.id JOIN sessions o ON o.id = CASE WHEN x.id = x.a THEN x.b ELSE x.a END"""
 
 
 @q
@@ -150,7 +151,7 @@ def join_null_safe_map(d):
 
 @q
 def join_owner_or(d):
-    return "SELECT s.id, de.id AS destination_id FROM sessions s JOIN destinations de ON de.owner = concat('u', CAST(s.user_id AS STRING)) WHERE s.id % 5 = 0 UNION ALL SELECT s.id, de.id FROM sessions s CROSS JOIN (SELECT id FROM destinations WHERE owner = 'peaks' AND id < 60) de WHERE s.id % 500 = 0"
+    return "SELECT s.id, de.id AS destination_id FROM sessions s JOIN session_destinations sd ON sd.session_id = s.id JOIN destinations de ON de.id = sd.destination_id AND (de.owner = 'peaks' OR de.owner = concat('u', CAST(s.user_id AS STRING)))"
 
 
 @q
@@ -161,8 +162,8 @@ def join_interval_overlap(d):
 
 @q
 def list_member_resolution(d):
-    return """SELECT name, destination_id FROM (SELECT w.name, max(de.id) AS destination_id, count(*) AS n FROM (SELECT DISTINCT name, round(elevation / 30e0) AS band FROM destinations WHERE id % 3 = 0) w
-      JOIN destinations de ON lower(de.name) = lower(w.name) AND round(de.elevation / 30e0) = w.band AND de.id % 3 = 0 GROUP BY w.name, w.band) x WHERE n = 1"""
+    return """SELECT name, destination_id FROM (SELECT w.name, max(de.id) AS destination_id, count(*) AS n FROM (SELECT DISTINCT name, round(elevation / 30e0) AS band FROM destinations) w
+      JOIN destinations de ON lower(de.name) = lower(w.name) AND round(de.elevation / 30e0) = w.band GROUP BY w.name, w.band) x WHERE n = 1"""
 
 
 # aggregates
@@ -246,7 +247,7 @@ def list_topline(d):
 @q
 def list_progress(d):
     return """SELECT l.list_id, s.user_id, count(DISTINCT l.destination_id) AS done, max(t.n) AS members, count(DISTINCT l.destination_id) = max(t.n) AS complete FROM lists l JOIN session_destinations sd ON sd.destination_id = l.destination_id
-      JOIN sessions s ON s.id = sd.session_id JOIN (SELECT list_id, count(*) AS n FROM lists GROUP BY list_id) t ON t.list_id = l.list_id WHERE sd.relation = 'reached' AND s.user_id <= 50 GROUP BY l.list_id, s.user_id"""
+      JOIN sessions s ON s.id = sd.session_id JOIN (SELECT list_id, count(*) AS n FROM lists GROUP BY list_id) t ON t.list_id = l.list_id WHERE sd.relation = 'reached' GROUP BY l.list_id, s.user_id"""
 
 
 @q
@@ -292,7 +293,7 @@ def window_top_n_per_group(d):
 
 @q
 def window_counts(d):
-    return "SELECT id, count(*) OVER () AS total, count(*) OVER (PARTITION BY status) AS same_status FROM sessions WHERE user_id <= 100"
+    return "SELECT id, count(*) OVER () AS total, count(*) OVER (PARTITION BY status) AS same_status FROM sessions"
 
 
 @q
@@ -388,7 +389,7 @@ def unpivot_by_class(d):
 
 @q
 def set_intersect_except(d):
-    return "SELECT destination_id FROM session_destinations WHERE source = 'manual' INTERSECT SELECT destination_id FROM lists WHERE ordinal <= 30 EXCEPT SELECT destination_id FROM session_destinations WHERE relation = 'goal' AND session_id < 300"
+    return "SELECT destination_id FROM session_destinations WHERE source = 'manual' INTERSECT SELECT destination_id FROM lists WHERE ordinal <= 30 EXCEPT SELECT destination_id FROM session_destinations WHERE relation = 'goal' AND source = 'auto'"
 
 
 @q
@@ -423,7 +424,7 @@ def rollup_extension(d):
 @q
 def area_detail(d):
     return f"""SELECT a.id, a.name, count(de.id) AS places, {d.ordered('CAST(de.id AS STRING)', 'de.elevation DESC, de.id', ',')} AS ranked FROM areas a
-      JOIN (SELECT *, row_number() OVER (PARTITION BY state ORDER BY elevation DESC, id) AS k FROM destinations) de ON de.lat BETWEEN a.south AND a.north AND de.lng BETWEEN a.west AND a.east WHERE de.k <= 20 GROUP BY a.id, a.name"""
+      JOIN destinations de ON de.lat BETWEEN a.south AND a.north AND de.lng BETWEEN a.west AND a.east GROUP BY a.id, a.name"""
 
 
 @q
@@ -434,7 +435,7 @@ def destination_detail(d):
 
 @q
 def route_detail(d):
-    return f"SELECT r.id, r.name, {d.ordered('concat(CAST(rd.ordinal AS STRING), chr(58), de.name)', 'rd.ordinal, de.id', '; ')} AS places FROM routes r JOIN route_destinations rd ON rd.route_id = r.id JOIN destinations de ON de.id = rd.destination_id WHERE rd.destination_id % 10 = 0 GROUP BY r.id, r.name"
+    return f"SELECT r.id, r.name, {d.ordered('concat(CAST(rd.ordinal AS STRING), chr(58), de.name)', 'rd.ordinal, de.id', '; ')} AS places FROM routes r JOIN route_destinations rd ON rd.route_id = r.id JOIN destinations de ON de.id = rd.destination_id GROUP BY r.id, r.name"
 
 
 @q

@@ -5,16 +5,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from switchback.operators import graph, merge, spatial, tracks
+from switchback.operators import efforts, graph, merge, spatial, tracks
 
 
-def line(n, back=False, step=25 / 111320, dt=30.0, lat0=0.0):
+STEP = 25 / 111320
+
+
+def track(session, n, back=False, dt=30, lat0=0.0, turned=False):
+    """Points along a meridian every 25 m, there and back if asked."""
     k = list(range(n)) + (list(range(n - 2, -1, -1)) if back else [])
-    lat = lat0 + np.array(k) * step
-    t = np.arange(len(k)) * dt
-    lng = np.zeros(len(k))
-    _, cum = tracks.sample_indexes(lat, lng)
-    return tracks.Track(t, lat, lng, 1000 + np.array(k, float), np.full(len(k), np.nan), cum)
+    k = k[::-1] if turned else k
+    return [(session, x, x * dt, lat0 + y * STEP, 0.0, 1000.0 + y, None) for x, y in enumerate(k)]
+
+
+def samples(spark, *parts):
+    rows = [r for p in parts for r in p]
+    return tracks.sampled(spark.createDataFrame(rows, "session_id long, event_id long, time long, lat double, lng double, elevation double, speed double"))
 
 
 def test_cell_join_equals_cross_join(spark):
@@ -34,27 +40,45 @@ def test_a_point_near_an_edge_far_from_its_vertices(spark):
     assert r.distance_m == pytest.approx(55.7, abs=0.5) and r.fraction == pytest.approx(0.5, abs=1e-3)
 
 
-def test_out_and_back_and_loops():
-    half, yes = tracks.out_and_back(line(100, back=True))
-    assert yes and len(half.lat) == pytest.approx(100, abs=2)
-    whole, yes = tracks.out_and_back(line(100))
-    assert not yes and len(whole.lat) == 100
+def test_out_and_back_and_loops(spark):
+    got = {r.session_id: r for r in efforts.outbound(efforts.numbered(samples(spark, track(1, 100, back=True), track(2, 100)))).collect()}
+    assert got[1].returns and got[1].last == pytest.approx(99, abs=2) and not got[2].returns and got[2].last == 99
+
 
+def test_marks_lie_between_samples(spark):
+    s = efforts.numbered(samples(spark, track(1, 30)))
+    got = efforts.marks(s, efforts.outbound(s)).orderBy("mark").collect()
+    assert [r.mark for r in got] == [0, 1, 2, 3] and all(111195 * r.mlat == pytest.approx(200 * r.mark, abs=0.5) for r in got)
 
-def test_pair_of_equal_efforts():
-    a, b = line(200), line(200, dt=45.0)
-    got = tracks.compare_pair(a, b)
-    assert got["scope"] == "full" and got["full_route"] and got["elapsed_b"] == pytest.approx(1.5 * got["elapsed_a"], rel=0.02)
-    back = line(200)
-    back.lat = back.lat[::-1]
-    assert tracks.compare_pair(a, back) is None
-    assert tracks.compare_pair(a, line(200, lat0=1.0)) is None
+
+def test_pairs_of_efforts(spark):
+    s = samples(spark, track(1, 200), track(2, 200, dt=45), track(3, 200, turned=True), track(4, 200, lat0=1.0), track(5, 200, back=True), track(6, 200, back=True, dt=40))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (5, 6), (5, 1)], "session_a long, session_b long")
+    got = {(r.session_a, r.session_b): r for r in efforts.comparisons(s, pairs).collect()}
+    assert set(got) == {(1, 2), (5, 6), (5, 1)}
+    one = got[1, 2]
+    assert one.scope == "full" and one.full_route and one.elapsed_b == pytest.approx(1.5 * one.elapsed_a, rel=0.02) and one.moving_a == one.elapsed_a
+    assert got[5, 6].scope == "full" and got[5, 6].elapsed_a == pytest.approx(2 * one.elapsed_a, rel=0.05)
+    assert got[5, 1].scope == "outbound" and got[5, 1].elapsed_a == pytest.approx(one.elapsed_a, rel=0.05)
 
 
 def test_sampling_keeps_the_last_point():
     lat = np.array([0, 5, 10, 24.9, 26, 27]) / 111195
-    keep, cum = tracks.sample_indexes(lat, np.zeros(6))
-    assert keep[0] == 0 and keep[-1] == 5 and len(keep) == len(cum) and cum == sorted(cum)
+    assert tracks.thinned(lat, np.zeros(6)).tolist() == [0, 3, 5] and tracks.thinned(lat[:0], lat[:0]).tolist() == []
+    rng = np.random.default_rng(1)
+    y, x = rng.normal(0, 8 / 111195, 500).cumsum(), rng.normal(0, 8 / 111195, 500).cumsum()
+    at = tracks.thinned(y, x, 25.0, 3)
+    for i, j in zip(at, at[1:-1]):
+        d = tracks._haversine(y[i], x[i], y[i + 1 : j + 1], x[i + 1 : j + 1])
+        assert d[-1] >= 24.75 and (d[:-1] < 24.75).all()
+
+
+def test_sub_line_cuts_between_vertices(spark):
+    r = spark.createDataFrame([([(0.0, 0.0), (0.0, 0.01), (0.0, 0.03)],)], "path array<struct<lng:double,lat:double>>")
+    deg = 111195.0
+    got = r.select(tracks.sub_line(F.col("path"), 0.005 * deg, 0.02 * deg).alias("p")).first().p
+    assert [round(p.lat, 4) for p in got] == [0.005, 0.01, 0.02]
+    assert [round(p.lat, 4) for p in r.select(tracks.sub_line(F.col("path"), -5.0, 1e9).alias("p")).first().p] == [0.0, 0.01, 0.03]
 
 
 def test_stitching():
@@ -125,3 +149,42 @@ def test_lines_near_lines(spark):
     t = spark.createDataFrame(rows, "id long, path array<struct<lng:double,lat:double>>")
     got = spatial.lines_near_lines(t.where("id = 1"), t.where("id > 1").withColumnRenamed("id", "other"), "id", "other", 500.0)
     assert [r.other for r in got.collect()] == [2]
+
+
+def test_documents(spark):
+    from switchback.operators import documents
+
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 7, "a"), (2, 9, None)], "k int, id int, name string")
+    got = {r.k: r.d for r in documents.nested(rows, ["k"], {"id": "id", "n": "name"}, [F.desc("id")], "d").collect()}
+    assert got == {1: '[{"id":7,"n":"a"},{"id":5,"n":"b"}]', 2: '[{"id":9}]'}
+    parts = {"least": lambda v: F.col("id") >= v, "names": lambda v: F.col("name").isin(v)}
+    assert rows.where(documents.all_of(parts, least=7, names=None)).count() == 2 and rows.where(documents.all_of(parts)).count() == 3
+    with pytest.raises(KeyError):
+        documents.all_of(parts, other=1)
+    m = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": None, "c": "3"}), (None, {"x": "y"})], "o map<string,string>, n map<string,string>")
+    assert [r.v for r in m.select(documents.merged(F.col("o"), F.col("n")).alias("v")).collect()] == [{"a": "1", "c": "3"}, {"x": "y"}]
+    assert [r.id for r in documents.in_order(rows, "id", [9, 4, 5]).collect()] == [9, 5]
+
+
+def test_reference_match_equals_brute_force(spark):
+    rng = random.Random(4)
+    c = [(k, k, rng.choice("abc"), 45 + rng.random() * 0.03, -119 + rng.random() * 0.03) for k in range(80)]
+    r = [(k, k if k % 9 == 0 else None, rng.choice("ABC"), 45 + rng.random() * 0.03, -119 + rng.random() * 0.03) for k in range(40)]
+    got = {x.ref_id: (x.id, x.kind) for x in spatial.reference_match(spark.createDataFrame(r, "ref_id int, ref_ext int, ref_name string, ref_lat double, ref_lng double"), spark.createDataFrame(c, "id int, ext int, name string, lat double, lng double")).collect()}
+    for k, ext, name, y, x in r:
+        best = []
+        for i, e, n, v, u in c:
+            m = tracks._haversine(y, x, v, u)
+            kind = 1 if ext is not None and ext == e else 2 if m <= 150 else 3 if m <= 1000 and name.lower() == n else None
+            if kind:
+                best.append((kind, m, i))
+        assert got[k] == ((min(best)[2], min(best)[0]) if best else (None, None))
+
+
+def test_coverage_equals_brute_force(spark):
+    rng = random.Random(5)
+    pts = [(s, 45 + rng.random() * 0.002, -119 + rng.random() * 0.002) for s in range(12) for _ in range(30)]
+    vs = [(r, v, 45 + rng.random() * 0.002, -119 + rng.random() * 0.002) for r in range(8) for v in range(4)]
+    got = {(x.session_id, x.route_id) for x in tracks.coverage(spark.createDataFrame(pts, "session_id int, lat double, lng double"), spark.createDataFrame(vs, "route_id int, vertex int, vlat double, vlng double")).collect()}
+    want = {(s, r) for s in range(12) for r in range(8) if sum(any(tracks._haversine(y, x, v, u) <= 30 for t, y, x in pts if t == s) for q, _, v, u in vs if q == r) >= 0.7 * 4}
+    assert got == want and want
