@@ -56,20 +56,38 @@ def window_days(opens, closes) -> Column:
     return F.when(o <= c, F.sequence(o, c)).otherwise(F.concat(F.sequence(o, F.lit(366)), F.sequence(F.lit(1), c)))
 
 
+SPANS = "array<struct<a:int,b:int>>"
+
+
+def _spans(opens, closes) -> Column:
+    """A season as one or two runs of days within the year."""
+    span = lambda x, y: F.struct(x.cast("int").alias("a"), y.cast("int").alias("b"))
+    return F.when(opens <= closes, F.array(span(opens, closes))).otherwise(F.array(span(F.lit(1), closes), span(opens, F.lit(366)))).cast(SPANS)
+
+
 def season_intersection(windows) -> Column:
-    """Windows of the days that all given windows share, cyclic over the year: [(opens, closes)]."""
-    w = _c(windows)
-    all_days = F.sequence(F.lit(1), F.lit(366))
-    common = F.aggregate(w, all_days, lambda s, x: F.array_intersect(s, window_days(x["opens"], x["closes"])))
-    common = F.array_sort(common)
-    before = lambda d: F.when(d == 1, 366).otherwise(d - 1)
-    after = lambda d: F.when(d == 366, 1).otherwise(d + 1)
-    opens = F.filter(common, lambda d: ~F.array_contains(common, before(d)))
-    closes = F.filter(common, lambda d: ~F.array_contains(common, after(d)))
-    year = F.array(F.struct(F.lit(1).alias("opens"), F.lit(366).alias("closes")))
-    wraps = (F.size(opens) > 0) & (F.element_at(closes, 1) < F.element_at(opens, 1))
-    turned = F.when(wraps, F.concat(F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(0))), F.slice(closes, 1, 1))).otherwise(closes)
-    return F.when(F.size(common) == 366, year).otherwise(F.zip_with(opens, turned, lambda a, b: F.struct(a.alias("opens"), b.alias("closes"))))
+    """Windows of the days that all given windows share, cyclic over the year: [(opens, closes)], by opening.
+
+    Runs of days are cut with one another, joined where they touch, and the last is joined to the
+    first over the new year.
+    """
+    year = F.array(F.struct(F.lit(1).alias("a"), F.lit(366).alias("b"))).cast(SPANS)
+    both = lambda y, p: F.struct(F.greatest(y["a"], p["a"]).alias("a"), F.least(y["b"], p["b"]).alias("b"))
+    cut = lambda s, x: F.filter(F.flatten(F.transform(s, lambda y: F.transform(_spans(x["opens"], x["closes"]), lambda p: both(y, p)))), lambda z: z["a"] <= z["b"])
+
+    def join(s, x):
+        last = F.try_element_at(s, F.lit(-1))
+        longer = F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))).cast(SPANS)
+        return F.when(F.coalesce(last["b"] + 1 >= x["a"], F.lit(False)), F.concat(F.slice(s, 1, F.size(s) - 1), longer)).otherwise(F.concat(s, F.array(x).cast(SPANS)))
+
+    def over_new_year(s):
+        first, last = F.try_element_at(s, F.lit(1)), F.try_element_at(s, F.lit(-1))
+        one = F.array(F.struct(last["a"].alias("a"), first["b"].alias("b"))).cast(SPANS)
+        whole = F.when((F.size(s) > 1) & (first["a"] == 1) & (last["b"] == 366), F.concat(F.slice(s, 2, F.size(s) - 2), one)).otherwise(s)
+        return F.transform(whole, lambda x: F.struct(x["a"].alias("opens"), x["b"].alias("closes")))
+
+    common = F.aggregate(_c(windows), year, cut)
+    return F.aggregate(F.sort_array(common), F.array().cast(SPANS), join, over_new_year)
 
 
 def longest_window(windows) -> Column:

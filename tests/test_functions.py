@@ -109,3 +109,18 @@ def test_seasons(spark):
     assert [tuple(r) for r in one(spark, times.parse_windows(F.lit("open 5/15-11/30; 12/15-1/2")))] == [(136, 335), (350, 2)]
     assert one(spark, times.compass(F.lit(359.0))) == "N"
     assert math.isclose(one(spark, geo.terrain_m(F.lit(128), F.lit(1), F.lit(128))), 1.5)
+
+
+def test_season_intersection_equals_sets_of_days(spark):
+    import random
+
+    rng = random.Random(8)
+    days = lambda o, c: set(range(o, c + 1)) if o <= c else set(range(o, 367)) | set(range(1, c + 1))
+    rows = [[(rng.randrange(1, 367), rng.randrange(1, 367)) for _ in range(rng.randrange(1, 4))] for _ in range(150)] + [[(51, 50), (40, 60)], [(51, 50)], [(366, 1)]]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(rows)], "k int, w array<struct<opens:int,closes:int>>")
+    for r in df.select("k", times.season_intersection("w").alias("v")).collect():
+        want = set.intersection(*(days(*x) for x in rows[r.k]))
+        got = [days(*x) for x in r.v]
+        assert set().union(*got) == want and sum(map(len, got)) == len(want)
+        starts = 1 if len(want) == 366 else sum((d - 2) % 366 + 1 not in want for d in want)
+        assert len(got) == starts
