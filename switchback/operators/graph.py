@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from switchback.functions import geo
+from switchback.session import shared_folder
 
 from .spatial import points_near_lines, within_distance
 
@@ -20,7 +20,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/switchback-{sc.applicationId}")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from switchback.functions import elevation, geo, text, times
 from switchback.operators import graph, merge, spatial, tracks
+from switchback.session import shared_folder
 
 from .dialect import Duck
 from .fixtures import table, with_views
@@ -423,12 +424,11 @@ def leaf_conflicts(spark, sf):
 @plan("SELECT user_id, count(*) AS n, round(max(value), 2) AS top FROM events GROUP BY user_id")
 def stream_reprocessed_sessions(spark, sf):
     """Events arriving in files out of order; the store of results equals one batch over all."""
-    import tempfile
     import uuid
 
     from switchback.streaming import ingest
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartition(3, "event_id").write.parquet(f"{root}/in")
     recompute = lambda known: known.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 2).alias("top"))
@@ -441,12 +441,11 @@ def stream_reprocessed_sessions(spark, sf):
 @plan()
 def stream_daily_windows(spark, sf):
     """Windows that the watermark closed, written in append mode."""
-    import tempfile
     import uuid
 
     from switchback.streaming import ingest
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.coalesce(1).write.parquet(f"{root}/in")
     w = ingest.windowed(ingest.read_points(spark, f"{root}/in", e.schema))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +24,11 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach: spark.checkpoint.dir, else the warehouse; a local one only for a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return (root or f"file://{tempfile.gettempdir()}/switchback-{spark.sparkContext.applicationId}").rstrip("/")
