@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir, else the warehouse; a local one only for a local master, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        root = spark.conf.get("spark.sql.warehouse.dir")
     if not root:
         root = f"file://{tempfile.gettempdir()}/switchback-{spark.sparkContext.applicationId}"
     return root.rstrip("/")
