@@ -9,8 +9,7 @@ Steps, all distributed:
    task: all pairs whose estimate passes are verified exactly, unless verified ones join the
    two already. Only links that hold leave the task, fewer than its items;
 3. larger buckets are dealt over cells of that size by salt; one item of each component of
-   a cell goes on, and these meet in further rounds until one cell is left or a round joins
-   nothing;
+   a cell goes on, and these meet in further rounds while a round joins a tenth of them;
 4. `cross_links` makes up for what step 3 left out: in every large bucket that several
    components share, every two cells meet in a task, and all pairs of different components
    whose estimate passes are verified. A pair in several large buckets is tried in the
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import Workspace
+from .store import Workspace, tasks_for
 
 BLOCK = 1024
 BLOCK_BYTES = 1 << 23  # text of a bucket that one task settles
@@ -40,6 +39,9 @@ PART = 1 << 22  # bytes of text prepared at once for exact checks inside a task
 ASK = 64  # pairs of an item verified at once
 DEAL = 1 << 20  # band rows sorted and sent at once
 LOCAL = 256  # rows of a bucket in DEAL that make it hot
+FEWER = 0.9  # items that a round of cells may leave of those before; else cross_links does the rest
+CELL_ROWS = 512  # items of cells for a task
+EDGES = 1 << 15  # links for a task
 
 SIGNED = "key long, size tinyint, sig binary, text string"  # what an operator gives: size is log2 of the text's bytes
 _LOW = np.uint64(0xFFFFFFFF)
@@ -411,12 +413,13 @@ def _verified(need: int, width: int, dtype, compare: Callable):
 MADE = "bucket long, key long, other long"
 
 
-def _settle(ws: Workspace, rows: DataFrame, items: DataFrame, run: Callable, schema: str, name: str) -> DataFrame:
+def _settle(ws: Workspace, rows: DataFrame, items: DataFrame, run: Callable, schema: str, name: str, tasks: int | None = None) -> DataFrame:
     """Run over whole blocks of rows (bucket, salt, key, ...) with the items' sig and text."""
     full = rows.join(items, "key")
     more = [c for c in rows.columns if c not in ("bucket", "salt", "key")]
     full = full.select("bucket", "salt", "key", *[c for c in ("sig", "text") if c in items.columns], *more)
-    return ws.write(full.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(run, schema), name)
+    dealt = full.repartition(tasks, "bucket", "salt") if tasks else full.repartition("bucket", "salt")
+    return ws.write(dealt.sortWithinPartitions("bucket", "salt", "key").mapInArrow(run, schema), name, tasks)
 
 
 def find_classes(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int, width: int, dtype, compare: Callable) -> DataFrame:
@@ -444,10 +447,10 @@ def find_classes(ws: Workspace, sigs: DataFrame, band_keys: Callable, need: int,
         several = reps.groupBy("bucket").agg(cell_count().alias("cells")).where("cells > 1").select("bucket")
         reps = ws.write(made.where("key = other").select("bucket", "key").join(several, "bucket").join(hot, ["bucket", "key"]), f"reps-{step}")
         now, step = reps.count(), step + 1
-        if not now or (last is not None and now >= last):  # those that haven't met do so in cross_links
+        if not now or (last is not None and now > FEWER * last):  # those that haven't met do so in cross_links
             break
         last = now
-        made = _settle(ws, _cells(reps, step), items, run, MADE, f"made-{step}")
+        made = _settle(ws, _cells(reps, step), items, run, MADE, f"made-{step}", tasks_for(ws.spark, now, CELL_ROWS))
         links = links.unionByName(made.where("key <> other").select("key", "other"))
     roots = ws.write(components(ws, links, "hot-cc"), "roots")
     more = cross_links(ws, hot, roots, items, lambda s: fold(band_keys(s), parts), need, width, dtype, compare)
@@ -571,16 +574,16 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
     Alternates large-star and small-star; each round is written to the shared folder.
     """
     edges = ws.write(links.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).where("u <> v").distinct(), f"{tag}-0")
-    step, seen = 0, None
+    step, seen, tasks = 0, None, tasks_for(ws.spark, edges.count(), EDGES)
     while True:
         # lows are tables of their own: the join of an item that many links share can then be split
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-low-{step}")
-        large = ws.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{tag}-large-{step}")
-        low = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-least-{step}")
+        low = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-low-{step}", tasks)
+        large = ws.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{tag}-large-{step}", tasks)
+        low = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-least-{step}", tasks)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         step += 1
-        edges = ws.write(small, f"{tag}-{step}")
+        edges = ws.write(small, f"{tag}-{step}", tasks)
         ws.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "low-", "large-", "least-")])
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

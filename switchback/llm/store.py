@@ -35,6 +35,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of a shuffle of so many rows, about `each` a task: no more than the session's."""
+    return max(1, min(int(spark.conf.get(PARTITIONS)), -(-rows // each)))
 
 
 class Workspace:
@@ -48,14 +54,20 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back; the shuffle files behind it go at once."""
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
+    def write(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+        """Write a table and read it back; the shuffle files behind it go at once.
+
+        tasks, if given, is the number of partitions of its shuffles.
+        """
+        want = {CLEANUP: "true"} | ({PARTITIONS: str(tasks)} if tasks else {})
+        before = {k: self.spark.conf.get(k) for k in want}
         try:
+            for k, v in want.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.at(name))
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
