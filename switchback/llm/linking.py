@@ -14,7 +14,8 @@ Steps, all distributed:
    components share, every two cells meet in a task, and all pairs of different components
    whose estimate passes are verified. A pair in several large buckets is tried in the
    first of its bands;
-5. `components`: smallest-label propagation with pointer jumping over verified links.
+5. `components`: links are contracted in pieces inside tasks, then large-star and small-star
+   rounds join what the pieces left apart.
 
 So every pair that shares a bucket and has enough equal samples is verified or is joined
 by pairs that were: nothing is capped, thinned before it is verified, or tried in part.
@@ -41,7 +42,8 @@ DEAL = 1 << 20  # band rows sorted and sent at once
 LOCAL = 256  # rows of a bucket in DEAL that make it hot
 FEWER = 0.9  # items that a round of cells may leave of those before; else cross_links does the rest
 CELL_ROWS = 512  # items of cells for a task
-EDGES = 1 << 15  # links for a task
+EDGES = 1 << 15  # links for a task of a shuffle
+PIECE = 1 << 18  # links that one task contracts
 
 SIGNED = "key long, size tinyint, sig binary, text string"  # what an operator gives: size is log2 of the text's bytes
 _LOW = np.uint64(0xFFFFFFFF)
@@ -568,13 +570,46 @@ def cross_links(ws: Workspace, members: DataFrame, roots: DataFrame, items: Data
     return None if more.isEmpty() else more
 
 
+def contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """(u, v), u > v: pieces of about PIECE links, each as stars around the smallest keys of its own components."""
+
+    def stars(held):
+        key, ends = np.unique(np.concatenate(held), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        comp = np.arange(len(key))
+        _merge(comp, a, b)
+        out = np.flatnonzero(comp != np.arange(len(key)))
+        return pa.RecordBatch.from_pydict({"u": pa.array(key[out]), "v": pa.array(key[comp[out]])})
+
+    def run(batches):
+        held, have = [], 0
+        for b in batches:
+            held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1).ravel())
+            have += b.num_rows
+            if have >= 2 * PIECE:
+                yield stars(held)
+                held, have = [], 0
+        if have:
+            yield stars(held)
+
+    return links.coalesce(tasks).mapInArrow(run, "u long, v long")
+
+
 def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
     """(key, root) for every key in a link; root is the smallest key of its component.
 
-    Alternates large-star and small-star; each round is written to the shared folder.
+    Pieces of the links are contracted inside tasks first, then large-star and small-star
+    alternate until nothing changes; each round is written to the shared folder.
     """
-    edges = ws.write(links.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).where("u <> v").distinct(), f"{tag}-0")
-    step, seen, tasks = 0, None, tasks_for(ws.spark, edges.count(), EDGES)
+
+    def state(edges):
+        return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    raw = ws.write(links.select(F.col("key").alias("u"), F.col("other").alias("v")).where("u <> v"), f"{tag}-links")
+    edges = ws.write(contracted(raw, -(-raw.count() // PIECE) or 1).distinct(), f"{tag}-0")
+    ws.drop(f"{tag}-links")
+    step, seen = 0, state(edges)
+    tasks = tasks_for(ws.spark, seen[0], EDGES)
     while True:
         # lows are tables of their own: the join of an item that many links share can then be split
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -585,7 +620,7 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
         step += 1
         edges = ws.write(small, f"{tag}-{step}", tasks)
         ws.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "low-", "large-", "least-")])
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(edges)
         if now == seen:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
         seen = now

@@ -318,3 +318,14 @@ def test_no_row_of_a_null_or_repeated_id_is_lost(spark, make_docs):
     assert got.columns == docs.columns and sorted(r.text for r in got.collect() if r.text) == sorted(texts) and got.where("text is null").count() == 2
     flags = near_dedup.near_duplicates(docs).collect()
     assert len(flags) == 9 and len({r.class_id for r in flags if r.doc_id is None and r.class_id is not None}) == 4
+
+
+def test_components_join_over_pieces_of_the_links(spark, monkeypatch):
+    """A path, a cycle, a star and pairs, cut into pieces of a few links."""
+    monkeypatch.setattr(linking, "PIECE", 3)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(k, k + 1) for k in range(100, 110)] + [(110, 100)] + [(200, k) for k in range(201, 220)] + [(300, 301), (303, 302), (5, 5), (300, 301)]
+    links = spark.createDataFrame(pairs, "key long, other long").repartition(7)
+    got = {r.key: r.root for r in linking.components(Workspace(spark, "test"), links).collect()}
+    want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 111)} | {k: 200 for k in range(200, 220)} | {300: 300, 301: 300, 302: 302, 303: 302}
+    assert got == want
+    assert linking.components(Workspace(spark, "test"), links.limit(0)).count() == 0
