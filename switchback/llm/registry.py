@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontam, language_id, licences, line_dedup, media, mixing, near_dedup, periodic, token_counts, token_output, toxicity
+from . import alignment, decontam, language_id, licences, line_dedup, media, mixing, near_dedup, periodic, token_counts, token_output, toxicity, vector_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_licences": licences.op9_licences,
     "op10_mixing": mixing.op10_mixing,
+    "op11_vector_dedup": vector_dedup.op11_vector_dedup,
     "op12_alignment": alignment.op12_alignment,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
