@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_000.0
 EARTH_MEAN_M = 6_371_008.8
 DEGREE_M = 111_320.0
-REACH_M = {"summit": 30, "lake": 100, "waterfall": 200, "viewpoint": 200, "campsite": 100}
+REACH_M = {"summit": 30, "trailhead": 100, "waterfall": 200, "viewpoint": 200, "campsite": 100}
 REACH_DEFAULT_M = 50
 MAX_REACH_M = 200
 

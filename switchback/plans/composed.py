@@ -109,7 +109,7 @@ def cells_and_tiles(spark, sf):
     return table(spark, sf, "destinations").select("id", geo.snap_cell("lat", "lng").alias("cell"), t["x"].alias("tx"), t["y"].alias("ty"))
 
 
-@plan("SELECT id, CASE WHEN list_contains(features, 'summit') THEN 30e0 WHEN list_contains(features, 'lake') THEN 100e0 WHEN list_contains(features, 'waterfall') THEN 200e0 ELSE 50e0 END AS reach FROM destinations")
+@plan("SELECT id, CASE WHEN list_contains(features, 'summit') THEN 30e0 WHEN list_contains(features, 'trailhead') THEN 100e0 WHEN list_contains(features, 'waterfall') THEN 200e0 ELSE 50e0 END AS reach FROM destinations")
 def reach_radius(spark, sf):
     return table(spark, sf, "destinations").select("id", geo.reach_radius_m("features").alias("reach"))
 

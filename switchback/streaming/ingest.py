@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LATE = "2 days"
+STORE_PARTS = 64  # folders of a batch in the store
 
 
 def read_points(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -33,15 +34,21 @@ def reprocess_touched(points: DataFrame, store: str, result: str, recompute: Cal
     """foreachBatch: append the batch's new rows, then compute anew the sessions it touched.
 
     Late data only makes a session touched again. Rows are written under the batch's number, so
-    a batch that is run again after a failure replaces what it wrote and adds nothing twice.
+    a batch that is run again after a failure replaces what it wrote and adds nothing twice. The
+    store has folders by a hash of the key: a batch opens those of its own sessions only, and
+    rows of other sessions there go before duplicates are looked for.
     """
 
     def step(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={no}")
-        touched = batch.select(key).distinct()
-        known = spark.read.option("basePath", store).parquet(store).drop("batch").dropDuplicates([key, "ts"])
-        recompute(known.join(touched, key, "left_semi")).withColumn("version", F.lit(no)).write.mode("overwrite").parquet(f"{result}/batch={no}")
+        batch = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(STORE_PARTS)).cast("int"))
+        batch.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={no}")
+        written = spark.read.schema(batch.schema).parquet(f"{store}/batch={no}")
+        touched = written.select(key, "part").distinct()
+        parts = [r.part for r in touched.select("part").distinct().collect()]
+        known = spark.read.schema(batch.schema).option("basePath", store).parquet(store).where(F.col("part").isin(parts))
+        known = known.join(touched.select(key), key, "left_semi").drop("part", "batch").dropDuplicates([key, "ts"])
+        recompute(known).withColumn("version", F.lit(no)).write.mode("overwrite").parquet(f"{result}/batch={no}")
 
     return points.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
