@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,8 +50,8 @@ def cluster_endpoints(points: DataFrame, radius_m: float) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of every edge; a loop once."""
-    back = edges.where("from_node <> to_node").withColumnsRenamed({"from_node": "to_node", "to_node": "from_node"}).select(edges.columns)
-    return edges.unionByName(back)
+    turned = {"from_node": "to_node", "to_node": "from_node"}
+    return edges.unionByName(edges.where("from_node <> to_node").select(*[F.col(turned.get(c, c)).alias(c) for c in edges.columns]))
 
 
 def node_edges(vertices: DataFrame, junctions: DataFrame, snap_m: float = 1.0) -> DataFrame:
@@ -78,56 +75,6 @@ def snap(points: DataFrame, lines: DataFrame, radius_m: float, key: str, line_id
     return near.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("distance_m", line_id))).where("__n = 1").drop("__n")
 
 
-PATH_SCHEMA = "origin long, target long, worst_rank int, miles double, hops int, unknown boolean"
-
-
-def best_path(start: int, targets: set, adj: dict, max_miles: float) -> dict | None:
-    """The path to a target with the least worst rank, then miles, then node id; unknown ranks come last and show."""
-    heap = [((0, 0.0, start), 0, False)]
-    done: set = set()
-    while heap:
-        (rank, miles, node), hops, unknown = heapq.heappop(heap)
-        if node in done:
-            continue
-        done.add(node)
-        if node in targets:
-            return {"target": node, "worst_rank": None if unknown else rank, "miles": miles, "hops": hops, "unknown": unknown}
-        for to, r, m in adj.get(node, ()):
-            if to in done or m is None or miles + m > max_miles:
-                continue
-            heapq.heappush(heap, ((max(rank, 99 if r is None else r), miles + m, to), hops + 1, unknown or r is None))
-    return None
-
-
-def approach_paths(origins: DataFrame, edges: DataFrame, anchors: DataFrame, reach_m: float = 40_000.0, max_miles: float = 60.0) -> DataFrame:
-    """Best path of each origin (origin, node, lat, lng) to an anchor (node) over edges in reach.
-
-    Edges (from_node, to_node, rank, miles, lat, lng) meet origins by a distance join, so a task
-    holds one origin's bounded sub-graph and the whole graph is never broadcast.
-    """
-    e = edges.select("from_node", "to_node", "rank", "miles", F.col("lat").alias("elat"), F.col("lng").alias("elng"))
-    e = e.join(anchors.select(F.col("node").alias("to_node"), F.lit(True).alias("to_anchor")), "to_node", "left").join(anchors.select(F.col("node").alias("from_node"), F.lit(True).alias("from_anchor")), "from_node", "left")
-    near = within_distance(e, origins, reach_m, left_xy=("elat", "elng"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict = {}
-        targets: set = set()
-        for r in pdf.itertuples():
-            rank = None if pd.isna(r.rank) else int(r.rank)
-            miles = None if pd.isna(r.miles) else float(r.miles)
-            adj.setdefault(r.from_node, []).append((r.to_node, rank, miles))
-            adj.setdefault(r.to_node, []).append((r.from_node, rank, miles))
-            if r.to_anchor is True:
-                targets.add(r.to_node)
-            if r.from_anchor is True:
-                targets.add(r.from_node)
-        got = best_path(int(pdf["node"].iloc[0]), targets, adj, max_miles)
-        cols = [c.split()[0] for c in PATH_SCHEMA.split(", ")]
-        return pd.DataFrame([{"origin": int(pdf["origin"].iloc[0]), **got}] if got else [], columns=cols)
-
-    return near.groupBy("origin").applyInPandas(walk, PATH_SCHEMA)
-
-
 def attempt_groups(bridge: DataFrame, least: int = 2, owner: DataFrame | None = None) -> DataFrame:
     """(session_id, attempt_group): sessions with `least` or more shared places, in components.
 

@@ -355,17 +355,6 @@ def endpoint_clusters(spark, sf):
     return graph.cluster_endpoints(table(spark, sf, "routes").select("id", "lat", "lng"), 1200.0).select("id", "cluster", "members")
 
 
-@plan()
-def approach_derivation(spark, sf):
-    """Grid graph with ranks from keys; origins and anchors are some of its nodes."""
-    n = spark.range(0, 900).select(F.col("id").alias("from_node"), (F.col("id") % 30).alias("x"), F.floor(F.col("id") / 30).alias("y"))
-    step = F.array(F.when(F.col("x") < 29, F.col("from_node") + 1), F.when(F.col("y") < 29, F.col("from_node") + 30))
-    e = n.withColumn("to_node", F.explode(step)).where("to_node is not null").select("from_node", "to_node", F.when(F.col("from_node") % 11 == 0, None).otherwise(F.col("from_node") % 4).cast("int").alias("rank"), F.lit(0.8).alias("miles"), (F.lit(46.0) + F.col("y") * 0.0145).alias("lat"), (F.lit(-115.0) + F.col("x") * 0.0145).alias("lng"))
-    o = n.where("from_node % 97 = 0").select(F.col("from_node").alias("origin"), F.col("from_node").alias("node"), (F.lit(46.0) + F.col("y") * 0.0145).alias("lat"), (F.lit(-115.0) + F.col("x") * 0.0145).alias("lng"))
-    a = n.where("from_node % 101 = 50").select(F.col("from_node").alias("node"))
-    return graph.approach_paths(o, e, a)
-
-
 # merges
 
 

@@ -106,15 +106,6 @@ def test_components(spark, seed):
     assert got == {x: root(x) for x in touched}
 
 
-def test_best_path_prefers_the_lower_worst_rank():
-    adj = {1: [(2, 3, 1.0), (3, 1, 5.0)], 2: [(4, 0, 1.0)], 3: [(4, 1, 5.0)]}
-    assert graph.best_path(1, {4}, adj, 60)["miles"] == 10.0
-    assert graph.best_path(1, {4}, adj, 6)["worst_rank"] == 3
-    assert graph.best_path(1, {4}, {1: [(4, None, 1.0)]}, 60)["worst_rank"] is None
-    assert graph.best_path(1, {9}, adj, 60) is None
-    assert heapq
-
-
 def test_greedy_dedupe_by_name(spark):
     rows = [(1, "a", 45.0, -119.0), (2, "a", 45.01, -119.0), (3, "a", 45.02, -119.0), (4, "b", 45.0, -119.0)]
     got = spatial.greedy_name_dedupe(spark.createDataFrame(rows, "id int, name string, lat double, lng double"), 1500.0)
