@@ -75,18 +75,30 @@ def snap(points: DataFrame, lines: DataFrame, radius_m: float, key: str, line_id
     return near.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("distance_m", line_id))).where("__n = 1").drop("__n")
 
 
-def attempt_groups(bridge: DataFrame, least: int = 2, owner: DataFrame | None = None) -> DataFrame:
-    """(session_id, attempt_group): sessions with `least` or more shared places, in components.
+ALIKE_DEG = 0.003  # fixed values: how far two lines of one outing may be apart, and their starts
+START_M = 10_000.0
 
-    The group is its smallest session, so the result doesn't depend on the order of matching.
+
+def attempt_groups(bridge: DataFrame, least: int = 2, owner: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """(session_id, attempt_group): sessions of one user with `least` or more shared places, in components.
+
+    With lines (session_id, path), a session that reached fewer than `least` places is tried by its
+    line: against all of its user's that start within START_M, alike if the Hausdorff distance is
+    below ALIKE_DEG. The group is its smallest session, so the order of matching doesn't matter.
     """
+    from .overlay import hausdorff_within
+
     b = bridge.select("session_id", "destination_id").distinct()
-    if owner is not None:
-        b = b.join(owner, "session_id")
-    else:
-        b = b.withColumn("user_id", F.lit(0))
+    many = b.groupBy("session_id").agg(F.count(F.lit(1)).alias("places"))
+    owners = owner if owner is not None else b.select("session_id").distinct().withColumn("user_id", F.lit(0))
+    b = b.join(many.where(F.col("places") >= least).select("session_id"), "session_id", "left_semi").join(owners, "session_id")
     o = b.select(F.col("session_id").alias("s2"), "destination_id", "user_id")
-    pairs = b.join(o, ["destination_id", "user_id"]).where("session_id < s2").groupBy("session_id", "s2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    pairs = b.join(o, ["destination_id", "user_id"]).where("session_id < s2").groupBy("session_id", "s2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("session_id", "s2")
+    if lines is not None:
+        starts = lines.join(owners, "session_id").where(F.size("path") > 0).select("session_id", "user_id", F.element_at("path", 1).alias("p")).select("session_id", "user_id", F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
+        few = starts.join(many, "session_id", "left").where(F.coalesce("places", F.lit(0)) < least).select(F.col("session_id").alias("b"), F.col("user_id").alias("user_b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+        close = within_distance(starts.withColumnRenamed("session_id", "a"), few, START_M, right_xy=("lat2", "lng2")).where("user_id = user_b and a <> b").select("a", "b")
+        pairs = pairs.unionByName(hausdorff_within(lines, settled(close), ALIKE_DEG, "session_id").select(F.col("a").alias("session_id"), F.col("b").alias("s2")))
     return components(pairs, "session_id", "s2").select(F.col("node").alias("session_id"), F.col("root").alias("attempt_group"))
 
 

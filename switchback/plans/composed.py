@@ -295,14 +295,14 @@ def session_detail(spark, sf):
 
 
 @plan("""SELECT x.session_id AS id, x.destination_id FROM session_destinations x JOIN sessions s ON s.id = x.session_id JOIN destinations d ON d.id = x.destination_id
-    WHERE s.is_public AND d.elevation >= 3000 AND list_contains(d.features, 'summit')""")
+    WHERE s.is_public AND d.elevation >= 2000 AND list_contains(d.features, 'summit')""")
 def composed_filters(spark, sf):
     """Filters that are set are applied, unset ones are not."""
     from switchback.operators import documents
 
     d = table(spark, sf, "destinations").select(F.col("id").alias("destination_id"), "elevation", "features")
     rows = table(spark, sf, "session_destinations").join(table(spark, sf, "sessions").select(F.col("id").alias("session_id"), "is_public", "user_id"), "session_id").join(d, "destination_id")
-    wanted = documents.all_of({"is_public": lambda v: F.col("is_public") == v, "least": lambda v: F.col("elevation") >= v, "feature": lambda v: F.array_contains("features", v), "users": lambda v: F.col("user_id").isin(v)}, is_public=True, least=3000, feature="summit", users=None)
+    wanted = documents.all_of({"is_public": lambda v: F.col("is_public") == v, "least": lambda v: F.col("elevation") >= v, "feature": lambda v: F.array_contains("features", v), "users": lambda v: F.col("user_id").isin(v)}, is_public=True, least=2000, feature="summit", users=None)
     return rows.where(wanted).select(F.col("session_id").alias("id"), "destination_id")
 
 
@@ -321,17 +321,6 @@ def simplified_tracks(spark, sf):
     return tracks.simplify(table(spark, sf, "points"), 800.0).select("session_id", "time")
 
 
-@plan()
-def pair_comparisons(spark, sf):
-    """All tracks against the next ones by number."""
-    from switchback.operators import efforts
-
-    s = tracks.sampled(table(spark, sf, "points"))
-    ids = s.select(F.col("session_id").alias("session_a")).distinct()
-    pairs = ids.join(ids.select((F.col("session_a") - 1).alias("session_a")), "session_a").select("session_a", (F.col("session_a") + 1).alias("session_b"))
-    return efforts.comparisons(s, pairs)
-
-
 @plan()
 def polyline_round_trip(spark, sf):
     r = _route_lines(spark, sf).select("route_id", F.transform("path", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("path"))
@@ -341,15 +330,6 @@ def polyline_round_trip(spark, sf):
 # graph
 
 
-@plan("""WITH RECURSIVE b AS (SELECT DISTINCT session_id, destination_id, s.user_id FROM session_destinations sd JOIN sessions s ON s.id = sd.session_id WHERE sd.relation = 'reached'),
-    e AS (SELECT x.session_id AS a, y.session_id AS b FROM b x JOIN b y ON x.user_id = y.user_id AND x.destination_id = y.destination_id AND x.session_id <> y.session_id GROUP BY x.session_id, y.session_id HAVING count(*) >= 2),
-    w(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b) SELECT node AS session_id, min(root) AS attempt_group FROM w GROUP BY node""")
-def attempt_groups(spark, sf):
-    """Sessions of one user that reached two places or more in common."""
-    b = table(spark, sf, "session_destinations").where("relation = 'reached'")
-    return graph.attempt_groups(b, 2, table(spark, sf, "sessions").select(F.col("id").alias("session_id"), "user_id"))
-
-
 @plan()
 def endpoint_clusters(spark, sf):
     return graph.cluster_endpoints(table(spark, sf, "routes").select("id", "lat", "lng"), 1200.0).select("id", "cluster", "members")
