@@ -131,6 +131,55 @@ def import_stats(points: DataFrame) -> DataFrame:
     return s.withColumn("mean_mps", F.when(F.col("seconds") > 0, F.col("metres") / F.col("seconds")))
 
 
+# Metres by a highest point, and how closed a track is and how well its ways match to be of a shape.
+TOP_M = 20.0
+CLOSED_SHARE = 0.05
+MATCH_M = 100.0
+MATCH_SAMPLES = 20
+
+
+def phases(points: DataFrame) -> DataFrame:
+    """(session_id, highest, ascent_s, still_s, descent_s): the time before, by and after the highest point.
+
+    By it means from the first to the last point within TOP_M of it; of equal heights the first
+    is the highest. The three add up to the whole time. Points without a height can't be it; a
+    session without any has no row.
+    """
+    order = F.struct("time", "event_id")
+    ends = points.groupBy("session_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
+    z = F.when(F.col("elevation").isNotNull() & ~F.isnan("elevation"), F.struct("elevation", (-F.col("time")).alias("t"), (-F.col("event_id")).alias("e")))
+    top = points.groupBy("session_id").agg(F.max_by(F.struct("lat", "lng", "elevation"), z).alias("top"), F.count(z).alias("n")).where("n > 0")
+    near = points.join(top, "session_id").where((geo.haversine_m("lat", "lng", "top.lat", "top.lng") < TOP_M))
+    at = near.groupBy("session_id").agg(F.first("top.elevation").alias("highest"), F.min_by("time", order).alias("a"), F.max_by("time", order).alias("b"))
+    return at.join(ends, "session_id").select("session_id", "highest", (F.col("a") - F.col("t0")).alias("ascent_s"), (F.col("b") - F.col("a")).alias("still_s"), (F.col("t1") - F.col("b")).alias("descent_s"))
+
+
+def shapes(points: DataFrame) -> DataFrame:
+    """(session_id, shape, turn): out_and_back with the number of its turning point, loop, or point_to_point.
+
+    A track that ends within CLOSED_SHARE of its length from its start is out and back if it has ten
+    points and the way back from the farthest point, at MATCH_SAMPLES places by number, is MATCH_M
+    from the way out on average or less, with some confidence; else a loop.
+    """
+    w = _track()
+    m = F.when(F.lag("lat").over(w).isNotNull(), geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))).otherwise(0.0)
+    t = points.select("session_id", "lat", "lng", (F.row_number().over(w) - 1).alias("i"), m.alias("m"))
+    s = t.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("total"), F.min_by(F.struct("lat", "lng"), "i").alias("a"), F.max_by(F.struct("lat", "lng"), "i").alias("z"))
+    closed = F.when(F.col("total") > 0, geo.haversine_m("a.lat", "a.lng", "z.lat", "z.lng") / F.col("total"))
+    s = s.withColumn("ratio", closed)
+    can = s.where((F.col("n") >= 10) & (F.col("ratio") < CLOSED_SHARE))
+    far = t.join(can, "session_id").groupBy("session_id", "n", "ratio").agg(F.max_by("i", F.struct(geo.haversine_m("a.lat", "a.lng", "lat", "lng"), -F.col("i"))).alias("turn"))
+    k = F.least(F.lit(MATCH_SAMPLES).cast("long"), F.col("turn") + 1, F.col("n") - F.col("turn"))
+    each = far.withColumn("k", k).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    each = each.select("session_id", "n", "ratio", "turn", F.floor(F.col("j") / F.col("k") * (F.col("turn") + 1)).alias("out"), (F.col("n") - 1 - F.floor(F.col("j") / F.col("k") * (F.col("n") - F.col("turn")))).alias("back"))
+    at = lambda c: t.select("session_id", F.col("i").alias(c), F.struct("lat", "lng").alias(f"p_{c}"))
+    gap = each.join(at("out"), ["session_id", "out"]).join(at("back"), ["session_id", "back"]).groupBy("session_id", "ratio", "turn").agg(F.avg(geo.haversine_m("p_out.lat", "p_out.lng", "p_back.lat", "p_back.lng")).alias("gap"))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.col("ratio") / 0.1) * 0.5 + (1 - F.col("gap") / 200) * 0.5))
+    back = gap.where((F.col("gap") < MATCH_M) & (sure > 0.5)).select("session_id", "turn")
+    shape = F.when((F.col("n") < 4) | F.col("ratio").isNull() | (F.col("ratio") >= CLOSED_SHARE), "point_to_point").when(F.col("turn").isNotNull(), "out_and_back").otherwise("loop")
+    return s.join(back, "session_id", "left").select("session_id", shape.alias("shape"), F.when(shape == "out_and_back", F.col("turn")).alias("turn"))
+
+
 def coverage(points: DataFrame, routes: DataFrame, radius_m: float = 30.0, least: float = 0.7) -> DataFrame:
     """Routes (route_id, vertex, vlat, vlng) whose vertices a session's points cover: share of vertices in reach."""
     from .spatial import within_distance

@@ -392,11 +392,6 @@ def set_intersect_except(d):
     return "SELECT destination_id FROM session_destinations WHERE source = 'manual' INTERSECT SELECT destination_id FROM lists WHERE ordinal <= 30 EXCEPT SELECT destination_id FROM session_destinations WHERE relation = 'goal' AND source = 'auto'"
 
 
-@q
-def recursive_areas(d):
-    return "WITH RECURSIVE up(id, depth) AS (SELECT 1, 0 UNION ALL SELECT id * 2, depth + 1 FROM up WHERE depth < 8) SELECT id, depth FROM up"
-
-
 @q
 def membership_diff(d):
     return """SELECT coalesce(o.list_id, n.list_id) AS list_id, coalesce(o.destination_id, n.destination_id) AS destination_id, CASE WHEN o.destination_id IS NULL THEN 'added' WHEN n.destination_id IS NULL THEN 'removed' WHEN o.ordinal <> n.ordinal THEN 'moved' ELSE 'same' END AS change
