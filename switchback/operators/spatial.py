@@ -109,29 +109,39 @@ def reference_match(reference: DataFrame, catalog: DataFrame, same_m: float = 15
     return reference.select("ref_id").join(best.select("ref_id", "id", "kind", "distance_m"), "ref_id", "left")
 
 
-def greedy_name_dedupe(df: DataFrame, radius_m: float = 1500.0, name: str = "name", order: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Keep a row unless an earlier kept one of the same name is within the radius; one name's rows go in order.
+def greedy_name_dedupe(df: DataFrame, radius_m: float = 1500.0, name: str = "name", order: tuple[str, ...] = ("id",), max_lat: float = 80.0) -> DataFrame:
+    """Keep a row (id, lat, lng, name) unless an earlier kept one of the same name is within the radius; ids are distinct.
 
-    The rule looks back at what was kept, so it is a grouped fold; groups are the rows of one name.
+    The rule looks back at what was kept, so it is a grouped fold. Rows that no chain of rows of
+    their name within the radius joins can't drop each other: a group is such a component, found
+    by cells, so a name that stands everywhere is as many groups as it has places. Rows without a
+    name or a place are kept.
     """
     import numpy as np
     import pandas as pd
 
-    schema = df.schema
+    from .graph import components
+
+    p = df.select("id", "lat", "lng", F.col(name).alias("__name"))
+    q = p.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("__name").alias("__name2"))
+    near = within_distance(p, q, radius_m, right_xy=("lat2", "lng2"), max_lat=max_lat).where("id < id2 and __name = __name2")
+    roots = components(near.select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    grouped = df.join(roots.withColumnsRenamed({"node": "id", "root": "__root"}), "id")
+
+    columns = df.columns
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
         lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
         keep: list[int] = []
         for i in range(len(pdf)):
-            if keep:
-                a = np.sin((lat[keep] - lat[i]) / 2) ** 2 + np.cos(lat[keep]) * np.cos(lat[i]) * np.sin((lng[keep] - lng[i]) / 2) ** 2
-                if (2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(a, 1))) <= radius_m).any():
-                    continue
-            keep.append(i)
-        return pdf.iloc[keep]
-
-    return df.groupBy(name).applyInPandas(fold, schema)
+            a = np.sin((lat[keep] - lat[i]) / 2) ** 2 + np.cos(lat[keep]) * np.cos(lat[i]) * np.sin((lng[keep] - lng[i]) / 2) ** 2
+            if not (2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(a, 1))) <= radius_m).any():
+                keep.append(i)
+        return pdf.iloc[keep][columns]
+
+    alone = df.join(roots.select(F.col("node").alias("id")), "id", "left_anti").select(columns)
+    return alone.unionByName(grouped.groupBy("__root").applyInPandas(fold, df.schema))
 
 
 def far_from(df: DataFrame, catalog: DataFrame, radius_m: float, key: str, **xy) -> DataFrame:

@@ -220,12 +220,6 @@ def name_proximity_dedupe(spark, sf):
     return spatial.greedy_name_dedupe(table(spark, sf, "destinations").select("id", "name", "lat", "lng"), 20000.0)
 
 
-@plan()
-def route_coverage(spark, sf):
-    v = _route_lines(spark, sf).select("route_id", F.posexplode("path").alias("vertex", "p")).select("route_id", "vertex", F.col("p.lat").alias("vlat"), F.col("p.lng").alias("vlng"))
-    return tracks.coverage(table(spark, sf, "points"), v, 30.0, 0.7).select("session_id", "route_id", "hit")
-
-
 # tracks
 
 

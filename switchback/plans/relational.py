@@ -115,7 +115,8 @@ def join_anti_rejections(d):
 
 @q
 def join_not_in(d):
-    return "SELECT id, name FROM destinations WHERE id NOT IN (SELECT destination_id FROM session_destinations WHERE destination_id IS NOT NULL AND relation = 'goal')"
+    return f"""SELECT id, name, prominence FROM destinations WHERE id NOT IN (SELECT destination_id FROM session_destinations sd JOIN sessions s ON s.id = sd.session_id WHERE s.start_time >= {d.ts('2001-06-01 00:00:00')})
+      AND prominence NOT IN (SELECT prominence FROM destinations WHERE prominence >= 900)"""
 
 
 @q
