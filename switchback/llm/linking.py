@@ -595,6 +595,11 @@ def contracted(links: DataFrame, tasks: int) -> DataFrame:
     return links.coalesce(tasks).mapInArrow(run, "u long, v long")
 
 
+def _with_roots(stars: DataFrame) -> DataFrame:
+    """(key, root) of stars (u, v), roots included."""
+    return stars.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+
+
 def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
     """(key, root) for every key in a link; root is the smallest key of its component.
 
@@ -606,8 +611,12 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
         return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     raw = ws.write(links.select(F.col("key").alias("u"), F.col("other").alias("v")).where("u <> v"), f"{tag}-links")
-    edges = ws.write(contracted(raw, -(-raw.count() // PIECE) or 1).distinct(), f"{tag}-0")
+    pieces = -(-raw.count() // PIECE) or 1
+    edges = contracted(raw, pieces)
+    edges = ws.write(edges if pieces == 1 else edges.distinct(), f"{tag}-0")
     ws.drop(f"{tag}-links")
+    if pieces == 1:  # one piece holds all links, so its stars are the components
+        return _with_roots(edges)
     step, seen = 0, state(edges)
     tasks = tasks_for(ws.spark, seen[0], EDGES)
     while True:
@@ -622,5 +631,5 @@ def components(ws: Workspace, links: DataFrame, tag: str = "cc") -> DataFrame:
         ws.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "low-", "large-", "least-")])
         now = state(edges)
         if now == seen:
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+            return _with_roots(edges)
         seen = now
