@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import along, merging, network, overlays, repeats, screens  # noqa: F401  they add their queries to COMPOSED
+from . import along, merging, network, overlays, reading, repeats, screens  # noqa: F401  they add their queries to COMPOSED
 from .composed import COMPOSED, COMPOSED_SQL
 from .dialect import Duck, Spark
 from .fixtures import with_views
