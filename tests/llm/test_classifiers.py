@@ -55,6 +55,32 @@ def test_kneser_ney_equals_its_definition_and_sums_to_one(spark):
         assert abs(total - 1) < 1e-5
 
 
+def test_a_cut_model_still_sums_to_one(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["the cat sat on the mat and the dog in the rain " + prose(rng, 30) for _ in range(20)]
+    whole = model_of(spark, texts)
+    monkeypatch.setattr(language_id, "KEEP", 60)
+    cut = model_of(spark, texts)
+    assert len(cut.gram[5]) < len(whole.gram[5]) / 4 and 30 < len(cut.gram[5]) < 100
+    alphabet = sorted(set("".join(texts)))
+    for context in (" the", "ing ", " and", "    ", "zqxj"):
+        p = [float(np.exp(cut.log_prob(tc.prefix_hash(np.array([ord(x) for x in context + c], np.uint32)), np.array([5]), len(alphabet)))[0]) for c in alphabet]
+        assert abs(sum(p) - 1) < 1e-5
+
+
+def test_a_language_whose_n_grams_are_equally_rare_keeps_a_model(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "KEEP", 50)
+    signs = "".join(chr(0x4E00 + k) for k in range(200))
+    rows = [("xx", signs), *[("en", "the cat and the dog " * 3)] * 5]
+    got = language_id.models(language_id.gram_counts(spark.createDataFrame(rows, "lang string, text string")))
+    assert set(got) == {"en", "xx"} and 20 < len(got["xx"].gram[1]) < 100
+    model = language_id.Identifier(got)
+    docs = spark.createDataFrame([(signs[20:60], 1, "a", "b"), ("the dog", 2, "a", "b")], "text string, score int, __text string, row string")
+    out = language_id.identify(docs, model)
+    assert out.columns == ["__text", "row", "lang_pred", "score", "cross_entropy", "rejected"]
+    assert [r.lang_pred for r in out.collect()] == ["xx", "en"]
+
+
 def test_counts_of_a_model_cover_all_texts(spark):
     """Counts grow with the labelled rows, whatever their number."""
     rows = lambda n: spark.createDataFrame([("xx", f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}") for k in range(n)], "lang string, text string")
