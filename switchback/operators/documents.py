@@ -35,6 +35,11 @@ def merged(old: Column, new: Column) -> Column:
 
 
 def in_order(rows: DataFrame, key: str, ids: list) -> DataFrame:
-    """The rows of a list of keys, with their place in it, sorted by that; keys without a row are left out."""
-    place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(key))
-    return rows.where(F.col(key).isin(ids)).withColumn("place", place).orderBy("place")
+    """The rows of a list of keys, with their place in it, sorted by that; keys without a row are left out, a repeated key counts at its first place.
+
+    The list comes from a caller, so it is small: a table of two columns, broadcast.
+    """
+    first = {v: k for k, v in reversed(list(enumerate(ids, 1)))}
+    kind = rows.schema[key].dataType.simpleString()
+    wanted = rows.sparkSession.createDataFrame([(v, k) for v, k in first.items()], f"{key} {kind}, place long")
+    return rows.join(F.broadcast(wanted), key).select(*rows.columns, "place").orderBy("place")

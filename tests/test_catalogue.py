@@ -10,8 +10,9 @@ def test_query_equals_its_sql(name, spark, sf, con):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_runs(name, spark, sf):
-    assert catalogue.QUERIES[name](spark, sf).count() > 0
+def test_query_runs(name, spark):
+    """On the scale that results are compared at; the smallest has too few points for some."""
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
