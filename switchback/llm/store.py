@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, else the warehouse; a local one only for a local master, as in tests."""
+    """The folder named by spark.checkpoint.dir, with its scheme; a local one only for a local master, as in tests.
+
+    A cluster that names none is refused: each machine would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local["):
-        root = spark.conf.get("spark.sql.warehouse.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = f"file://{tempfile.gettempdir()}/switchback-{spark.sparkContext.applicationId}"
+    if ":" not in root.split("/")[0]:  # a path of the default file system, which tasks can't tell from a local one
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
     return root.rstrip("/")
 
 

@@ -200,3 +200,16 @@ def test_pipeline_on_small_tables(spark, make_docs, folder):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and set(ids) <= set(range(120)) and len(ids) > 80
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_output"]
     assert re and pa
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from switchback.llm import store
+
+    none = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        store.shared_root(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: "/shared/x/"), sparkContext=spark.sparkContext, _jvm=spark._jvm, _jsc=spark._jsc)
+    assert store.shared_root(named) == "file:/shared/x"
