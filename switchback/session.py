@@ -27,8 +27,11 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: spark.checkpoint.dir, else the warehouse; a local one only for a local master."""
+    """The folder that all executors reach, named by spark.checkpoint.dir; a local one only for a local master.
+
+    A cluster that names none is refused: each machine would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        root = spark.conf.get("spark.sql.warehouse.dir")
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     return (root or f"file://{tempfile.gettempdir()}/switchback-{spark.sparkContext.applicationId}").rstrip("/")
