@@ -54,7 +54,7 @@ class Lines:
         self.raw = data.tobytes()
 
     def keys(self, at: np.ndarray) -> np.ndarray:
-        """xxhash64 of the lines' bytes."""
+        """64-bit XXH3 of the lines' bytes."""
         return np.array([xxhash.xxh3_64_intdigest(self.raw[a:b]) for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], np.uint64).view(np.int64)
 
     def texts(self, at: np.ndarray) -> pa.Array:

@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, uri: str, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([no], pa.int32()), "path": [name.rpartition("/")[2]], "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64())})
 
     files = src.mapInArrow(run, "file_no int, path string, docs long, tokens long")
-    rows = sorted(files.collect())  # one row a file: as many as shuffle partitions at most
+    rows = sorted(files.collect())  # one row a file: a file for FILE_BYTES of text, or as many as shuffle partitions
     out, start = [], 0
     for r in rows:
         out.append((r.file_no, r.path, r.docs, r.tokens, start))

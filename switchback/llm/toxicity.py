@@ -16,7 +16,10 @@ CLEAN_SAMPLE other labelled rows, by hash, of those whose crc32(doc_id) mod 4 is
 
 Defined cases: null, empty and word-less texts score like texts without a match;
 repeated rows are scored each; without labels of both kinds the defaults hold; a null
-doc_id is never held out and never learned from. Texts of any length are scored whole.
+doc_id is never held out and never learned from; of several labels of one doc_id the
+highest counts; an empty table gives no rows. Texts of any length are scored whole. The
+score is a probability under the labels' own share of toxic texts: where that is over
+THRESHOLD, a text without a match is over it, too, and the pipeline's stage keeps nothing.
 """
 
 from __future__ import annotations
