@@ -9,12 +9,13 @@ Scored n-grams are looked up through a bounded worker cache.
 
 Counts come from all labelled texts outside the held-out fold, in every language that has
 one, so what is gathered grows with the corpus: tasks count their n-grams of the highest
-order, and Spark adds them up; lower orders follow from the distinct ones. Of each order
-and language a model keeps the KEEP most frequent n-grams (of those tied at the limit a share
-drawn by hash, so KEEP holds on average) and their contexts, so what is broadcast has a bound
-for each language. What the n-grams that go weigh is added to their context's weight of the
-lower order: the probabilities after a context still sum to one, and a language with a large
-corpus is at no disadvantage. Only calibration uses a bounded sample, CALIBRATION texts a
+order, and Spark adds them up; lower orders follow from the distinct ones. No n-gram is left
+out. Models of at most KEEP n-grams an order and language are broadcast whole. Larger ones
+stay tables: they are dealt over parts by the two symbols before an n-gram's last, which all
+its orders from three share (the few of orders one and two go to every part), and the distinct
+n-grams of the texts meet them there, with the same arrays and sums as in a broadcast. Of the
+probabilities found, the most frequent n-grams' (CACHED numbers) are broadcast; texts get those
+of all other n-grams by a join. Only calibration uses a bounded sample, CALIBRATION texts a
 language of a sixteenth of the labelled rows.
 
 Defined cases: null texts and texts without a letter are 'und' with score 0; empty tables
@@ -25,26 +26,31 @@ name stay, but for those named like a result, which are replaced.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from . import textcore as tc
 from .store import Workspace, small_batches
 
 ORDER = 5
 CALIBRATION = 80
-KEEP = 150_000
+KEEP = 150_000  # n-grams of an order and language in a model that is broadcast
+PART_GRAMS = 1 << 17  # n-grams of a part of models that are tables
 FLUSH = 1 << 21  # n-grams merged at once in a task
 DISCOUNT = 0.75
 REJECT_QUANTILE = 0.999
 MARGIN = 1.15
-CACHED = 1 << 22  # probabilities in a worker's cache: n-grams times languages
+CACHED = 1 << 22  # probabilities in a worker's cache or a broadcast: n-grams times languages
 _PAD = ORDER - 1
+_DOUBLES = ArrayType(DoubleType())
 _workers: dict[str, tuple] = {}
 
 
@@ -111,36 +117,98 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def models(counts: DataFrame, ws: Workspace | None = None) -> dict[str, Model]:
-    """Models by language from (lang, gram, n) of the highest order."""
-    ws = ws or Workspace(counts.sparkSession, "language-models")
-    tables: dict[str, dict[int, tuple]] = {}
+def orders(counts: DataFrame, ws: Workspace, name: str = "order") -> dict[int, DataFrame]:
+    """(lang, gram, n) by order, from those of the highest one."""
+    tables = {}
     for m in range(ORDER, 0, -1):
-        counts = ws.write(counts, f"order-{m}")
-        ctx = F.expr(f"left(gram, {m - 1})")
-        marked = counts.join(F.broadcast(least_counts(counts)), "lang").withColumn("ctx", ctx)
-        tied = F.pmod(F.xxhash64("gram"), F.lit(1 << 30)) < F.col("share") * float(1 << 30)
-        marked = marked.withColumn("keep", (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & tied))
-        own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
-        totals = marked.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("keep"), own).otherwise(0.0)).alias("held"))
-        kept = marked.where("keep").join(totals, ["lang", "ctx"])
+        tables[m] = ws.write(counts, f"{name}-{m}")
+        counts = tables[m].select("lang", F.expr(f"right(gram, {m - 1})").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return tables
 
-        def hashed(batches, m=m):
-            for b in batches:
-                sym = np.frombuffer("".join(b.column(1).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-                h, start = tc.prefix_hash(sym), m * np.arange(b.num_rows)
-                n, total, held = (b.column(k).to_numpy().astype(float) for k in (2, 3, 4))
-                context = tc.span_hash(h, start, start + m - 1) if m > 1 else np.zeros(len(n), np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tc.span_hash(h, start, start + m).view(np.int64)), pa.array(context.view(np.int64)), pa.array((np.maximum(n - DISCOUNT, 0) / total).astype(np.float32)), pa.array((1 - held / total).astype(np.float32))], names=["lang", "gram", "ctx", "prob", "back"])
 
-        rows = ws.write(kept.select("lang", "gram", "n", "total", "held").mapInArrow(hashed, "lang string, gram long, ctx long, prob float, back float"), f"kept-{m}")
+def weighed(counts: DataFrame, m: int, keep=None, part=None) -> DataFrame:
+    """(part, lang, gram, ctx, prob, back), n-grams and contexts as hashes, from (lang, gram, n) of order m.
+
+    keep, if given, says which n-grams stay; what the others weigh goes to `back`.
+    """
+    marked = counts.withColumn("ctx", F.expr(f"left(gram, {m - 1})")).withColumn("keep", F.lit(True) if keep is None else keep)
+    own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
+    totals = marked.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("keep"), own).otherwise(0.0)).alias("held"))
+    kept = marked.where("keep").join(totals, ["lang", "ctx"])
+
+    def hashed(batches):
+        for b in batches:
+            sym = np.frombuffer("".join(b.column(2).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            h, start = tc.prefix_hash(sym), m * np.arange(b.num_rows)
+            n, total, held = (b.column(k).to_numpy().astype(float) for k in (3, 4, 5))
+            context = tc.span_hash(h, start, start + m - 1) if m > 1 else np.zeros(len(n), np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tc.span_hash(h, start, start + m).view(np.int64)), pa.array(context.view(np.int64)), pa.array((np.maximum(n - DISCOUNT, 0) / total).astype(np.float32)), pa.array((1 - held / total).astype(np.float32))], names=["part", "lang", "gram", "ctx", "prob", "back"])
+
+    part = F.lit(0) if part is None else part
+    return kept.select(part.cast("int").alias("part"), "lang", "gram", "n", "total", "held").mapInArrow(hashed, "part int, lang string, gram long, ctx long, prob float, back float")
+
+
+def models(counts: DataFrame | dict[int, DataFrame], ws: Workspace | None = None) -> dict[str, Model]:
+    """Models by language from (lang, gram, n) of the highest order, or of all; more than KEEP n-grams are cut, so `train` asks for none such."""
+    if not isinstance(counts, dict):
+        ws = ws or Workspace(counts.sparkSession, "language-models")
+        counts = orders(counts, ws)
+    tables: dict[str, dict[int, tuple]] = {}
+    for m, table in counts.items():
+        tied = F.pmod(F.xxhash64("gram"), F.lit(1 << 30)) < F.col("share") * float(1 << 30)
+        keep = (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & tied)
+        rows = ws.write(weighed(table.join(F.broadcast(least_counts(table)), "lang"), m, keep).drop("part"), f"kept-{m}")
         for lang in [r.lang for r in rows.select("lang").distinct().collect()]:
             t = rows.where(F.col("lang") == lang).drop("lang").toArrow()  # about KEEP rows of 24 bytes at most
             tables.setdefault(lang, {})[m] = tuple(t.column(k).to_numpy() for k in range(4))
-        counts = counts.select("lang", F.expr(f"right(gram, {m - 1})").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     return {lang: Model(orders) for lang, orders in sorted(tables.items())}
 
 
+def near(m: int, parts: int):
+    """Part of an n-gram of order m: by the two symbols before its last."""
+    return F.pmod(F.xxhash64(F.expr(f"substring(gram, {m - 2}, 2)")), F.lit(parts)).cast("int")
+
+
+def whole_models(tables: dict[int, DataFrame], parts: int, ws: Workspace) -> DataFrame:
+    """(part, lang, gram, ctx, prob, back, m): every n-gram of all models; those of orders one and two in every part."""
+    out = None
+    for m, table in tables.items():
+        rows = weighed(table, m, part=near(m, parts) if m > 2 else None)
+        if m <= 2:
+            rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = rows.withColumn("m", F.lit(m))
+        out = rows if out is None else out.unionByName(rows)
+    return ws.write(out, "whole")
+
+
+def probabilities(texts: DataFrame, model: Identifier, ws: Workspace) -> DataFrame:
+    """(gram, ln, n): for each distinct n-gram of order ORDER of the texts its hash, ln p under every language and number."""
+    names, alphabet = model.names, model.alphabet
+    asked = gram_counts(texts.select(F.lit("").alias("lang"), "text")).select(near(ORDER, model.parts).alias("part"), "gram", "n")
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        k = asked.num_rows
+        ln, hashes = np.zeros((k, len(names)), np.float32), np.zeros(k, np.uint64)
+        text = asked.column("gram").to_pylist()
+        sets = []
+        for lang in names if k else ():
+            own = rows.filter(pc.equal(rows.column("lang"), lang))
+            by = {m: own.filter(pc.equal(own.column("m"), m)) for m in range(1, ORDER + 1)}
+            sets.append(Model({m: tuple(t.column(c).to_numpy() for c in ("gram", "ctx", "prob", "back")) for m, t in by.items()}))
+        for a in range(0, k, tc.BITE):
+            part = text[a : a + tc.BITE]
+            h = tc.prefix_hash(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32))
+            end = ORDER * np.arange(1, len(part) + 1)
+            hashes[a : a + len(part)] = tc.span_hash(h, end - ORDER, end)
+            for c, one in enumerate(sets):
+                ln[a : a + len(part), c] = one.log_prob(h, end, alphabet)
+        lists = pa.ListArray.from_arrays(pa.array(len(names) * np.arange(k + 1), pa.int32()), pa.array(ln.ravel()))
+        return pa.table({"gram": pa.array(hashes.view(np.int64)), "ln": lists, "n": asked.column("n").combine_chunks()})
+
+    met = asked.groupBy("part").cogroup(model.whole.groupBy("part")).applyInArrow(run, "gram long, ln array<float>, n long")
+    return ws.write(met, f"probabilities-{uuid.uuid4().hex}")
+
+
 def least_counts(counts: DataFrame) -> DataFrame:
     """(lang, least, share): all n-grams above the count `least` and this share of those at it are the KEEP most frequent of a language; from a table of counts of counts."""
     of = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("c"))
@@ -182,12 +250,20 @@ class Model:
 
 
 class Identifier:
-    """All languages' models with calibration."""
+    """All languages' models with calibration. Models that are too large to hold are in the table `whole`, of so many parts."""
 
-    def __init__(self, models: dict[str, Model]):
-        self.names, self.models = list(models), list(models.values())
-        self.alphabet = max([m.symbols for m in self.models], default=0) + 64
+    def __init__(self, models: dict[str, Model] | list[str], symbols: int | None = None, whole: DataFrame | None = None, parts: int = 0):
+        self.names = list(models)
+        self.models = list(models.values()) if whole is None else []
+        self.alphabet = (max([m.symbols for m in self.models], default=0) if symbols is None else symbols) + 64
         self.slope, self.limit = 10.0, np.full(len(self.names), np.inf)
+        self.whole, self.parts = whole, parts
+
+    def bare(self) -> Identifier:
+        """What `predict` needs."""
+        out = Identifier({})
+        out.names, out.slope, out.limit = self.names, self.slope, self.limit
+        return out
 
     def entropies(self, data: np.ndarray, off: np.ndarray, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages cross-entropy per symbol, symbols scored per text)."""
@@ -238,17 +314,56 @@ class Cache:
         return val
 
 
+class Known:
+    """ln p of frequent n-grams under all languages as a sorted table (gram, ln); all others have the last row, of zeros."""
+
+    def __init__(self, rows: pa.Table, languages: int):
+        gram = rows.column("gram").to_numpy().view(np.uint64)
+        ln = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in rows.column("ln").chunks)]).reshape(-1, languages)
+        order = np.argsort(gram)
+        self.gram, self.table = gram[order], np.concatenate([ln[order], np.zeros((1, languages), np.float32)])
+
+    def rows(self, g: np.ndarray, memo: tc.Memo) -> np.ndarray:
+        val, miss = memo.get(g)
+        if miss.any():
+            at = np.flatnonzero(miss)
+            u, inv = np.unique(g[at], return_inverse=True)
+            new = np.full(len(u), len(self.gram))
+            if len(self.gram):
+                k = np.minimum(np.searchsorted(self.gram, u), len(self.gram) - 1)
+                new = np.where(self.gram[k] == u, k, new)
+            memo.put(u, new)
+            val[at] = new[inv]
+        return val
+
+
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of (gram, ln, n) to broadcast: all if they are `most` at most, else only those more frequent than at least so many leave out."""
+    many = table.count()
+    if many <= most:
+        return table
+    return table.where(F.col("n") > table.agg(F.percentile_approx("n", 1 - most / many, 100_000)).first()[0])
+
+
 def train(docs: DataFrame, ws: Workspace | None = None) -> Identifier:
     """Fit on all rows with a text and a language whose fold is not 2."""
     ws = ws or Workspace(docs.sparkSession, "language-id")
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(True))).select("doc_id", "lang", "text")
     spare = F.pmod(F.xxhash64("text"), F.lit(16)) == 0
-    learned = models(gram_counts(rows.where(~spare)), ws)
+    tables = orders(gram_counts(rows.where(~spare)), ws)
+    learned = {r.lang for r in tables[1].select("lang").distinct().collect()}
     rare = [r.lang for r in rows.select("lang").distinct().toLocalIterator() if r.lang not in learned]
     if rare:  # languages whose few rows are all spare
-        learned |= models(gram_counts(rows.where(F.col("lang").isin(rare))), ws)
-    model = Identifier(dict(sorted(learned.items())))
+        more = orders(gram_counts(rows.where(F.col("lang").isin(rare))), ws, "rare")
+        tables = {m: t.unionByName(more[m]) for m, t in tables.items()}
+    each = [t.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).withColumn("m", F.lit(m)) for m, t in tables.items()]
+    sizes = functools.reduce(DataFrame.unionByName, each).collect()  # a row an order and language
+    if all(r.c <= KEEP for r in sizes):
+        model = Identifier(models(tables, ws))
+    else:
+        parts = -(-sum(r.c for r in sizes) // PART_GRAMS)
+        model = Identifier(sorted({r.lang for r in sizes}), max(r.c for r in sizes if r.m == 1), whole_models(tables, parts, ws), parts)
     # a random number under a bound set by the language's count leaves about four times the sample, whatever the table's size
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     pool = rows.where(spare).withColumn("draw", draw)
@@ -256,26 +371,77 @@ def train(docs: DataFrame, ws: Workspace | None = None) -> Identifier:
     some = pool.join(F.broadcast(share), "lang").where("draw < share").select("lang", "draw", "text")
     sample = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).where(F.col("k") <= CALIBRATION)
     if model.names:
-        calibrate(model, sample.select("lang", "text"))
+        calibrate(model, sample.select("lang", "text"), ws)
     return model
 
 
-def calibrate(model: Identifier, sample: DataFrame) -> None:
-    """Slope of the softmax by likelihood; each language's limit by a quantile of its own texts. Texts are scored in tasks."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Identifier, ws: Workspace) -> DataFrame:
+    """(row, ent, n): cross-entropies under all languages, and the number of symbols scored, of rows (row, text)."""
+    tag, width = uuid.uuid4().hex, len(model.names)
+    made = pa.list_(pa.float64())
 
-    def run(batches):
-        cache = Cache(len(shared.value.names))
+    def mine(new):
+        """What this worker keeps while it scores these rows."""
+        tc.claim(_workers)
+        if tag not in _workers:
+            _workers.clear()
+            _workers[tag] = (new(),)
+        return _workers[tag][0]
+
+    if model.whole is None:
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            cache = mine(lambda: Cache(width))
+            for b in batches:
+                for i, j, data, off in tc.chunks(b.column(1)):
+                    ent, n = shared.value.entropies(data, off, cache)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(ent.tolist(), made), pa.array(n)], names=["row", "ent", "n"])
+
+        return rows.mapInArrow(run, rows.select("row").schema.add("ent", _DOUBLES).add("n", "long"))
+
+    table = probabilities(rows.select("text"), model, ws)
+    head = frequent(table, CACHED // width)
+    known = rows.sparkSession.sparkContext.broadcast(Known(head.select("gram", "ln").toArrow(), width))
+
+    def look_up(batches):
+        from pyspark import TaskContext
+
+        memo, have = mine(lambda: tc.Memo(21)), known.value
+        no = TaskContext.get().partitionId() << 40
         for b in batches:
             for i, j, data, off in tc.chunks(b.column(1)):
-                ent, n = shared.value.entropies(data, off, cache)
-                has = n > 0
-                yield pa.RecordBatch.from_pydict({"lang": b.column(0).slice(i, j - i).filter(pa.array(has)), "ent": pa.array(ent[has].tolist(), pa.list_(pa.float64()))})
-
+                sym, so = letters(data, off)
+                _, g, _ = gram_hashes(sym, so)
+                n = np.diff(so) - _PAD
+                sums, has = np.zeros((len(n), width)), np.flatnonzero(n)
+                at = have.rows(g, memo)
+                if len(has):
+                    sums[has] = -np.add.reduceat(have.table[at], (np.cumsum(n) - n)[has], axis=0, dtype=np.float64)
+                other = at == len(have.gram)
+                cut = np.append(0, np.cumsum(other))[np.append(0, np.cumsum(n))]
+                rest = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(g[other].view(np.int64)))
+                ids = pa.array(no + np.arange(len(n)))
+                no += len(n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), ids, pa.array(sums.tolist(), made), pa.array(n), rest], names=["row", "id", "sums", "n", "rest"])
+
+    got = rows.mapInArrow(look_up, rows.select("row").schema.add("id", "long").add("sums", _DOUBLES).add("n", "long").add("rest", ArrayType(LongType())))
+    total = F.col("sums")
+    if head is not table:  # n-grams that are not broadcast: rare ones, so no key of the join is frequent
+        got = ws.write(got, f"sums-{tag}")  # once, as ids are a task's
+        asked = got.select("id", F.explode("rest").alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("c"))
+        more = asked.join(table, "gram").groupBy("id").agg(F.array(*[F.sum(F.col("ln")[k].cast("double") * F.col("c")) for k in range(width)]).alias("more"))
+        got = got.drop("rest").join(more, "id", "left")
+        total = F.when(F.col("more").isNull(), total).otherwise(F.zip_with("sums", "more", lambda x, y: x - y))
+    return got.select("row", F.transform(total, lambda x: x / F.greatest("n", F.lit(1))).alias("ent"), "n")
+
+
+def calibrate(model: Identifier, sample: DataFrame, ws: Workspace) -> None:
+    """Slope of the softmax by likelihood; each language's limit by a quantile of its own texts. Texts are scored in tasks."""
     ents, y = [], []
-    for r in sample.mapInArrow(run, "lang string, ent array<double>").toLocalIterator():
+    for r in scored(sample.select(F.struct("lang").alias("row"), "text"), model, ws).where("n > 0").toLocalIterator():
         ents.append(r.ent)
-        y.append(model.names.index(r.lang))
+        y.append(model.names.index(r.row.lang))
     if not y:
         return
     e, y = np.array(ents), np.array(y)
@@ -294,33 +460,26 @@ def calibrate(model: Identifier, sample: DataFrame) -> None:
 def identify(docs: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
     """`docs` without the text, with lang_pred, score, cross_entropy and rejected."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    tag = uuid.uuid4().hex
     made = ["lang_pred", "score", "cross_entropy", "rejected"]
     rest = [c for c in docs.columns if c != text and c not in made]
     row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("__none"))
     src = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    found = scored(src, model, Workspace(docs.sparkSession, "languages"))
+    bare = model.bare()
 
     def run(batches):
-        model = shared.value
-        tc.claim(_workers)
-        if tag not in _workers:
-            _workers.clear()
-            _workers[tag] = (Cache(len(model.names)),)
-        (cache,) = _workers[tag]
-        names = np.array([*model.names, "und"], object)
+        names = np.array([*bare.names, "und"], object)
         for b in batches:
             pred, score, ent, rej = np.full(b.num_rows, len(names) - 1), np.zeros(b.num_rows), np.full(b.num_rows, np.nan), np.zeros(b.num_rows, bool)
-            for i, _, data, off in tc.chunks(b.column(1)):
-                e, n = model.entropies(data, off, cache)
-                has = np.flatnonzero(n > 0)
-                if len(has) and model.names:
-                    best, p, r = model.predict(e[has])
-                    pred[i + has], score[i + has], ent[i + has], rej[i + has] = best, p, e[has, best], r
+            has = np.flatnonzero(b.column(2).to_numpy() > 0)
+            if len(has) and bare.names:
+                e = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)[has]
+                best, p, r = bare.predict(e)
+                pred[has], score[has], ent[has], rej[has] = best, p, e[np.arange(len(has)), best], r
             cols = [pa.array(names[pred].tolist(), pa.string()), pa.array(score), pa.array(ent, from_pandas=True), pa.array(rej)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["row", *made])
 
-    got = src.mapInArrow(run, src.select("row").schema.add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("rejected", "boolean"))
+    got = found.mapInArrow(run, src.select("row").schema.add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("rejected", "boolean"))
     return got.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], *made)
 
 

@@ -99,6 +99,24 @@ def test_languages(spark, make_docs, folder):
     assert all(0 <= r.score <= 1 for r in got.values()) and 20 < sum(r.held_out for r in got.values()) < 90
 
 
+def test_n_grams_beyond_the_broadcast_count_too(spark, make_docs, folder, monkeypatch):
+    """Models over the limit of a broadcast, and n-grams over that of their probabilities, give what whole models give."""
+    rng = random.Random(5)
+    lo, hi = "alpha bravo delta gamma zeta theta omega sigma".split(), "ubo wiku xyne qorra vypp jumo kizz\u0434\U00010400".split()
+    rows = [(i, prose(rng, rng.randrange(1, 40), lo if i % 2 else hi), "aa" if i % 2 else "bb", "s") for i in range(120)]
+    folder.write("documents", make_docs(rows + [(0, rows[0][1], "bb", "s"), (900, None, "aa", "s"), (901, "123 ...", "bb", "s"), (None, "delta ubo", None, "s")]))
+    run = lambda: sorted(tuple(-1 if v is None else v for v in r) for r in language_id.op1_language_id(spark, folder.path).collect())
+    want = run()
+    monkeypatch.setattr(language_id, "KEEP", 60)
+    monkeypatch.setattr(language_id, "PART_GRAMS", 200)
+    for most in (1 << 22, 600, 0):
+        monkeypatch.setattr(language_id, "CACHED", most)
+        got = run()
+        assert len(got) == len(want) == 124
+        for a, b in zip(got, want, strict=True):
+            assert a[:3] == b[:3] and a[5] == b[5] and abs(a[3] - b[3]) < 1e-6 and abs(a[4] - b[4]) < 1e-6
+
+
 def test_languages_without_labels(spark, make_docs):
     docs = make_docs([(i, t, None, s) for i, t, _, s in AWKWARD])
     got = language_id.identify(docs, language_id.train(docs)).collect()
