@@ -45,7 +45,7 @@ CELL_ROWS = 512  # items of cells for a task
 EDGES = 1 << 15  # links for a task of a shuffle
 PIECE = 1 << 18  # links that one task contracts
 
-SIGNED = "key long, size tinyint, sig binary, text string"  # what an operator gives: size is log2 of the text's bytes
+SIGNED = "key long, size tinyint, sig binary, text string"  # what an operator gives: size is log2 of the text's bytes; text may be any binary that its compare reads
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -500,7 +500,7 @@ def items_of(ws: Workspace, sigs: DataFrame, members: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_bitmap(shared.value, b.column(0).to_numpy())))
 
-    rows = sigs.select("key", "sig", "text").mapInArrow(run, "key long, sig binary, text string")
+    rows = sigs.select("key", "sig", "text").mapInArrow(run, sigs.select("key", "sig", "text").schema)
     return ws.write(rows.groupBy("key").agg(F.first(F.struct("sig", "text")).alias("v")).select("key", "v.sig", "v.text"), "items")
 
 

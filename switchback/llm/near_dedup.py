@@ -1,10 +1,10 @@
 """MinHash near-dedup (operator 5): improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five lower-cased words; a shingle's weight is its count in the text times
-1 + ln((1 + N) / (1 + max(df, HEAVY * N))). Shingles rarer than HEAVY of the texts thus
-share one weight, so only frequent ones need a table: at most 2 * (mean shingles per
-text) / HEAVY candidates, found with mergeable summaries and then counted exactly over
-all texts. That bound doesn't grow with the corpus, and the table is broadcast.
+1 + ln((1 + N) / (1 + df)), where df is the number of rows that hold it, of N with words. Every
+shingle has its own df, counted over all rows: distinct texts are dealt over blocks; a block sends
+its shingles with their numbers of rows to parts by hash, a part adds them up and answers each block
+for those that other blocks hold too. Nothing of this passes the driver but N.
 
 Every text gets SAMPLES samples (element and level), banded by ROWS; texts that share a
 band are compared in blocks (see `linking`), links are verified by the exact
@@ -35,8 +35,10 @@ WORDS = 5
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 NEED = 17  # of SAMPLES equal for a link; at similarity 0.8 a pair has fewer with probability 0.3 %
-HEAVY = 0.1
-GROUP = 1 << 20  # shingles summarised at once
+HEAVY = 0.0  # share of the texts that a df counts as at least: none, so that every shingle has its own weight
+BLOCK_TEXT = 1 << 23  # bytes of text of a block, about
+PART_SHINGLES = 1 << 22  # shingles that a part adds up, about
+LOW_BITS = 48  # of a shingle's 52 that are sent: a part's number tells the upper ones
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -57,15 +59,9 @@ def _seeds() -> np.ndarray:
     return tc.mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def weights(element: np.ndarray, tf: np.ndarray, idf: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
-    """TF-IDF weights; idf is (sorted frequent shingles, their idf, idf of all others)."""
-    frequent, value, rest = idf
-    w = np.full(len(element), rest, np.float32)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, element), len(frequent) - 1)
-        hit = frequent[at] == element
-        w[hit] = value[at[hit]]
-    return w * tf.astype(np.float32)
+def weights(df: np.ndarray, tf: np.ndarray, n_docs: int) -> np.ndarray:
+    """TF-IDF weights of shingles that df of n_docs rows hold."""
+    return tf * (1 + np.log((1 + n_docs) / (1 + np.maximum(df, HEAVY * n_docs))))
 
 
 def samples(doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,91 +100,167 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _heavy_candidates(batches):
-    """Per group of texts, the shingles in at least HEAVY / 2 of them; row (-1, texts) counts the group."""
-    tc.claim({})
-    parts, docs, have = [], 0, 0
-
-    def flush():
-        nonlocal parts, docs, have
-        x = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(x)))
-        keep = n >= HEAVY / 2 * docs
-        out = pa.RecordBatch.from_pydict({"shingle": pa.array(np.append(x[new[keep]].astype(np.int64), -1)), "n": pa.array(np.append(n[keep], docs).astype(np.int64))})
-        parts, docs, have = [], 0, 0
-        return out
-
-    for b in batches:
-        for _, _, data, off in tc.chunks(b.column(0)):
-            doc, element, _ = tc.shingles(tc.Words(data, off), WORDS)
-            parts.append(element)
-            docs += len(np.unique(doc))
-            have += len(element)
-            if have >= GROUP:
-                yield flush()
-    yield flush()
-
-
-def idf_table(texts: DataFrame, ws: Workspace) -> tuple[np.ndarray, np.ndarray, float]:
-    """Frequent shingles and idf over all rows of `texts` (column text)."""
-    slim = texts.select("text")
-    found = slim.mapInArrow(_heavy_candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = ws.write(found, "frequent")
-    n_docs = (found.where("shingle = -1").select("n").first() or [0])[0]
-    cand = np.array(sorted(r[0] for r in found.where((F.col("shingle") >= 0) & (F.col("n") >= HEAVY / 2 * n_docs)).select("shingle").collect()), np.uint64)
-    rest = 1 + np.log((1 + n_docs) / (1 + HEAVY * n_docs)) if n_docs else 1.0
-    if not len(cand):
-        return cand, np.zeros(0, np.float32), float(rest)
-    table = texts.sparkSession.sparkContext.broadcast(cand)
-
-    def count(batches):
-        cand = table.value
-        total = np.zeros(len(cand), np.int64)
-        bits = np.zeros(1 << 20, bool)
-        bits[cand & np.uint64((1 << 20) - 1)] = True
-        for b in batches:
-            for _, _, data, off in tc.chunks(b.column(0)):
-                _, element, _ = tc.shingles(tc.Words(data, off), WORDS)
-                element = element[bits[element & np.uint64((1 << 20) - 1)]]
-                at = np.minimum(np.searchsorted(cand, element), len(cand) - 1)
-                total += np.bincount(at[cand[at] == element], minlength=len(cand))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(k), "n": pa.array(total[k])})
-
-    rows = slim.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(cand))
-    for k, n in rows:
-        df[k] = n
-    keep = df >= HEAVY * n_docs
-    return cand[keep], (1 + np.log((1 + n_docs) / (1 + df[keep]))).astype(np.float32), float(rest)
-
-
-def signatures(texts: DataFrame, idf) -> DataFrame:
-    """`linking.SIGNED` rows of every row (key, text) whose text has a word."""
-    table = texts.sparkSession.sparkContext.broadcast(idf)
+BLOCKED = "block long, part long, key long, text string, n long, rows binary"  # texts have part -1, no rows and a key
+COUNTED = "part long, block long, rows binary"
+
+
+def _blocked(texts: DataFrame, blocks: int) -> DataFrame:
+    """BLOCKED rows of (key, text): a batch's distinct texts and the numbers of their rows."""
 
     def run(batches):
+        for b in batches:
+            key, first, n = np.unique(b.column(0).to_numpy(), return_index=True, return_counts=True)
+            none = pa.nulls(len(key), pa.binary())
+            yield pa.RecordBatch.from_pydict({"block": pa.array((key.view(np.uint64) % np.uint64(blocks)).astype(np.int64)), "part": pa.array(np.full(len(key), -1)), "key": pa.array(key), "text": b.column(1).take(pa.array(first)), "n": pa.array(n.astype(np.int64)), "rows": none})
+
+    return texts.select("key", "text").mapInArrow(run, BLOCKED)
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Blocks as runs, answers before the texts."""
+    return rows.repartition("block").withColumn("none", F.lit(0).cast("long")).select("block", "none", "part", "key", "text", "n", "rows").sortWithinPartitions("block", "key", "part")
+
+
+class _Block:
+    """Distinct texts of a block with their rows' numbers and shingles; df of the shingles by the block's own rows."""
+
+    def __init__(self, t: pa.Table):
+        t = t.filter(t.column("key").is_valid()).combine_chunks()
+        key = t.column("key").to_numpy()
+        first = linking._runs(key)[:-1] if len(key) else np.zeros(0, np.int64)
+        n = np.add.reduceat(t.column("n").to_numpy(), first) if len(key) else np.zeros(0, np.int64)
+        self.key, self.n, col = key[first], n, t.column("text").take(pa.array(first)).combine_chunks()
+        self.text = col.chunk(0) if isinstance(col, pa.ChunkedArray) and col.num_chunks else col
+        self.parts = []
+        for i, _, data, off in tc.chunks(self.text):
+            doc, element, tf = tc.shingles(tc.Words(data, off), WORDS)
+            self.parts.append((i + doc, element, tf))
+        element = np.concatenate([np.zeros(0, np.uint64), *(e for _, e, _ in self.parts)])
+        rows = np.concatenate([np.zeros(0, np.int64), *(n[d] for d, _, _ in self.parts)])
+        order = np.argsort(element)
+        element = element[order]
+        cut = linking._runs(element)[:-1] if len(element) else np.zeros(0, np.int64)
+        self.shingle = element[cut]
+        self.df = np.add.reduceat(rows[order], cut) if len(cut) else np.zeros(0, np.int64)
+
+
+def _pack(shingle: np.ndarray, df: np.ndarray) -> bytes:
+    low = shingle & np.uint64((1 << LOW_BITS) - 1)
+    return low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint16).tobytes() + df.astype(np.int64).tobytes()
+
+
+def _unpack(raw: bytes, part: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    k = len(raw) // 14
+    low = np.frombuffer(raw, np.uint32, k).astype(np.uint64) | (np.frombuffer(raw, np.uint16, k, 4 * k).astype(np.uint64) << np.uint64(32))
+    top = np.uint64((part >> (bits - (52 - LOW_BITS))) << LOW_BITS)
+    return low | top, np.frombuffer(raw[6 * k :], np.int64, k)
+
+
+def frequencies(texts: DataFrame, ws: Workspace) -> tuple[DataFrame, int, int, int]:
+    """(answers, rows with words, blocks, bits of a part): answers (part, block, rows) hold the df of shingles that a block doesn't know by itself."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_TEXT))
+    bits = max(52 - LOW_BITS, int(np.ceil(np.log2(max(1, size / 6 / PART_SHINGLES)))))  # a word has some six bytes
+
+    def ask(batches):
         tc.claim({})
+        for t in linking.whole_blocks(batches):
+            cut = linking._runs(t.column(0).to_numpy())
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                v = _Block(t.slice(a, b - a))
+                part = (v.shingle >> np.uint64(52 - bits)).astype(np.int64)
+                at = linking._runs(part) if len(part) else np.zeros(1, np.int64)
+                block = t.column(0)[a].as_py()
+                words = sum(int(v.n[np.unique(d)].sum()) for d, _, _ in v.parts)
+                out = [(int(part[x]), block, _pack(v.shingle[x:y], v.df[x:y])) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                out.append((-1, -1, np.array([words], np.int64).tobytes()))
+                yield pa.RecordBatch.from_pydict(dict(zip(("part", "block", "rows"), (pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)), strict=True)))
+
+    def settle(part, held):
+        if part < 0:
+            return pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int64()), "block": pa.array([-1], pa.int64()), "rows": pa.array([sum(np.frombuffer(r, np.int64)[0] for _, r in held).tobytes()], pa.binary())})
+        blocks = [b for b, _ in held]
+        shingle, df = (np.concatenate(c) for c in zip(*(_unpack(r, part, bits) for _, r in held), strict=True))
+        whose = np.repeat(np.arange(len(held)), [len(r) // 14 for _, r in held])
+        order = np.argsort(shingle, kind="stable")
+        cut = linking._runs(shingle[order])
+        total = np.empty(len(df), np.int64)
+        total[order] = np.repeat(np.add.reduceat(df[order], cut[:-1]), np.diff(cut))
+        more = np.flatnonzero(total > df)  # still by block, and ascending within one
+        at = linking._runs(whose[more]) if len(more) else np.zeros(1, np.int64)
+        runs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(runs), pa.int64()), "block": pa.array([blocks[whose[more[x]]] for x, _ in runs], pa.int64()), "rows": pa.array([_pack(shingle[more[x:y]], total[more[x:y]]) for x, y in runs], pa.binary())})
+
+    def add(batches):
+        of, held = None, []
         for b in batches:
-            for i, j, data, off in tc.chunks(b.column(1)):
-                doc, element, tf = tc.shingles(tc.Words(data, off), WORDS)
-                docs, sig = samples(doc, element, weights(element, tf, table.value))
-                if len(docs):
-                    at = pa.array(i + docs)
-                    yield pa.RecordBatch.from_pydict({"key": b.column(0).take(at), "size": pa.array(linking.log_size(np.diff(off)[docs])), "sig": linking.binary_rows(sig), "text": b.column(1).take(at)})
+            for part, block, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != of and held:
+                    yield settle(of, held)
+                    held = []
+                of = part
+                held.append((block, raw))
+        if held:
+            yield settle(of, held)
+
+    asked = _whole(_blocked(texts, blocks)).mapInArrow(ask, COUNTED)
+    answers = ws.write(asked.repartition("part").sortWithinPartitions("part").mapInArrow(add, COUNTED), "frequencies")
+    words = answers.where("part < 0").select("rows").first()
+    return answers, int(np.frombuffer(words[0], np.int64)[0]) if words else 0, blocks, bits
+
+
+WEIGHED = "key long, size tinyint, sig binary, text binary"  # text: its length, its bytes, the df of its shingles
+
+
+def signatures(texts: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
+    """`linking.SIGNED` rows, with df beside the text (WEIGHED), of every distinct text of (key, text) that has a word; rows with words."""
+    answers, n_docs, blocks, bits = frequencies(texts, ws)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("text", "string"), ("n", "long"))]
+    rows = _blocked(texts, blocks).unionByName(answers.where("part >= 0").select("block", "part", *none, "rows"))
+
+    def signed(t):
+        v = _Block(t)
+        known = t.filter(t.column("rows").is_valid())
+        for part, raw in zip(known.column("part").to_pylist(), known.column("rows").to_pylist(), strict=True):
+            shingle, df = _unpack(raw, part, bits)
+            v.df[np.searchsorted(v.shingle, shingle)] = df
+        for docs, element, tf in v.parts:
+            if not len(docs):
+                continue
+            df = v.df[np.searchsorted(v.shingle, element)]
+            has, sig = samples(docs, element, weights(df, tf, n_docs).astype(np.float32))
+            cut = linking._runs(docs)
+            made = []
+            for k, text in enumerate(v.text.take(pa.array(has)).to_pylist()):
+                raw = text.encode()
+                made.append(len(raw).to_bytes(8, "little") + raw + df[cut[k] : cut[k + 1]].astype(np.int64).tobytes())
+            size = linking.log_size(np.array([len(x) for x in made]))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(v.key[has]), "size": pa.array(size), "sig": linking.binary_rows(sig), "text": pa.array(made, pa.binary())})
+
+    def run(batches):
+        tc.claim({})
+        for t in linking.whole_blocks(batches):
+            cut = linking._runs(t.column(0).to_numpy())
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield from signed(t.slice(a, b - a))
 
-    return texts.select("key", "text").mapInArrow(run, linking.SIGNED)
+    return ws.write(_whole(rows).mapInArrow(run, WEIGHED), "sigs"), n_docs
 
 
-def weighted_jaccard(idf):
-    """compare function of `linking.find_classes`."""
+def weighted_jaccard(n_docs: int):
+    """compare function of `linking.find_classes` over texts of WEIGHED."""
 
     def compare(col):
-        keys, weight = [], []
-        for i, _, data, off in tc.chunks(col):
+        keys, weight, texts, dfs = [], [], [], []
+        for raw in col.to_pylist():
+            end = 8 + int.from_bytes(raw[:8], "little")
+            texts.append(raw[8:end])
+            dfs.append(np.frombuffer(raw[end:], np.int64))
+        df, at = np.concatenate(dfs), 0
+        for i, _, data, off in tc.chunks(pa.array(texts, pa.binary()).cast(pa.string())):
             doc, element, tf = tc.shingles(tc.Words(data, off), WORDS)
-            weight.append(weights(element, tf, idf).astype(np.float64))
+            weight.append(weights(df[at : at + len(doc)], tf, n_docs))
+            at += len(doc)
             keys.append(((i + doc).astype(np.uint64) << np.uint64(linking.SET_BITS)) | (element >> np.uint64(52 - linking.SET_BITS)))
         keys, weight = np.concatenate(keys), np.concatenate(weight)
         cut = np.searchsorted(keys, np.arange(len(col) + 1, dtype=np.uint64) << np.uint64(linking.SET_BITS))
@@ -209,12 +281,9 @@ def weighted_jaccard(idf):
 
 def text_classes(docs: DataFrame, ws: Workspace, text: str = "text") -> DataFrame:
     """(key, root) for the keys, xxhash64 of the text, that belong to a class of several texts."""
-    spark = docs.sparkSession
     texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    idf = idf_table(texts, ws)
-    sigs = ws.write(signatures(texts, idf), "sigs")
-    shared = spark.sparkContext.broadcast(idf)
-    return linking.find_classes(ws, sigs, band_keys, NEED, SAMPLES, np.uint32, lambda col: weighted_jaccard(shared.value)(col))
+    sigs, n_docs = signatures(texts, ws)
+    return linking.find_classes(ws, sigs, band_keys, NEED, SAMPLES, np.uint32, lambda col: weighted_jaccard(n_docs)(col))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ws: Workspace | None = None) -> DataFrame:

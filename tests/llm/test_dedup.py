@@ -70,6 +70,22 @@ def test_near_duplicates_equal_brute_force(spark, make_docs):
     assert got == brute_classes(rows)
 
 
+def test_every_shingle_has_its_own_document_frequency(spark, monkeypatch):
+    """Frequencies over many blocks and parts are those of a count over all rows; weights differ with them."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXT", 3000)
+    monkeypatch.setattr(near_dedup, "PART_SHINGLES", 40)
+    rows = corpus(9)[:60] + [(900 + k, "one and the same short text of words") for k in range(7)] + [(950, "..."), (951, "")]
+    texts = spark.createDataFrame(rows, "key long, text string").select(F.xxhash64("text").alias("key"), "text")
+    sigs, n = near_dedup.signatures(texts, Workspace(spark, "test"))
+    df = Counter(g for s in shingle_sets([t for _, t in rows]) for g in s)
+    assert n == 67 and set(df.values()) == {1, 2, 7}
+    got = {}
+    for r in sigs.collect():
+        end = 8 + int.from_bytes(r.text[:8], "little")
+        got[bytes(r.text[8:end]).decode()] = sorted(np.frombuffer(r.text[end:], np.int64).tolist())
+    assert got == {t: sorted(df[g] for g in s) for t, s in zip([t for _, t in rows], shingle_sets([t for _, t in rows]), strict=True) if s}
+
+
 def test_sampling_follows_the_weighted_similarity():
     rng = np.random.default_rng(3)
     e = tc.mix(np.arange(1, 401, dtype=np.uint64)) >> np.uint64(12)
