@@ -115,6 +115,14 @@ def test_stage_keeps_one_of_each_class(spark, make_docs, folder):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stage_weighs_rare_words_by_their_own_frequency(spark, make_docs):
+    """Texts with 140 shingles of all and five of their own: similarity 0.78; with rare shingles counted as in a tenth of the texts, 0.82."""
+    rng = random.Random(4)
+    common = prose(rng, 144)
+    rows = [(i, f"{common} " + " ".join(f"own{i}x{k}" for k in range(5)), "en", "s") for i in range(40)]
+    assert near_dedup.pipeline_stage(spark, make_docs(rows), "").count() == 40
+
+
 def signed(spark, sig, size=3):
     return spark.createDataFrame([(k, size, sig[k].tobytes(), str(k)) for k in range(len(sig))], linking.SIGNED)
 
