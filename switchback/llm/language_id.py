@@ -9,8 +9,8 @@ Scored n-grams are looked up through a bounded worker cache.
 
 Counts come from all labelled texts outside the held-out fold, in every language that has
 one, so what is gathered grows with the corpus: tasks count their n-grams of the highest
-order, and Spark adds them up; lower orders follow from the distinct ones. No n-gram is left
-out. Models of at most KEEP n-grams an order and language are broadcast whole. Larger ones
+order as numbers of 64 bits, in bounded memory (see `Counts`), and Spark adds them up; lower
+orders follow from the distinct ones. No n-gram is left out. Models of at most KEEP n-grams an order and language are broadcast whole. Larger ones
 stay tables: they are dealt over parts by the two symbols before an n-gram's last, which all
 its orders from three share (the few of orders one and two go to every part), and the distinct
 n-grams of the texts meet them there, with the same arrays and sums as in a broadcast. Of the
@@ -44,7 +44,9 @@ ORDER = 5
 CALIBRATION = 80
 KEEP = 150_000  # n-grams of an order and language in a model that is broadcast
 PART_GRAMS = 1 << 17  # n-grams of a part of models that are tables
-FLUSH = 1 << 21  # n-grams merged at once in a task
+FLUSH = 1 << 20  # distinct n-grams that a task adds up before it sends them
+SENT = 1 << 16  # rows of a batch of counts
+SYMBOL_BITS = 12  # so that ORDER symbols fit 64 bits
 DISCOUNT = 0.75
 REJECT_QUANTILE = 0.999
 MARGIN = 1.15
@@ -69,51 +71,118 @@ def letters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, count + _PAD * np.arange(n + 1)
 
 
+def scored_ends(off: np.ndarray) -> np.ndarray:
+    """Position after each symbol that is scored: all but the first ORDER - 1 of a text."""
+    at = np.arange(off[-1])
+    return at[at - np.repeat(off[:-1], np.diff(off)) >= _PAD] + 1
+
+
 def gram_hashes(sym: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position after each scored symbol, hash of its ORDER-gram, prefix hashes)."""
-    n = np.diff(off)
-    at = np.arange(len(sym))
-    at = at[at - np.repeat(off[:-1], n) >= _PAD]
-    h = tc.prefix_hash(sym)
-    return at + 1, tc.span_hash(h, at + 1 - ORDER, at + 1), h
+    end, h = scored_ends(off), tc.prefix_hash(sym)
+    return end, tc.span_hash(h, end - ORDER, end), h
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, gram, n): the n-grams of order ORDER of all rows (lang, text), as strings."""
+def _strings(sym: np.ndarray) -> pa.Array:
+    """Rows of code points as strings, without a Python string a row."""
+    data = sym.astype("<u4").tobytes().decode("utf-32-le").encode()
+    size = (1 + (sym > 0x7F) + (sym > 0x7FF) + (sym > 0xFFFF)).sum(axis=1)
+    return pa.StringArray.from_buffers(len(sym), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data))
 
-    def run(batches):
-        held: dict[str, list] = {}
-        have = 0
-
-        def flush():
-            out = []
-            for lang, parts in held.items():
-                hashes, grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                _, rep, inv = np.unique(hashes, return_index=True, return_inverse=True)
-                out.append((lang, grams[rep], np.bincount(inv, n).astype(np.int64)))
-            raw = [g.astype("<u4").tobytes().decode("utf-32-le") for _, g, _ in out]
-            text = [t[k : k + ORDER] for t in raw for k in range(0, len(t), ORDER)]
-            lang = pa.array([x for x, g, _ in out for _ in range(len(g))], pa.string())
-            return pa.RecordBatch.from_pydict({"lang": lang, "gram": pa.array(text, pa.string()), "n": pa.array(np.concatenate([n for _, _, n in out]))})
 
-        for b in batches:
-            langs = b.column(0).to_pylist()
-            for lang in sorted(set(langs)):
-                for _, _, data, off in tc.chunks(b.column(1).filter(pa.array([x == lang for x in langs]))):
-                    sym, so = letters(data, off)
-                    end, g, _ = gram_hashes(sym, so)
-                    if not len(end):
-                        continue
-                    u, rep, n = np.unique(g, return_index=True, return_counts=True)
-                    held.setdefault(lang, []).append((u, sym[end[rep][:, None] + np.arange(-ORDER, 0)], n))
-                    have += len(u)
-            if have >= FLUSH:
-                yield flush()
-                held, have = {}, 0
-        if held:
-            yield flush()
-
-    counts = rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
+class Counts:
+    """A task's n-grams of order ORDER by language, exact: each is one number, of its symbols' places in an alphabet.
+
+    An n-gram takes 16 bytes here. More than FLUSH distinct ones, or an alphabet of more than
+    2 ** SYMBOL_BITS symbols, are sent before the next are taken; Spark adds up what is sent twice.
+    """
+
+    def __init__(self):
+        self.place = np.zeros(0x110000, np.uint16)  # of a symbol in the alphabet, from 1
+        self.symbols, self.used = np.zeros(1 << SYMBOL_BITS, np.uint32), 0
+        self.raw: dict[str, list] = {}
+        self.held: dict[str, tuple] = {}
+        self.waiting = 0
+
+    def learn(self, sym: np.ndarray) -> bool:
+        """Add symbols to the alphabet, if it has room for them all."""
+        new = np.unique(sym[self.place[sym] == 0])
+        upto = self.used + len(new)
+        if upto > len(self.symbols):
+            return False
+        self.symbols[self.used : upto] = new
+        self.place[new] = np.arange(self.used + 1, upto + 1)
+        self.used = upto
+        return True
+
+    def add(self, lang: str, sym: np.ndarray, end: np.ndarray):
+        """Count the n-grams before each `end`; yields batches of what had to be sent."""
+        todo = [(0, len(end))] if len(end) else []
+        while todo:
+            a, b = todo.pop()
+            part = sym[end[a] - ORDER : end[b - 1]]
+            if self.learn(part):
+                c = self.place[part].astype(np.uint64) - np.uint64(1)
+                code = c[: len(c) - ORDER + 1].copy()
+                for k in range(1, ORDER):
+                    code <<= np.uint64(SYMBOL_BITS)
+                    code |= c[k : len(code) + k]
+                self.raw.setdefault(lang, []).append(code[end[a:b] - end[a]])
+                self.waiting += b - a
+            elif self.used:
+                yield from self.flush()
+                todo.append((a, b))
+            else:  # more symbols than an alphabet has: some n-grams at a time
+                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+        if self.waiting >= FLUSH:
+            self.merge()
+            if sum(len(code) for code, _ in self.held.values()) >= FLUSH:
+                yield from self.flush()
+
+    def merge(self) -> None:
+        for lang, parts in self.raw.items():
+            code = np.concatenate(parts)
+            parts.clear()
+            code.sort()
+            cut = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            code, n = code[cut], np.diff(np.append(cut, len(code)))
+            if lang in self.held:
+                old, count = self.held[lang]
+                at = np.searchsorted(old, code)
+                has = old[np.minimum(at, len(old) - 1)] == code
+                count[at[has]] += n[has]
+                code, n = np.insert(old, at[~has], code[~has]), np.insert(count, at[~has], n[~has])
+            self.held[lang] = code, n
+        self.raw, self.waiting = {}, 0
+
+    def flush(self):
+        """All counts as batches (lang, gram, n) of SENT rows at most; empties the alphabet."""
+        self.merge()
+        shift = np.uint64(SYMBOL_BITS) * np.arange(ORDER - 1, -1, -1, dtype=np.uint64)
+        for lang in list(self.held):
+            code, n = self.held.pop(lang)
+            for k in range(0, len(n), SENT):
+                grams = _strings(self.symbols[(code[k : k + SENT, None] >> shift) & np.uint64((1 << SYMBOL_BITS) - 1)])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), grams, pa.array(n[k : k + SENT])], names=["lang", "gram", "n"])
+        self.place[self.symbols[: self.used]] = 0
+        self.used = 0
+
+
+def task_counts(batches):
+    """Batches (lang, gram, n) of a task's (lang, text)."""
+    counts = Counts()
+    for b in batches:
+        langs = b.column(0).to_pylist()
+        for lang in sorted(set(langs)):
+            for _, _, data, off in tc.chunks(b.column(1).filter(pa.array([x == lang for x in langs]))):
+                sym, so = letters(data, off)
+                yield from counts.add(lang, sym, scored_ends(so))
+    yield from counts.flush()
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n): the n-grams of order ORDER of all rows (lang, text), as strings."""
+    counts = rows.select("lang", "text").mapInArrow(task_counts, "lang string, gram string, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -189,14 +258,14 @@ def probabilities(texts: DataFrame, model: Identifier, ws: Workspace) -> DataFra
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         k = asked.num_rows
         ln, hashes = np.zeros((k, len(names)), np.float32), np.zeros(k, np.uint64)
-        text = asked.column("gram").to_pylist()
+        text = asked.column("gram")
         sets = []
         for lang in names if k else ():
             own = rows.filter(pc.equal(rows.column("lang"), lang))
             by = {m: own.filter(pc.equal(own.column("m"), m)) for m in range(1, ORDER + 1)}
             sets.append(Model({m: tuple(t.column(c).to_numpy() for c in ("gram", "ctx", "prob", "back")) for m, t in by.items()}))
         for a in range(0, k, tc.BITE):
-            part = text[a : a + tc.BITE]
+            part = text.slice(a, tc.BITE).to_pylist()
             h = tc.prefix_hash(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32))
             end = ORDER * np.arange(1, len(part) + 1)
             hashes[a : a + len(part)] = tc.span_hash(h, end - ORDER, end)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,54 @@ def test_counts_of_a_model_cover_all_texts(spark):
     assert few == 300 and many == 15_000
 
 
+def task_counts_of(batches):
+    """(counts by language and n-gram, rows of each batch) of the task that `gram_counts` runs."""
+    got, sizes = {}, []
+    for out in language_id.task_counts(batches):
+        sizes.append(out.num_rows)
+        for lang, gram, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[lang, gram] = got.get((lang, gram), 0) + n
+    return got, sizes
+
+
+def brute_counts(rows):
+    want = {}
+    for lang, text in rows:
+        x = "    " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split(" "))
+        while "     " in x[4:]:
+            x = x[:4] + x[4:].replace("  ", " ")
+        for k in range(4, len(x)):
+            want[lang, x[k - 4 : k + 1]] = want.get((lang, x[k - 4 : k + 1]), 0) + 1
+    return want
+
+
+def test_a_task_counts_all_n_grams_whatever_it_holds(monkeypatch):
+    """Alphabets and counts that are full are sent, and small batches leave a task; nothing is lost or counted twice."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(0, 30)) for _ in range(60)] + ["\u65e5\u672c\u8a9e \U00010428\u00e9\u00df\u0434", "", "".join(chr(0x4E00 + k) for k in range(300))]
+    rows = [("en" if k % 3 else "fr", t) for k, t in enumerate(texts)]
+    batches = [pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows[k : k + 7]], "text": [t for _, t in rows[k : k + 7]]}) for k in range(0, len(rows), 7)]
+    want = brute_counts(rows)
+    assert task_counts_of(batches)[0] == want
+    for name, value in (("SENT", 50), ("FLUSH", 100), ("SYMBOL_BITS", 5), ("SYMBOL_BITS", 3)):
+        monkeypatch.setattr(language_id, name, value)
+        got, sizes = task_counts_of(batches)
+        assert got == want and max(sizes) <= 50
+
+
+def test_a_task_that_counts_takes_little_memory():
+    """2.6 million n-grams, nearly all different: some 60 MB, where a list of them as strings took 400."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, x)) for x in rng.integers(97, 123, (26, 100_000))]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["xx"], "text": [t]}) for t in texts]
+    list(language_id.task_counts(batches[:1]))  # tables that are made once
+    tracemalloc.start()
+    total = sum(int(b.column(2).to_numpy().sum()) for b in language_id.task_counts(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 2_600_000 and peak < 120e6
+
+
 def test_languages(spark, make_docs, folder):
     rng = random.Random(2)
     lo, hi = [w for w in ("alpha bravo delta gamma zeta theta omega sigma").split()], [w for w in ("ubo wiku xyne qorra vypp jumo kizz").split()]
