@@ -73,7 +73,9 @@ def id_backfill(spark, sf):
     d = table(spark, sf, "destinations")
     p = d.select(F.col("id").alias("destination_id"), "name", F.when(F.col("id") % 4 == 0, "known").alias("external_id"), "lat", "lng")
     r = d.select(F.col("id").alias("ref_id"), F.col("name").alias("ref_name"), (F.col("lat") + (F.col("id") % 5) * 1e-4).alias("rlat"), F.col("lng").alias("rlng"))
-    m = within_distance(p, r, 3000.0, right_xy=("rlat", "rlng"), max_lat=50).withColumn("flags", F.array().cast("array<string>"))
+    near = within_distance(p, r, 300.0, right_xy=("rlat", "rlng"), max_lat=50)
+    named = within_distance(p, r, 3000.0, right_xy=("rlat", "rlng"), max_lat=50).where("name = ref_name and distance_m > 300")  # the name is a join key
+    m = near.unionByName(named).withColumn("flags", F.array().cast("array<string>"))
     selected, unclear = dedupe.id_backfills(m, 300.0, 3000.0)
     return selected.select("destination_id", "ref_id").unionByName(unclear.select("destination_id", F.lit(None).cast("long").alias("ref_id")))
 
