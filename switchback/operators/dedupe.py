@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import components
-from .spatial import within_distance
+from .spatial import near_components
 
 
 def duplicates(places: DataFrame, radius_m: float, max_lat: float = 80.0) -> DataFrame:
@@ -15,14 +14,11 @@ def duplicates(places: DataFrame, radius_m: float, max_lat: float = 80.0) -> Dat
 
     Places no farther apart than the radius are the same, and so are chains of them; the smallest
     id stays. Names are compared trimmed and in lower case, empty ones are no names; null states
-    are one state. The cell join carries name and state in its key, so a common name meets only
-    those nearby.
+    are one state. A common name makes no pairs of all its places (see near_components).
     """
     name = F.lower(F.trim("name"))
     p = places.where((name != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("id", name.alias("name"), F.coalesce("state", F.lit("")).alias("state"), "lat", "lng")
-    q = p.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("state").alias("state2"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
-    near = within_distance(p, q, radius_m, right_xy=("lat2", "lng2"), max_lat=max_lat).where("id < id2 and name = name2 and state = state2")
-    return components(near.select(F.col("id").alias("a"), F.col("id2").alias("b"))).where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("keep"))
+    return near_components(p, radius_m, ["name", "state"], max_lat).where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("keep"))
 
 
 def merged_places(places: DataFrame, dup: DataFrame, ids: str = "external_ids") -> DataFrame:
