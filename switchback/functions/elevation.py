@@ -64,30 +64,35 @@ def smoothed_stats(profile, band: float = DEAD_BAND_M) -> Column:
     return F.struct(*[F.when(some, x).otherwise(0.0).alias(k) for k, x in (("gain", g["gain"]), ("loss", g["loss"]), ("min", F.array_min(s)), ("max", F.array_max(s)))])
 
 
+def _held(x: Column, f) -> Column:
+    """f of x, with x computed once: an expression that a lambda names is else computed for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _window(p: Column, width: int, f) -> Column:
+    """f of the values around each element; they are got one by one, since a slice copies the whole array first."""
     half = width // 2
-    n = F.size(p)
-    return F.transform(p, lambda _, i: f(F.slice(p, F.greatest(i - half + 1, F.lit(1)), F.least(i + half + 1, n) - F.greatest(i - half + 1, F.lit(1)) + 1)))
+    return _held(p, lambda v: F.transform(v, lambda _, i: f(F.transform(F.sequence(F.greatest(i - half, F.lit(0)), F.least(i + half, F.size(v) - 1)), lambda k: F.get(v, k)))))
 
 
 def median_filter(profile, width: int = 5) -> Column:
-    return _window(_c(profile), width, lambda w: F.element_at(F.array_sort(w), (F.size(w) / 2).cast("int") + 1))
+    return _window(_c(profile), width, lambda w: _held(F.array_sort(w), lambda s: F.element_at(s, (F.size(s) / 2).cast("int") + 1)))
 
 
 def moving_average(profile, width: int = 7) -> Column:
-    return _window(_c(profile), width, lambda w: F.aggregate(w, F.lit(0.0), lambda s, z: s + z) / F.size(w))
+    return _window(_c(profile), width, lambda w: _held(w, lambda v: F.aggregate(v, F.lit(0.0), lambda s, z: s + z) / F.size(v)))
 
 
 def anchored_gain(profile, step: float = 3.0) -> Column:
     """Gain of the profile after a median of 5 and a mean of 7, counted from anchors `step` metres apart."""
-    s = moving_average(median_filter(profile))
-    start = F.struct(F.lit(0.0).alias("gain"), F.element_at(s, 1).alias("anchor"))
+    smoothed = moving_average(median_filter(profile))
 
     def move(a, z):
         d = z - a["anchor"]
         return F.struct((a["gain"] + F.when(d >= step, d).otherwise(0.0)).alias("gain"), F.when(F.abs(d) >= step, z).otherwise(a["anchor"]).alias("anchor"))
 
-    return F.when(F.size(_c(profile)) > 0, F.aggregate(s, start, move, lambda a: a["gain"])).otherwise(0.0)
+    gain = _held(smoothed, lambda s: F.aggregate(s, F.struct(F.lit(0.0).alias("gain"), F.element_at(s, 1).alias("anchor")), move, lambda a: a["gain"]))
+    return F.when(F.size(_c(profile)) > 0, gain).otherwise(0.0)
 
 
 def with_z(path, z) -> Column:

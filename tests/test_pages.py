@@ -110,3 +110,14 @@ def test_polylines_come_back(spark):
     path = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(50)]
     r = spark.createDataFrame([(path,)], "p array<struct<lat:double,lng:double>>").select(text.decode_polyline6(text.encode_polyline6("p")).alias("q")).first()
     assert np.allclose([tuple(v)[:2] if isinstance(v, (list, tuple)) else (v.lat, v.lng) for v in r.q], path, atol=6e-7)
+
+
+def test_anchored_gain_of_a_long_profile(spark):
+    """Filters are computed once a profile: 20,000 points take seconds, not the square of that."""
+    import time
+
+    z = [1000.0 + k % 50 for k in range(20_000)]
+    df = spark.createDataFrame([(z,)], "p array<double>")
+    t = time.time()
+    assert df.select(elevation.anchored_gain(F.col("p")).alias("g")).first().g > 10_000
+    assert time.time() - t < 20
