@@ -109,11 +109,15 @@ def id_backfills(matches: DataFrame, near_m: float = 30.0, named_m: float = 500.
 
 
 def health_summary(heart: Column, calories: Column) -> Column:
-    """Struct (average, maximum, active_calories) of arrays of heart rates and of calories: rounded, halves up; null where no value counts."""
+    """Struct (average, maximum, active_calories) of arrays of heart rates and of calories: rounded, halves up; null where no value counts.
+
+    Sums are of decimals, so that a half is one whatever the order of the values; values over 26 digits are added as doubles.
+    """
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     rates = F.filter(heart, lambda v: finite(v) & (v > 0))
     burnt = F.filter(calories, lambda v: finite(v) & (v >= 0))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    exact = lambda a: F.aggregate(a, F.lit(0).cast("decimal(36,10)"), lambda s, v: F.try_add(s, v.try_cast("decimal(36,10)")).try_cast("decimal(36,10)"))
+    total = lambda a: F.coalesce(exact(a).cast("double"), F.aggregate(a, F.lit(0.0), lambda s, v: s + v))
     whole = lambda v: F.floor(v + 0.5).cast("long")
     return F.struct(
         F.when(F.size(rates) > 0, whole(total(rates) / F.size(rates))).alias("average"),

@@ -151,3 +151,11 @@ def test_shapes_and_phases(spark):
     assert {r.session_id: (r.shape, r.turn) for r in tracks.shapes(p).collect()} == {1: ("out_and_back", 19), 2: ("loop", None), 3: ("point_to_point", None), 4: ("point_to_point", None), 5: ("point_to_point", None)}
     got = {r.session_id: tuple(r)[1:] for r in tracks.phases(p).collect()}
     assert got == {1: (29.0, 19, 0, 19), 3: (5.0, 0, 0, 11), 5: (7.0, 0, 29, 0)}
+
+
+def test_health_of_values_in_any_order_is_the_same(spark):
+    """152.45 + 153.64 + 184.23 + 15.18 is 505.5, in doubles a little less in this order."""
+    v = [152.45, 153.64, 184.23, 15.18]
+    h = spark.createDataFrame([(v, v), (v[::-1], v[::-1])], "h array<double>, c array<double>")
+    got = [r.s.active_calories for r in h.select(dedupe.health_summary(F.col("h"), F.col("c")).alias("s")).collect()]
+    assert got == [506, 506]
