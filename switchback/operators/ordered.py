@@ -75,7 +75,7 @@ def places_along(plans: DataFrame, places: DataFrame, max_lat: float = 80.0) ->
     lines = plans.select(F.struct("plan_id", "piece").alias("line"), "path")
     near = points_near_lines(places.select("destination_id", "owner", "features", "lat", "lng"), lines, float(geo.MAX_REACH_M), "line", max_lat=max_lat)
     near = near.where(F.col("distance_m") <= geo.reach_radius_m(F.col("features"))).select(F.col("line.plan_id").alias("plan_id"), F.col("line.piece").alias("piece"), "destination_id", "owner", "fraction")
-    got = near.join(plans.select("plan_id", "piece", "user_id", "whole"), ["plan_id", "piece"]).where((F.col("owner") == "peaks") | (F.col("owner") == F.col("user_id")))
+    got = near.join(plans.select("plan_id", "piece", "user_id", "whole").hint("merge"), ["plan_id", "piece"]).where((F.col("owner") == "peaks") | (F.col("owner") == F.col("user_id")))
     got = got.groupBy("plan_id", "destination_id").agg(F.min(F.when(F.col("whole"), F.col("fraction")).otherwise(0.0)).alias("fraction"))
     w = W.partitionBy("plan_id").orderBy("fraction", "destination_id")
     return got.select("plan_id", "destination_id", (F.row_number().over(w) - 1).alias("ordinal"), "fraction")

@@ -45,3 +45,11 @@ def test_repeated_and_reversed_places(spark):
     for r in ordered.places_along(plans, d.distinct()).orderBy("plan_id", "ordinal").collect():
         got.setdefault(r.plan_id, []).append(r.destination_id)
     assert got == {1: [10, 11, 13], 2: [13, 11, 10], 3: [10, 11]}
+
+
+def test_plans_are_never_broadcast(spark):
+    line = "array(named_struct('lng', id / 100, 'lat', 45.0D), named_struct('lng', id / 100 + 0.01D, 'lat', 45.0D))"
+    plans = spark.range(5).selectExpr("id AS plan_id", "'u' AS user_id", "0 AS piece", f"{line} AS path", "true AS whole")
+    places = spark.range(5).selectExpr("id AS destination_id", "'peaks' AS owner", "array('summit') AS features", "45.0D AS lat", "id / 100 + 0.005D AS lng")
+    got = ordered.places_along(plans, places)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 5
