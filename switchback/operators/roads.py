@@ -29,7 +29,7 @@ METRES_A_MILE = 1609.344
 
 def measured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (edge_id, from_node, to_node, rank, miles, anchor) whose missing miles are the straight distance of their nodes."""
-    at = lambda n: nodes.select(F.col("node").alias(f"{n}_node"), F.col("lat").alias(f"{n}_lat"), F.col("lng").alias(f"{n}_lng"))
+    at = lambda n: nodes.select(F.col("node").alias(f"{n}_node"), F.col("lat").alias(f"{n}_lat"), F.col("lng").alias(f"{n}_lng")).hint("merge")
     e = edges.join(at("from"), "from_node", "left").join(at("to"), "to_node", "left")
     straight = geo.haversine_m("from_lat", "from_lng", "to_lat", "to_lng") / METRES_A_MILE
     return e.select("edge_id", "from_node", "to_node", "rank", F.coalesce("miles", straight).alias("miles"), F.coalesce("anchor", F.lit(False)).alias("anchor"))
@@ -60,7 +60,7 @@ def approach_paths(origins: DataFrame, edges: DataFrame, nodes: DataFrame, reach
     ends = F.array(F.struct(F.col("from_node").alias("node"), (F.col("miles") * share).alias("miles")), F.struct(F.col("to_node").alias("node"), (F.col("miles") * (1 - share)).alias("miles")))
     start = snapped.where("not anchor").select("origin", F.col("lat").alias("olat"), F.col("lng").alias("olng"), F.col("edge_id").alias("snap"), "rank", F.col("edge_id").alias("limiting"), F.explode(ends).alias("x"))
     ways = e.where("from_node <> to_node").select("edge_id", "from_node", "to_node", rank.alias("edge_rank"), F.col("miles").alias("edge_miles"))
-    ways = adjacency(ways).join(nodes.select(F.col("node").alias("to_node"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng")), "to_node")
+    ways = adjacency(ways).join(nodes.select(F.col("node").alias("to_node"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).hint("merge"), "to_node")
     ways = settled(ways.withColumnRenamed("from_node", "node"))
     both = e.where("anchor").select("edge_id", F.explode(F.array("from_node", "to_node")).alias("node"))
     anchors = settled(both.groupBy("node").agg(F.min("edge_id").alias("anchor_edge")))

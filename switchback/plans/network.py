@@ -22,18 +22,18 @@ def road_graph(spark, sf):
         F.struct((F.col("node") * 2 + 1).alias("edge_id"), (F.col("node") + WIDE).alias("to_node"), rank(3).alias("rank")),
     )
     e = p.select(F.col("node").alias("from_node"), "size", "price", F.explode(ends).alias("x")).where("x.to_node is not null")
-    e = e.join(nodes.select(F.col("node").alias("__to")), F.col("x.to_node") == F.col("__to"), "left_semi")
+    e = e.join(nodes.select(F.col("node").alias("__to")).hint("merge"), F.col("x.to_node") == F.col("__to"), "left_semi")
     e = e.select("x.edge_id", "from_node", "x.to_node", "x.rank", (0.8 + (F.col("price") - 900) / 200).alias("miles"), ((F.col("size") == 50) & (F.col("x.edge_id") % 2 == 0)).alias("anchor"))
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     s = spark.read.parquet(f"{sf}/supplier.parquet").crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("origin"), (F.col("s_suppkey") * 37 % F.col("n")).alias("node"))
     off = F.when(F.col("origin") % 11 == 0, 0.5).otherwise(0.0)
-    t = s.join(nodes, "node").select("origin", (F.col("lat") + off * STEP + 0.0003).alias("lat"), (F.col("lng") + (0.25 + off / 5) * STEP).alias("lng"))
+    t = s.join(nodes.hint("merge"), "node").select("origin", (F.col("lat") + off * STEP + 0.0003).alias("lat"), (F.col("lng") + (0.25 + off / 5) * STEP).alias("lng"))
     return e, nodes, t
 
 
 def snapped(e, nodes, t, radius_m: float = 250.0):
     """Trailheads with the nearest edge in reach, if there is one, and where on it."""
-    at = lambda c: nodes.select(F.col("node").alias(c), F.struct("lng", "lat").alias(f"p_{c}"))
+    at = lambda c: nodes.select(F.col("node").alias(c), F.struct("lng", "lat").alias(f"p_{c}")).hint("merge")
     lines = e.join(at("from_node"), "from_node").join(at("to_node"), "to_node").select("edge_id", F.array("p_from_node", "p_to_node").alias("path"))
     got = graph.snap(t, lines, radius_m, "origin", "edge_id").select("origin", "edge_id", F.col("fraction").alias("share"))
     return t.join(got, "origin", "left")

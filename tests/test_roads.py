@@ -75,3 +75,11 @@ def test_a_gentle_detour_beyond_the_bound_leaves_the_short_one(spark):
     said = {r.origin: (r.vehicle, r.high_clearance, r.four_wheel_drive, r.skip_reason) for r in roads.approach_answers(o, roads.approach_paths(o, e, nodes, max_miles=9.0)).collect()}
     assert said == {1: ("four_wheel_drive_high_clearance", "required", True, None), 2: ("passenger_car", "not_required", False, None), 3: (None, None, None, "no_anchor"), 4: (None, None, None, "no_snap")}
     assert roads.approach_paths(o.where("false"), e, nodes).count() == 0
+
+
+def test_nodes_are_never_broadcast(spark):
+    """A graph's nodes are few bytes in a file and many in memory."""
+    e = spark.range(9).selectExpr("id AS edge_id", "id AS from_node", "id + 1 AS to_node", "1 AS rank", "CAST(NULL AS DOUBLE) AS miles", "false AS anchor")
+    n = spark.range(10).selectExpr("id AS node", "46 + id / 100 AS lat", "-115.0D AS lng")
+    got = roads.measured(e, n)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.where("miles > 0").count() == 9
