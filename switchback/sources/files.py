@@ -71,6 +71,22 @@ def read_gpx(spark: SparkSession, path: str, limit: bool = False) -> DataFrame:
     return files.mapInPandas(run, POINT_SCHEMA)
 
 
+def write_gpx_lines(docs: DataFrame, path: str, by: str = "session_id") -> None:
+    """Documents (by, gpx) as text files of many: a line is a key, a tab and the document, which has no line break."""
+    docs.select(F.concat(F.col(by).cast("string"), F.lit("\t"), "gpx").alias("value")).write.text(path)
+
+
+def read_gpx_lines(spark: SparkSession, path: str, limit: bool = False) -> DataFrame:
+    """Points of documents written by `write_gpx_lines`; path is their key. Files are split at lines, so many small tracks are few tasks."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [x for v in pdf["value"] for k, _, doc in [v.partition("\t")] for x in parse_gpx(k, doc.encode(), limit)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in POINT_SCHEMA.split(", ")])
+
+    return spark.read.text(path).mapInPandas(run, POINT_SCHEMA)
+
+
 def gpx_text(points: DataFrame, by: str = "session_id") -> DataFrame:
     """One GPX document a group, built by expressions; segments break where segment_number changes."""
     num = lambda c: F.format_string("%.6f", c)

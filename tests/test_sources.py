@@ -60,3 +60,12 @@ def test_stream_dedupes(spark, sf, tmp_path):
     d = ingest.deduped(ingest.read_points(spark, str(tmp_path / "in"), e.schema))
     d.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == e.select("user_id", "ts").distinct().count()
+
+
+def test_gpx_documents_of_one_folder_are_read_back(spark, tmp_path):
+    """Many tracks are few files, whatever their number."""
+    p = spark.range(300).selectExpr("id % 100 AS session_id", "id AS event_id", "1700000000 + id AS time", "id % 2 AS segment_number", "45 + id / 1000 AS lat", "-120.0D AS lng", "CAST(NULL AS DOUBLE) AS elevation")
+    files.write_gpx_lines(files.gpx_text(p), f"file://{tmp_path}/gpx")
+    got = files.read_gpx_lines(spark, f"file://{tmp_path}/gpx").selectExpr("CAST(path AS LONG) AS k", "unix_seconds(time) AS t", "round(lat, 6) AS lat").collect()
+    assert sorted((r.k, r.t, r.lat) for r in got) == sorted((k % 100, 1700000000 + k, round(45 + k / 1000, 6)) for k in range(300))
+    assert len(list((tmp_path / "gpx").glob("part-*"))) < 100
